@@ -201,7 +201,7 @@ class PieceMaker:
             new = list(wanted)
         ends = {w: m.groups() for w in new if (m := TAIL(w))}
         whole = [w for w in new if w not in ends]
-        whole = list({*whole, *(part for pair in ends.values() for part in pair)} - self.known.keys())
+        whole = [w for w in {*whole, *(part for pair in ends.values() for part in pair)} if w not in self.known]
         self.known.update(zip(whole, self._encode([w.decode("utf-8") for w in whole])))
         self.known.update((w, self.known[stem] + self.known[tail]) for w, (stem, tail) in ends.items())
 

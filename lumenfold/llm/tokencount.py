@@ -147,7 +147,7 @@ class ByteMerger:
                 total[i] = len(pieces) - 1
             parts += [(i, self._chunks(p)) for p in pieces if p]
         wanted = set().union(*(p[1:] for _, p in parts))
-        new = wanted - self.of_chunk.keys()
+        new = {c for c in wanted if c not in self.of_chunk}
         if len(self.of_chunk) + len(new) > REMEMBERED:
             self.of_chunk.clear()
             new = wanted
