@@ -1,9 +1,9 @@
 """WARC archives of pages, and one ordered capture index over them by an external merge of sorted runs.
 
 Writing: the payload digest decides which records are responses and which revisit one. Each task writes
-one archive, a gzip member for each record, under a name of its partition, first as a temporary file, so
-a repeated attempt replaces it; and with it a run: the captures of the archive sorted by URL key and
-timestamp. Merging: the runs are cut at bounds that Spark samples, and each range is merged from its
+its archives, a gzip member for each record, under names of its partition, first as temporary files, so
+a repeated attempt replaces them; and with each archive a run: its captures sorted by URL key and
+timestamp. Payloads are not shuffled unless the digests with several pages are too many to broadcast. Merging: the runs are cut at bounds that Spark samples, and each range is merged from its
 slices of the runs by a loser tree, which gives a globally ordered index and each capture's place in the
 history of its URL.
 """
@@ -16,6 +16,7 @@ import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime, timedelta
+from itertools import chain, count
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.common import new_path, stored
 
-#: Payload bytes of an archive; a page is never cut.
-ARCHIVE_BYTES = 8 << 20
+#: Bytes at which an archive is closed; a record is never cut.
+ARCHIVE_BYTES = 64 << 20
+#: Digests with several pages up to which they are broadcast.
+BROADCAST_ROWS = 200_000
 #: Captures that a merge task holds.
 MERGE_ROWS = 200_000
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
@@ -128,19 +131,40 @@ def prepare(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_c
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("key", F.unhex(F.sha1(F.col("html").cast("binary"))))
     groups = rows.filter(F.octet_length("html") >= min_bytes).groupBy("key").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
-    groups = groups.filter("n > 1 and last is not null").select("key", "last")
-    # One row a digest on the right; a digest with very many pages is a skewed key that adaptive execution splits.
-    joined = rows.join(groups, "key", "left")
+    groups = stored(groups.filter("n > 1 and last is not null").select("key", "last"), "copied-digests")
+    # One row a digest on the right; where they are many, a digest with very many pages is a skewed key that
+    # adaptive execution splits.
+    joined = rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups, "key", "left")
     again = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     return joined.select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("last")).alias("refers_to"))
 
 
 def write_archives(prepared: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes prepare()'s rows as .warc.gz files into folder; returns the runs, one row a record, each archive's in order."""
-    total = prepared.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    parts = max(1, -(-total // archive_bytes))
-    spread = prepared.repartition(parts, F.xxhash64("page_id", "url"))
-    names = [f.name for f in spread.schema]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+    names = ["run", "offset", "length", "url_key", "timestamp", "record_id"]
+
+    def archive(pages: Iterator[dict], fs: pafs.FileSystem, base: str, name: str, attempt: int) -> pa.RecordBatch | None:
+        """Writes pages to one archive until it is full; its run, or None if there was no page."""
+        hidden, rows, at = f"{base}/.{name}.{attempt}", [], 0
+        first = next(pages, None)
+        if first is None:
+            return None
+        with fs.open_output_stream(hidden, compression=None) as out:
+            for page in chain([first], pages):
+                payload = page["html"].encode("utf-8")
+                page["digest"] = payload_digest(payload)
+                page["timestamp"] = capture_time(page["page_id"])
+                page["record_id"] = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}/{len(rows)}"))
+                data = gzip.compress(record(page, payload), LEVEL, mtime=0)
+                out.write(data)
+                rows.append((name, at, len(data), url_key(page["url"]), page["timestamp"], page["record_id"]))
+                at += len(data)
+                if at >= archive_bytes:
+                    break
+        fs.move(hidden, f"{base}/{name}")
+        rows.sort(key=lambda r: r[3:])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -148,30 +172,14 @@ def write_archives(prepared: DataFrame, folder: str, archive_bytes: int = ARCHIV
         task = TaskContext.get()
         fs, base = _filesystem(folder)
         fs.create_dir(base, recursive=True)
-        name = f"captures-{task.partitionId():06d}.warc.gz"
-        attempt = f"{base}/.{name}.{task.taskAttemptId()}"
-        rows, at = [], 0
-        with fs.open_output_stream(attempt, compression=None) as out:
-            for batch in batches:
-                for page in batch.to_pylist():
-                    payload = page["html"].encode("utf-8")
-                    page["digest"] = payload_digest(payload)
-                    page["timestamp"] = capture_time(page["page_id"])
-                    page["record_id"] = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}/{len(rows)}"))
-                    data = gzip.compress(record(page, payload), LEVEL, mtime=0)
-                    out.write(data)
-                    rows.append((name, at, len(data), url_key(page["url"]), page["timestamp"], page["record_id"]))
-                    at += len(data)
-        if not rows:
-            fs.delete_file(attempt)
-            return
-        fs.move(attempt, f"{base}/{name}")
-        rows.sort(key=lambda r: r[3:])
-        columns = list(zip(*rows))
-        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["run", "offset", "length", "url_key", "timestamp", "record_id"])
+        pages = (page for batch in batches for at in range(0, batch.num_rows, 256) for page in batch.slice(at, 256).to_pylist())
+        for k in count():
+            found = archive(pages, fs, base, f"captures-{task.partitionId():06d}-{k:04d}.warc.gz", task.taskAttemptId())
+            if found is None:
+                return
+            yield found
 
-    return stored(spread.select(*names).mapInArrow(run, RUN), "runs")
+    return stored(prepared.mapInArrow(run, RUN), "runs")
 
 
 class LoserTree:
@@ -275,8 +283,9 @@ def read_archives(spark, folder: str, names: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
 
     schema = "run string, offset long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    listed = names.select("run").distinct().repartition(F.col("run"))
-    return listed.mapInArrow(run, schema)
+    listed = stored(names.select("run").distinct(), "archives")
+    # A row is a whole archive, which row counts and sizes do not show: the number of tasks is given.
+    return listed.repartition(max(1, listed.count()), "run").mapInArrow(run, schema)
 
 
 def capture_index(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, rows_per_task: int = MERGE_ROWS) -> DataFrame:
@@ -290,7 +299,7 @@ def capture_index(pages: DataFrame, folder: str | None = None, min_bytes: int =
     folder = folder or new_path(spark, "warc")
     runs = write_archives(prepare(pages, min_bytes), folder, archive_bytes)
     index = histories(stored(merge_runs(runs, rows_per_task), "capture-index"))
-    records = read_archives(spark, folder, runs)
+    records = stored(read_archives(spark, folder, runs), "records")  # so that the join knows its size
     joined = records.join(index.select("run", "offset", "url_key", "timestamp", "capture_no"), ["run", "offset"])
     return joined.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "capture_no")
 
