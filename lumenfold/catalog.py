@@ -1,4 +1,5 @@
 """All queries of the evaluation operators by name, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from lumenfold.plans.queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -74,19 +74,20 @@ def answer_letter(text: Column) -> Column:
 
 
 def gold_letter(answer: Column, choices: Column) -> Column:
-    """A gold label as a letter: the letter itself, a number from 1, or the text of one of up to ten choices."""
+    """A gold label as a letter: the letter itself, a number from 1, or the text of one of the first ten choices.
+
+    Null where it is none of these, or beyond the choices; without choices only a letter counts.
+    """
     label = F.upper(strip(F.coalesce(answer.cast("string"), F.lit(""))))
-    options = F.transform(F.slice(F.coalesce(choices, F.array().cast("array<string>")), 1, 10), lambda c: F.upper(strip(c)))
-    letter = lambda n: F.chr((F.lit(64) + n).cast("long"))
-    number = F.expr("cast(null as int)")
-    number = F.when(label.rlike("^[0-9]{1,2}$"), label.cast("int")).otherwise(number)
-    place = F.array_position(options, label)
-    return (
-        F.when(label.rlike("^[A-J]$"), label)
-        .when((number >= 1) & (number <= F.greatest(F.size(options), F.lit(0))), letter(number))
-        .when(place > 0, letter(place))
-        .otherwise(label)
+    options = F.transform(F.slice(choices, 1, 10), lambda c: F.upper(strip(c)))
+    n = F.coalesce(F.size(options), F.lit(0))
+    place = (
+        F.when(label.rlike("^[A-J]$"), F.ascii(label) - 64)
+        .when(label.rlike("^[0-9]+$"), F.try_to_number(label, F.lit("999999")).cast("int"))
+        .otherwise(F.array_position(options, label).cast("int"))
     )
+    letter = F.chr((F.lit(64) + place).cast("long"))
+    return F.when(choices.isNull(), F.when(label.rlike("^[A-J]$"), label)).when((place >= 1) & (place <= n), letter)
 
 
 def final_answer(text: Column) -> Column:

@@ -56,7 +56,7 @@ def reconcile(manifest: DataFrame, outputs: DataFrame, n_samples: int) -> DataFr
     both = wanted.withColumn("w", F.lit(1)).join(actual.withColumn("a", F.lit(1)), ["doc_id", "sample_index"], "full_outer")
     hit = F.col("w").isNotNull() & F.col("a").isNotNull() & (F.coalesce(F.col("n"), F.lit(n_samples)) == n_samples)
     found = both.agg(F.count("w").alias("expected"), F.count_if(hit).alias("matched"), F.count("a").alias("seen"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
-    keyless = outputs.agg((F.count("*") - F.count_if("doc_id is not null and sample_index >= 0")).alias("invalid"))
+    keyless = outputs.agg((F.count("*") - F.count_if(F.expr("doc_id is not null and sample_index >= 0"))).alias("invalid"))
     return found.join(F.broadcast(keyless)).select(  # one row each
         "expected", "matched", (F.col("expected") - F.col("matched")).alias("missing"), (F.col("seen") - F.col("matched") + F.col("invalid")).alias("unexpected"), (F.col("rows") - F.col("seen")).alias("duplicates")
     )
