@@ -75,3 +75,17 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
 def crc_fold(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(mod)
+
+
+_KEPT: list = [None, None]
+
+
+def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:
+    """What make() gives, kept by a Python worker from task to task until it is asked for something else.
+
+    Workers outlive tasks and operators, so only the last operator's state stays in their memory.
+    """
+    if _KEPT[0] != key:
+        _KEPT[:] = [None, None]
+        _KEPT[:] = [key, make()]
+    return _KEPT[1]

@@ -9,10 +9,9 @@ does not see.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +29,7 @@ ERRORS = 0.01
 UNDETERMINED = "und"
 #: ASCII letters and bytes of non-ASCII letters as they are, else a space.
 FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
-LETTER = re.compile(r"[^\W\d_]").search
+LETTER = regex.compile(r"\p{L}").search
 #: Subwords that are summed at a time.
 BLOCK = 1 << 18
 

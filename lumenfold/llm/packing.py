@@ -17,7 +17,6 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenfold.llm.common import map_texts, stored
+from lumenfold.llm.common import kept_in_worker, map_texts, stored
 
 CAPACITY = 4096
 #: Nodes of the search after the first descent; a plan that meets the lower bound ends it sooner.
@@ -35,8 +34,8 @@ FILLINGS = 3
 #: Largest members that begin a triple of a filling.
 TRIPLES = 48
 #: Rows of one rank window.
-RANK_ROWS = 100_000
-REMEMBERED = 800_000
+RANK_ROWS = 4_000
+REMEMBERED = 400_000
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -220,18 +219,12 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 10 else c for c in range(25
 TAIL = re.compile(rb"([^']*[a-z0-9])([!-&(-/:-@\[-`{-~]+)").fullmatch
 
 
-@lru_cache(maxsize=2)
-def _maker(path: str) -> PieceMaker:
-    """One to a worker process, which keeps its memory of words from task to task."""
-    return PieceMaker(path)
-
-
 def token_pieces(docs: DataFrame, vocab: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every document: its ids and end_id, cut only where longer than capacity."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def make():
-        maker = _maker(vocab)
+        maker = kept_in_worker(("pieces", vocab), lambda: PieceMaker(vocab))
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +18,12 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from lumenfold.llm.common import map_texts
+from lumenfold.llm.common import kept_in_worker, map_texts
 
 #: Fixed value: the byte-level pre-token pattern of this tokenizer family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of each memory of counts in a worker; a full one is emptied.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -166,12 +165,6 @@ SPACED = re.compile(r" (?:\s|$)").search
 CUT = re.compile(r" (?=\S)").split
 
 
-@lru_cache(maxsize=2)
-def _merger(path: str) -> ByteMerger:
-    """One to a worker process, which keeps its memory of counts from task to task."""
-    return ByteMerger(path)
-
-
 def count_tokens(docs: DataFrame, vocab: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every row by the byte-level BPE file `vocab`.
 
@@ -180,7 +173,7 @@ def count_tokens(docs: DataFrame, vocab: str, limit: int = 512, id_col: str = "d
     """
 
     def make():
-        merger = _merger(vocab)
+        merger = kept_in_worker(("merger", vocab), lambda: ByteMerger(vocab))
 
         def work(piece: pa.RecordBatch) -> pa.RecordBatch:
             n_bytes = pc.cast(pc.fill_null(pc.binary_length(piece.column(1)), 0), pa.int64())

@@ -3,14 +3,13 @@
 One dictionary is trained on ordinary text, one on what is particular to toxic text. A window is a word
 in a frame of fixed bytes that both dictionaries hold: the frame pays the fixed costs of a block, so the
 compressed length shows what the word itself costs. A window's gain is its length under the ordinary
-dictionary less its length with the toxic one added. Gains become log-likelihood ratios by what they are
+dictionary less its length with the toxic one added; a window that repeats in a text counts once. Gains become log-likelihood ratios by what they are
 in held-out parts of the sample, their sum over the whole text is set against a calibrated threshold.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import crc_fold, map_texts
+from lumenfold.llm.common import crc_fold, kept_in_worker, map_texts
 from lumenfold.llm.samples import labelled_texts
 
 #: Letters in lower case, bytes of non-ASCII letters as they are, all else a space.
@@ -32,12 +31,10 @@ FOLDS = 4
 PREFIXES = (4, 5, 6)
 #: Gains in bytes that have a weight of their own; others count as the nearest.
 GAINS = range(0, 13)
-#: Times that a window repeated in a text counts.
-REPEATS = 2
 THRESHOLD = 0.3
 #: What a wrongly rejected share of ordinary texts weighs beside an equal missed share of toxic ones.
 CLEAN_WEIGHT = 3
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -59,20 +56,20 @@ def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) ->
     words enter that, whole or by their first bytes, stand in toxic texts twenty times as often as in
     ordinary ones and after many different words.
     """
-    plain, texts, before = defaultdict(int), defaultdict(int), defaultdict(set)
-    for words in ordinary:
-        for part in {p for w in set(words) for p in _parts(w)}:
-            plain[part] += 1
+    parts = {w: _parts(w) for words in (*toxic, *ordinary) for w in words}
+    plain, texts = (Counter(p for words in side for p in {p for w in set(words) for p in parts[w]}) for side in (ordinary, toxic))
+    least = max(3, len(toxic) // 100)
+    often = 20 * len(toxic) / max(len(ordinary), 1)  # half a text is added to the ordinary ones, none being no proof
+    rare = {p for p, n in texts.items() if n >= least and n >= often * (plain[p] + 0.5)}
+    marked = {w: hits for w, of in parts.items() if (hits := rare.intersection(of))}
+    before = defaultdict(set)
     for words in toxic:
-        for part in {p for w in set(words) for p in _parts(w)}:
-            texts[part] += 1
         for a, b in zip([b"", *words], words):
-            for part in _parts(b):
+            for part in marked.get(b, ()):
                 before[part].add(a)
-    least = max(3, len(toxic) // 100)
-    often = 20 * len(toxic) / max(len(ordinary), 1)  # half a text is added to the ordinary ones, none being no proof
-    rare = {p for p, n in texts.items() if n >= least and n >= often * (plain.get(p, 0) + 0.5) and len(before[p]) >= least}
-    samples = [b"".join(b" " + w + b" " for w in words if not rare.isdisjoint(_parts(w))) for words in toxic]
+    rare = {p for p in rare if len(before[p]) >= least}
+    chosen = {w for w, hits in marked.items() if not rare.isdisjoint(hits)}
+    samples = [b"".join(b" " + w + b" " for w in words if w in chosen) for words in toxic]
     return _trained(ORDINARY_BYTES, [b" ".join(w) for w in ordinary]), _trained(TOXIC_BYTES, [s for s in samples if s])
 
 
@@ -91,17 +88,15 @@ class Gains:
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
         settings = zstandard.ZstdCompressionParameters(
-            window_log=17, hash_log=16, chain_log=16, search_log=4, min_match=5, target_length=0,
-            strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_dict_id=False, write_checksum=False,
+            window_log=17, hash_log=16, chain_log=16, search_log=4, min_match=6, target_length=0,
+            strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_dict_id=False, write_checksum=False,
         )
         held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         return zstandard.ZstdCompressor(dict_data=held, compression_params=settings)
 
     def counts(self, words: list[bytes]) -> np.ndarray:
-        """How many windows have each of GAINS, a repeated one up to REPEATS times."""
-        times = Counter(words)
-        n = np.minimum(np.fromiter(times.values(), np.int64, len(times)), REPEATS)
-        return np.bincount(self.of(list(times)), weights=n, minlength=len(GAINS))
+        """How many different windows have each of GAINS."""
+        return np.bincount(self.of(list(set(words))), minlength=len(GAINS)).astype(float)
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """Gains of words, within GAINS and counted from its start."""
@@ -161,12 +156,6 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(x, -500, 500))))
 
 
-@lru_cache(maxsize=2)
-def _gains(ordinary: bytes, toxic: bytes) -> Gains:
-    """One to a worker process, which keeps its memory of words from task to task."""
-    return Gains(ordinary, toxic)
-
-
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns `keep` of docs with __score (0 to 1), over whole texts. Null and wordless texts score as no evidence does."""
     spark = docs.sparkSession
@@ -175,7 +164,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str], text_
 
     def make():
         m = shared.value
-        gains = _gains(m.ordinary, m.toxic)
+        gains = kept_in_worker(("gains", m.ordinary, m.toxic), lambda: Gains(m.ordinary, m.toxic))
 
         def work(piece: pa.RecordBatch) -> pa.RecordBatch:
             texts = piece.column(piece.schema.get_field_index(text_col)).to_pylist()
