@@ -29,8 +29,8 @@ from lumenfold.llm.common import kept_in_worker, map_texts, stored
 CAPACITY = 4096
 #: Nodes of the search after the first descent; a plan that meets the lower bound ends it sooner.
 NODES = 20_000
-#: Fillings of a sequence that a node tries.
-FILLINGS = 3
+#: Fillings of a sequence that a node tries, where more than FEW lengths are left; with FEW or less it tries all.
+FILLINGS, FEW = 3, 14
 #: Largest members that begin a triple of a filling.
 TRIPLES = 48
 #: Rows of one rank window.
@@ -66,6 +66,25 @@ def _pairs(counts: np.ndarray, reach: np.ndarray, room: int) -> tuple[np.ndarray
     return a, b
 
 
+def all_fillings(counts: np.ndarray, room: int) -> list[tuple[int, ...]]:
+    """Every set of lengths to which none can be added, the fullest first."""
+    sizes = [int(s) for s in np.nonzero(counts[: room + 1])[0][::-1] if s]
+    out: list[tuple[int, ...]] = []
+
+    def extend(i: int, room: int, chosen: tuple[int, ...], spare: int) -> None:
+        """spare: the least length that was left over so far."""
+        if i == len(sizes):
+            if spare > room:
+                out.append(chosen)
+            return
+        most = min(int(counts[sizes[i]]), room // sizes[i])
+        for n in range(most, -1, -1):
+            extend(i + 1, room - n * sizes[i], chosen + (sizes[i],) * n, sizes[i] if n < counts[sizes[i]] else spare)
+
+    extend(0, room, (), room + 1)
+    return sorted(out, key=sum, reverse=True)
+
+
 def fillings(counts: np.ndarray, room: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
     """Undominated sets of lengths for `room`, the fullest first.
 
@@ -75,6 +94,8 @@ def fillings(counts: np.ndarray, room: int, most: int = FILLINGS) -> list[tuple[
     """
     counts, head = counts.copy(), []
     counts[0] = 0
+    if counts[: room + 1].sum() <= FEW:
+        return all_fillings(counts, room)
     while True:
         reach = _reach(counts)
         largest = int(reach[min(room, len(counts) - 1)])
