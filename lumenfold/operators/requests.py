@@ -82,19 +82,29 @@ def with_seeds(requests: DataFrame, seed: int, prompt: str = "prompt") -> DataFr
     return requests.withColumn("seed", request_seed(seed, F.col("doc_id"), F.col(prompt), F.col("sample_index")))
 
 
-def equal_shards(rows: DataFrame, shards: int, order: Column) -> DataFrame:
-    """rows with shard (from 0): contiguous by `order`, the first ones larger by a row where they cannot be equal.
-
-    Numbers come from range partitions and their sizes, so no task sorts all rows.
-    """
+def number_rows(rows: DataFrame, order: Column, into: str = "number") -> DataFrame:
+    """rows with their place (from 0) in `order`, by range partitions and their sizes: no task sorts all rows."""
     spread = rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
     ranked = spread.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1)
-    sizes = spread.groupBy("__part").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("count").over(Window.partitionBy())
-    starts = sizes.select("__part", before.alias("__before"), total.alias("__total"))  # a row for each partition
-    at = F.col("__before") + F.col("__in")
-    base, extra = F.floor(F.col("__total") / shards), F.col("__total") % shards
-    wide = extra * (base + 1)
-    shard = F.when(at < wide, F.floor(at / (base + 1))).otherwise(extra + F.floor((at - wide) / F.greatest(base, F.lit(1))))
-    return ranked.join(F.broadcast(starts), "__part").withColumn("shard", shard.cast("int")).drop("__part", "__in", "__before", "__total")
+    starts = spread.groupBy("__part").count().select("__part", before.alias("__before"))  # a row for each partition
+    return ranked.join(F.broadcast(starts), "__part").withColumn(into, F.col("__before") + F.col("__in")).drop("__part", "__in", "__before")
+
+
+def equal_shards(rows: DataFrame, shards: int, order: Column) -> DataFrame:
+    """rows with shard (from 0): contiguous by `order`, the first ones larger by a row where they cannot be equal."""
+    total = rows.count()
+    base, extra = divmod(total, shards)
+    at, wide = F.col("__at"), extra * (base + 1)
+    shard = F.when(at < wide, F.floor(at / (base + 1))).otherwise(extra + F.floor((at - wide) / max(base, 1)))
+    return number_rows(rows, order, "__at").withColumn("shard", shard.cast("int")).drop("__at")
+
+
+def round_robin(rows: DataFrame, workers: int, order: Column) -> DataFrame:
+    """rows with worker: their places in `order` dealt out in turn."""
+    return number_rows(rows, order, "__at").withColumn("worker", (F.col("__at") % workers).cast("int")).drop("__at")
+
+
+def batches(rows: DataFrame, size: int, order: Column) -> DataFrame:
+    """rows with batch: runs of `size` in `order`."""
+    return number_rows(rows, order, "__at").withColumn("batch", F.floor(F.col("__at") / size).cast("int")).drop("__at")

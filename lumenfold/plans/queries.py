@@ -10,6 +10,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.window import Window
 
+from lumenfold.functions import predicates as P
 from lumenfold.functions import text as T
 from lumenfold.functions.estimators import majority, pass_at_k
 from lumenfold.operators import code_answers, math_answers, metrics, multiple_choice, preparation, requests, samples
@@ -389,7 +390,7 @@ r AS (SELECT b, o2.v FROM range(50) t(b), o o1 JOIN o o2 ON o2.i = ('0x' || subs
 m AS (SELECT b, avg(v) AS m FROM r GROUP BY 1)
 SELECT (SELECT round(avg(v), 9) FROM o) AS value, (SELECT count(*) FROM o) AS count, round(stddev_pop(m), 9) AS stderr, round(quantile_cont(m, 0.025), 9) AS ci_low, round(quantile_cont(m, 0.975), 9) AS ci_high FROM m""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    observed = _read(spark, sf_dir, "labels").select(F.col("quality").cast("double").alias("value"), (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("ordinal"))
+    observed = requests.number_rows(_read(spark, sf_dir, "labels"), F.col("doc_id"), "ordinal").select(F.col("quality").cast("double").alias("value"), "ordinal")
     found = metrics.bootstrap(observed, 50, 0.95, 42)
     return found.select("count", *[F.round(c, 9).alias(c) for c in ("value", "stderr", "ci_low", "ci_high")])
 
@@ -408,9 +409,7 @@ def equal_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) % 5)::INTEGER AS worker, ((row_number() OVER (ORDER BY doc_id) - 1) // 32)::INTEGER AS batch FROM documents")
 def round_robin_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id")
-    n = docs.count()
-    numbered = requests.equal_shards(docs, max(n, 1), F.col("doc_id"))  # a shard for each row: its place in the order
-    return numbered.select("doc_id", (F.col("shard") % 5).alias("worker"), F.floor(F.col("shard") / 32).cast("int").alias("batch"))
+    return requests.batches(requests.round_robin(docs, 5, F.col("doc_id")), 32, F.col("doc_id"))
 
 
 _WORDS = r"len(list_filter(string_split_regex({}, '[\s\p{{Z}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{0b}}]+'), lambda w: w <> ''))"
@@ -505,3 +504,28 @@ def code_exec(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("task").alias("prompt"), F.lit(True).alias("complete"),
     )
     return code_answers.score_code(rows, allow_code_execution=True).select("task_id", "passed", "status")
+
+
+@query("""
+SELECT page_id, page_id % 4 IN (0, 1) AS local, page_id % 3 = 0 AS too_long, page_id % 500 BETWEEN 400 AND 499 AND page_id % 500 NOT IN (408, 429) AS final,
+  page_id % 7 <> 0 AS finite, '***' AS hidden, url AS shown FROM pages""")
+def log_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    way, url = F.col("page_id") % 4, F.col("url")
+    endpoint = F.when(way == 0, F.lit("http://LOCALHOST:8000/v1")).when(way == 1, F.lit("https://a.localhost/v1")).otherwise(url)
+    message = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("This model's Maximum context length is "), url)).otherwise(F.lit("bad request"))
+    value = F.when(F.col("page_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("page_id").cast("double"))
+    config = P.redacted(F.create_map(F.lit("my_API_KEY"), url, F.lit("base_url"), url))
+    return _read(spark, sf_dir, "pages").select(
+        "page_id", P.is_local_endpoint(endpoint).alias("local"), P.is_context_overflow(message).alias("too_long"), P.is_final_status(F.col("page_id") % 500).alias("final"),
+        P.is_finite(value).alias("finite"), config["my_API_KEY"].alias("hidden"), config["base_url"].alias("shown"),
+    )
+
+
+@query("""
+WITH g AS (SELECT 'mmlu:' || p_partkey AS doc_id, (p_partkey % 5)::INTEGER AS way, p_name FROM part)
+SELECT doc_id, CASE WHEN way = 0 THEN [' A', 'B'] WHEN way = 1 THEN [' x', ' y'] ELSE [' A', ' B'] END AS follow FROM g""")
+def choice_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    way = F.col("p_partkey") % 5
+    tokens = F.when(way == 0, F.array(F.lit(" A"), F.lit("B"))).when(way == 1, F.array(F.lit("x"), F.lit("y"))).otherwise(T.choice_tokens(F.lit(None).cast("array<string>"), F.array("p_brand", "p_type")))
+    prompt = F.when(way == 0, F.lit("Q: ")).otherwise(F.concat("p_name", F.lit(" Answer:")))
+    return _read(spark, sf_dir, "part").select(F.concat(F.lit("mmlu:"), F.col("p_partkey").cast("string")).alias("doc_id"), T.choice_continuations(prompt, tokens).alias("follow"))
