@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,8 +85,14 @@ def with_seeds(requests: DataFrame, seed: int, prompt: str = "prompt") -> DataFr
 
 
 def number_rows(rows: DataFrame, order: Column, into: str = "number") -> DataFrame:
-    """rows with their place (from 0) in `order`, by range partitions and their sizes: no task sorts all rows."""
-    spread = rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
+    """rows with their place (from 0) in `order`, by range partitions and their sizes: no task sorts all rows.
+
+    The ranges come from a sample, so they are fixed by a checkpoint before they are counted and used.
+    """
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lumenfold-"))
+    spread = rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id()).checkpoint()
     ranked = spread.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1)
     before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = spread.groupBy("__part").count().select("__part", before.alias("__before"))  # a row for each partition
