@@ -60,6 +60,11 @@ def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) ->
         yield batch.slice(start)
 
 
+def release_worker() -> None:
+    """Lets go what another operator kept in this Python worker."""
+    _KEPT[:] = [None, None]
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, text: str = "text") -> DataFrame:
     """mapInArrow in bounded pieces. make() runs once in each task and returns the function of a piece."""
 
@@ -86,6 +91,6 @@ def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:
     Workers outlive tasks and operators, so only the last operator's state stays in their memory.
     """
     if _KEPT[0] != key:
-        _KEPT[:] = [None, None]
+        release_worker()
         _KEPT[:] = [key, make()]
     return _KEPT[1]

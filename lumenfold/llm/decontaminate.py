@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import stored, text_chunks
+from lumenfold.llm.common import release_worker, stored, text_chunks
 
 #: Each byte as decontamination reads it: A-Z in lower case, 0-9, a-z and bytes of non-ASCII letters, else a space.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -129,18 +129,23 @@ def match_shard(texts: list[str | None], block: Suffixes) -> tuple[np.ndarray, n
     return sizes, text, place - begins[text], matched, suffix
 
 
-STATE = "__n_words long, __hits binary, __items array<string>, __longest int"
+STATE = "__n_words long, __longest int, __hits binary, __items array<string>"
+RESULT = "__n_words long, __longest int, __n_hit long, __n_items long, __items_sha256 string"
 
 
-def _pass(block: Suffixes, text_col: str):
-    """For mapInArrow: adds a block's hits (one bit for each word), items and longest match to the state columns."""
+def _pass(block: Suffixes, text_col: str, final: bool):
+    """For mapInArrow: adds a block's hits (one bit for each word), items and longest match to the state columns.
+
+    The last pass gives __n_hit, __n_items and __items_sha256 in their place, so that a task has one Python worker.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
         for batch in batches:
             for piece in text_chunks(batch, text_col):
                 column = {f.name: piece.column(i) for i, f in enumerate(piece.schema)}
                 sizes, text, first, matched, suffix = match_shard(column[text_col].to_pylist(), block)
-                bits, items, longest = column["__hits"].to_pylist(), column["__items"].to_pylist(), column["__longest"].to_numpy(zero_copy_only=False).astype(np.int32)
+                bits, items, longest = column.pop("__hits").to_pylist(), column.pop("__items").to_pylist(), column["__longest"].to_numpy(zero_copy_only=False).astype(np.int32)
                 np.maximum.at(longest, text, matched.astype(np.int32))
                 order = np.argsort(text, kind="stable")
                 cuts = np.nonzero(np.diff(text[order]))[0] + 1
@@ -154,23 +159,18 @@ def _pass(block: Suffixes, text_col: str):
                         hit |= np.unpackbits(np.frombuffer(bits[t], np.uint8), count=len(hit)).astype(bool)
                     bits[t] = np.packbits(hit).tobytes()
                     items[t] = sorted({*(items[t] or []), *(block.item[s] for s in np.unique(suffix[part]).tolist())})
-                column |= {"__n_words": pa.array(sizes), "__hits": pa.array(bits, pa.binary()), "__items": pa.array(items, pa.list_(pa.string())), "__longest": pa.array(longest)}
+                column |= {"__n_words": pa.array(sizes), "__longest": pa.array(longest)}
+                if final:
+                    column["__n_hit"] = pa.array([int(np.bitwise_count(np.frombuffer(h, np.uint8)).sum()) if h else 0 for h in bits], pa.int64())
+                    column["__n_items"] = pa.array([len(i or []) for i in items], pa.int64())
+                    column["__items_sha256"] = pa.array([hashlib.sha256(",".join(i or []).encode()).hexdigest() for i in items])
+                else:
+                    column |= {"__hits": pa.array(bits, pa.binary()), "__items": pa.array(items, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays(list(column.values()), names=list(column))
 
     return run
 
 
-def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the state by __n_hit, __n_items and __items_sha256."""
-    for batch in batches:
-        column = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
-        hits, items = column.pop("__hits").to_pylist(), column.pop("__items").to_pylist()
-        column["__n_hit"] = pa.array([int(np.bitwise_count(np.frombuffer(h, np.uint8)).sum()) if h else 0 for h in hits], pa.int64())
-        column["__n_items"] = pa.array([len(i or []) for i in items], pa.int64())
-        column["__items_sha256"] = pa.array([hashlib.sha256(",".join(i or []).encode()).hexdigest() for i in items])
-        yield pa.RecordBatch.from_arrays(list(column.values()), names=list(column))
-
-
 def _columns(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
@@ -182,14 +182,15 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col:
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES) or 1
     before = _columns(docs)
-    out = docs.selectExpr("*", "0L as __n_words", "cast(null as binary) as __hits", "cast(null as array<string>) as __items", "0 as __longest")
+    out = docs.selectExpr("*", "0L as __n_words", "0 as __longest", "cast(null as binary) as __hits", "cast(null as array<string>) as __items")
     for k in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
         block = Suffixes([(r.i, r.t) for r in part.collect()], window)
-        out = out.mapInArrow(_pass(block, text_col), f"{before}, {STATE}")
-        if k < blocks - 1:
+        final = k == blocks - 1
+        out = out.mapInArrow(_pass(block, text_col, final), f"{before}, {RESULT if final else STATE}")
+        if not final:
             out = stored(out, "marked")
-    return out.mapInArrow(_digest, f"{before}, __n_words long, __longest int, __n_hit long, __n_items long, __items_sha256 string")
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

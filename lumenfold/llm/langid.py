@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import crc_fold, map_texts
+from lumenfold.llm.common import crc_fold, map_texts, release_worker
 from lumenfold.llm.samples import bounded_sample
 
 #: Labelled texts of each language that the model is fitted on.
@@ -147,6 +147,8 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     shared = docs.sparkSession.sparkContext.broadcast(LanguageModel.fit(texts))  # a table of fixed size
 
     def make():
+        release_worker()
+
         def work(piece: pa.RecordBatch) -> pa.RecordBatch:
             lang, score, rejected = zip(*map(shared.value.predict, piece.column(1).to_pylist()))
             return pa.RecordBatch.from_arrays([piece.column(0), pa.array(lang), pa.array(score), pa.array(rejected)], names=[id_col, "lang_pred", "score", "rejected"])

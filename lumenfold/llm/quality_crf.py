@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import crc_fold, map_texts
+from lumenfold.llm.common import crc_fold, map_texts, release_worker
 from lumenfold.llm.samples import labelled_texts
 
 #: Labelled texts of either class that the field is fitted on.
@@ -182,6 +182,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(field)  # a few dozen weights
 
     def make():
+        release_worker()
+
         def work(piece: pa.RecordBatch) -> pa.RecordBatch:
             score = shared.value.score(piece.column(1).to_pylist())
             return pa.RecordBatch.from_arrays([piece.column(0), pa.array(score, pa.float64())], names=[id_col, "score"])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import map_texts, stored
+from lumenfold.llm.common import map_texts, release_worker, stored
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -73,6 +73,8 @@ def document_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, host, measures) of every row. A null text has no words."""
 
     def make():
+        release_worker()
+
         def work(piece: pa.RecordBatch) -> pa.RecordBatch:
             found = np.array([measures(t) for t in piece.column(2).to_pylist()], dtype=np.int64).reshape(-1, 5)
             return pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *map(pa.array, found.T)], names=["id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])

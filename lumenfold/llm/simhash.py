@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import map_texts, stored
+from lumenfold.llm.common import map_texts, release_worker, stored
 from lumenfold.llm.components import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -56,6 +56,8 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
     """(id, fp long) of every row. Null and wordless texts have fingerprint 0."""
 
     def make():
+        release_worker()
+
         def work(piece: pa.RecordBatch) -> pa.RecordBatch:
             values = np.array([fingerprint(t, words) for t in piece.column(1).to_pylist()], dtype=np.uint64)
             return pa.RecordBatch.from_arrays([piece.column(0), pa.array(values.view(np.int64))], names=[id_col, "fp"])
