@@ -42,10 +42,10 @@ _SAMPLES = f"""s AS (SELECT l_orderkey AS problem, l_returnflag AS flag, l_linen
 
 def order_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as numbered samples: problem, sample_index, n_samples, flag."""
-    lines = _read(spark, sf_dir, "lineitem")
-    by = Window.partitionBy("l_orderkey")
+    lines = _read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "problem")  # renamed first, so that later operators by problem need no shuffle
+    by = Window.partitionBy("problem")
     index = F.row_number().over(by.orderBy(*LINE_ORDER)) - 1
-    return lines.select(F.col("l_orderkey").alias("problem"), index.alias("sample_index"), F.count("*").over(by).cast("int").alias("n_samples"), F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("qty"))
+    return lines.select("problem", index.alias("sample_index"), F.count("*").over(by).cast("int").alias("n_samples"), F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("qty"))
 
 
 @query("""
