@@ -28,6 +28,8 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
 #: Members of a posting up to which its pairs are compared directly.
 POSTING = 4096
+#: Ids of rows to drop, in bytes, up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
 
@@ -225,15 +227,19 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, posting:
     return prints.join(classes, "fp", "left").select(id_col, text.alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, broadcast_bytes: int = BROADCAST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: that with the least id. Columns and names stay.
 
-    Of rows that repeat that id one stays. Rows without an id cannot be told apart and stay.
+    Of rows that repeat that id one stays. Rows without an id cannot be told apart and stay. The ids that go, not
+    those that stay, are joined with docs: they are broadcast up to `broadcast_bytes`, so that texts are not shuffled;
+    beyond that both sides are shuffled by the id.
     """
-    kept = near_duplicates(docs, words, distance, id_col=id_col, text_col=text_col)
-    kept = stored(kept.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("__n")), "kept")
-    single = docs.join(kept.filter("__n = 1").select(id_col), id_col, "left_semi")
-    parts = single.unionByName(docs.filter(F.col(id_col).isNull()))
-    if not kept.filter("__n > 1").isEmpty():
-        parts = parts.unionByName(docs.join(kept.filter("__n > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col]))
-    return parts.select(*[F.col(f"`{c}`") for c in docs.columns])
+    of_id = near_duplicates(docs, words, distance, id_col=id_col, text_col=text_col).filter(F.col(id_col).isNotNull())
+    of_id = of_id.groupBy(id_col).agg(F.max(F.col(id_col) == F.col("component_id")).alias("__stays"), (F.count("*") > 1).alias("__repeats"))
+    other = stored(of_id.filter("__repeats or not __stays"), "not-once")
+    size = other.agg(F.sum(F.octet_length(F.col(id_col).cast("string")) + 8), F.max(F.col("__stays"))).first()
+    ids = other.select(id_col)
+    out = docs.join(F.broadcast(ids) if (size[0] or 0) <= broadcast_bytes else ids, id_col, "left_anti")
+    if size[1]:
+        out = out.unionByName(docs.join(other.filter("__stays").select(id_col), id_col, "left_semi").dropDuplicates([id_col]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -76,6 +76,11 @@ def test_nulls_ties_and_clashing_names(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "7", "9", "None"]
     twice = spark.createDataFrame([(1, text, "a", 1), (1, text, "b", 2)], DOCS)
     assert simhash.drop_near_duplicates(twice).count() == 1
+    shuffled = simhash.drop_near_duplicates(docs, broadcast_bytes=-1)
+    assert sorted(str(r.doc_id) for r in shuffled.collect()) == ["3", "7", "9", "None"]
+    assert "Broadcast" in kept._jdf.queryExecution().executedPlan().toString()
+    apart = spark.createDataFrame([(1, text, "a", 1), (2, text, "b", 2), (2, "quite another text of its own", "c", 3)], DOCS)
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(apart).collect()) == [1, 2]
 
 
 def test_empty_table(spark):
