@@ -15,8 +15,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand on a large share of their source's documents; n_chars follows the text."""
-    return linededup.drop_boilerplate(docs, length_col="n_chars")
+    """All documents, without lines that are common on their source's documents or different texts; n_chars follows the text."""
+    return linededup.drop_boilerplate(docs, length_col="n_chars", common=linededup.COMMON)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

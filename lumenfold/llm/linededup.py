@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 RATIO = 0.1
 #: Pages of a host below which nothing is known of it.
 MIN_PAGES = 10
+#: Of a host's different texts, the share above which and the number from which a line is common on it.
+COMMON, COMMON_TEXTS = 0.06, 6
 #: Bytes of the hosts' arrays up to which they are broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Parts that each host is dealt out to where the arrays are too large to broadcast.
@@ -33,29 +35,46 @@ def _has_word(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text") -> DataFrame:
+def _line_digests(rows: DataFrame, *keep: str) -> DataFrame:
+    """(host, digest, *keep) of each different line with a word of a page."""
+    found = rows.select("host", *keep, F.explode(F.array_distinct(_lines(F.col("t")))).alias("line"))
+    return found.filter(_has_word(F.col("line"))).select("host", *keep, _digest(F.col("line")).alias("digest"))
+
+
+def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text", common: float | None = None) -> DataFrame:
     """(host, digest, pages, host_pages) of each line over the ratio on a host with min_pages pages at least.
 
     A null host is a host. Lines without a word are never boilerplate. Null texts count as pages.
+    With common, lines on more than this share of the host's different texts, and on COMMON_TEXTS of them at
+    least, go too. Pages with the same text count once there, or copies of a document would lose their lines.
     """
     rows = pages.select(F.col(host_col).alias("host"), F.col(text_col).alias("t"))
     totals = rows.groupBy("host").agg(F.count("*").alias("host_pages")).filter(F.col("host_pages") >= min_pages)
-    found = rows.select("host", F.explode(F.array_distinct(_lines(F.col("t")))).alias("line"))
-    found = found.filter(_has_word(F.col("line"))).select("host", _digest(F.col("line")).alias("digest"))
-    counted = found.groupBy("host", "digest").agg(F.count("*").alias("pages"))
-    # A line of one page alone exceeds no ratio of min_pages pages or more unless 1 / min_pages does.
-    counted = counted.filter(F.col("pages") > ratio * min_pages)
+    over = F.col("pages") > ratio * F.col("host_pages")
+    if common is None:
+        found = _line_digests(rows)
+        counted = found.groupBy("host", "digest").agg(F.count("*").alias("pages"))
+        # A line of one page alone exceeds no ratio of min_pages pages or more unless 1 / min_pages does.
+        counted = counted.filter(F.col("pages") > ratio * min_pages)
+    else:
+        rows = rows.withColumn("of", _digest(F.col("t")))
+        copies = rows.groupBy("host", "of").agg(F.count("*").alias("n"))
+        totals = copies.groupBy("host").agg(F.sum("n").alias("host_pages"), F.count("of").alias("host_texts")).filter(F.col("host_pages") >= min_pages)
+        found = _line_digests(rows, "of").groupBy("host", "digest", "of").agg(F.count("*").alias("n"))
+        counted = found.groupBy("host", "digest").agg(F.sum("n").alias("pages"), F.count("*").alias("texts"))
+        counted = counted.filter((F.col("pages") > ratio * min_pages) | (F.col("texts") >= COMMON_TEXTS))
+        over = over | ((F.col("texts") >= COMMON_TEXTS) & (F.col("texts") > common * F.col("host_texts")))
     joined = counted.alias("c").join(totals.alias("t"), F.expr("c.host <=> t.host"))
-    return joined.filter(F.col("pages") > ratio * F.col("host_pages")).select("c.host", "digest", "pages", "host_pages")
+    return joined.filter(over).select("c.host", "digest", "pages", "host_pages")
 
 
-def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text", length_col: str | None = None, common: float | None = None) -> DataFrame:
     """pages with boilerplate lines taken out of the text; columns, names and rows stay.
 
     A text without a line left is empty; a null text stays null. Texts are otherwise byte for byte what
     they were, line ends included. length_col, if given, is set to the characters of the new text.
     """
-    hosts = boilerplate(pages, ratio, min_pages, host_col, text_col).groupBy("host").agg(F.collect_set("digest").alias("__drop"))
+    hosts = boilerplate(pages, ratio, min_pages, host_col, text_col, common).groupBy("host").agg(F.collect_set("digest").alias("__drop"))
     size = hosts.agg(F.sum(F.size("__drop") * 40 + F.coalesce(F.octet_length("host"), F.lit(0)) + 64)).first()[0] or 0
     hosts = hosts.withColumnRenamed("host", "__host")
     same = F.col(f"`{host_col}`").eqNullSafe(F.col("__host"))

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 
+import corpus_pipeline
 import duckdb
 import pytest
 
@@ -68,6 +69,16 @@ def test_boilerplate(spark, monkeypatch):
     assert linededup.drop_boilerplate(docs.limit(0)).count() == 0
 
 
+def test_pipeline_drops_common_lines(spark, sf_dir):
+    foot, long, short = "shared foot", " ".join(f"p{i}" for i in range(60)), "short"
+    rows = [(i, "\n".join([f"line {i}", *[foot] * (i < 7), *[long] * (10 <= i < 18), *[short] * (20 <= i < 24)]), "a", 9, "h", "d") for i in range(90)]
+    rows += [(100 + i, "whole copy\nof a page", "a", 9, "h", "d") for i in range(9)]
+    text = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, spark.createDataFrame(rows, DOCS), sf_dir).collect()}
+    assert len(text) == len(rows) and not any(foot in t.split("\n") or long in t.split("\n") for t in text.values())
+    assert all(text[i] == f"line {i}" for i in range(7)) and [i for i, t in text.items() if short in t.split("\n")] == [20, 21, 22, 23]
+    assert all(text[100 + i] == "whole copy\nof a page" for i in range(9))  # 8 % of the pages, but one text
+
+
 def test_boilerplate_runs_no_python(spark, sf_dir):
     plan = queries.op5_line_dedup(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
