@@ -74,6 +74,47 @@ def score_generations(merged: DataFrame, aggregation: str) -> DataFrame:
     })
 
 
+def with_letters(rows: DataFrame, text: str = "gen", error: str = "error") -> DataFrame:
+    """rows with vote, the letter of the generation, and bad (none there, or an error), without the generation and the error."""
+    vote = F.when(F.col(text).isNotNull(), answer_letter(strip_reasoning(F.col(text))))
+    bad = F.col(text).isNull() | (F.coalesce(F.col(error), F.lit("")) != "")
+    return rows.withColumns({"vote": vote, "bad": bad}).drop(text, error)
+
+
+def score_letters(rows: DataFrame, aggregation: str, problem: str = "problem", index: str = "sample_index") -> DataFrame:
+    """What score_generations() gives for the samples of with_letters(), a row for each problem.
+
+    Samples are counted by letter, so a problem of any number of samples is a row for each letter.
+    """
+    if aggregation not in AGGREGATIONS:
+        raise ValueError(f"aggregation must be one of {AGGREGATIONS}")
+    tally = rows.groupBy(problem, "gold", "vote").agg(
+        F.count("*").alias("n"), F.min(index).alias("first"), F.count_if("bad").alias("bad"), F.bool_or(F.col(index) == 0).alias("zero"), F.bool_and("complete").alias("complete"),
+    )
+    found = tally.groupBy(problem).agg(
+        F.min_by("gold", "first").alias("gold"), F.sum("bad").alias("bad"), F.sum("n").alias("samples"), F.bool_or("zero").alias("zero"), F.bool_and("complete").alias("complete"),
+        F.collect_list(F.struct("vote", "n", "first")).alias("tally"),
+    )
+    gold = F.col("gold")
+    votes = F.sort_array(F.transform("tally", lambda t: F.struct(t["first"].alias("first"), t["vote"].alias("vote"), t["n"].alias("n"))))
+    total = lambda v: F.aggregate(F.filter("tally", lambda t: t["vote"] == v), F.lit(0).cast("long"), lambda a, t: a + t["n"])
+    most = F.array_max(F.transform(votes, lambda t: F.struct(total(t["vote"]).alias("n"), (-t["first"]).alias("first"), t["vote"].alias("vote"))))["vote"]
+    hits, earliest = total(gold), F.try_element_at(votes, F.lit(1))["vote"]
+    chosen = {
+        "first": earliest,
+        "majority_vote": most,
+        "any_correct": F.when(hits > 0, gold).otherwise(F.coalesce(F.try_element_at(F.filter(votes, lambda t: t["vote"] != ""), F.lit(1))["vote"], F.lit(""))),
+        "per_sample": earliest,
+    }[aggregation]
+    failed = (F.col("bad") > 0) | (F.coalesce(gold, F.lit("")) == "")
+    eligible = {"first": F.col("zero"), "per_sample": F.lit(True)}.get(aggregation, F.col("complete"))
+    right = hits if aggregation == "per_sample" else (chosen == gold).cast("long")
+    return found.select(
+        problem, F.when(~failed, chosen).alias("prediction"), F.when(failed, "failed").otherwise("completed").alias("status"), (~failed & (chosen == gold)).alias("correct"),
+        (F.col("samples") if aggregation == "per_sample" else F.lit(1).cast("long")).alias("weight"), F.when(failed, 0).otherwise(right).alias("correct_weight"), (~failed & eligible).alias("eligible"),
+    )
+
+
 def accuracy_summary(scored: DataFrame) -> DataFrame:
     """One row: acc over eligible weight, and sample, effective, failed and excluded counts, which add up."""
     on = F.col("eligible")

@@ -84,14 +84,17 @@ def with_seeds(requests: DataFrame, seed: int, prompt: str = "prompt") -> DataFr
     return requests.withColumn("seed", request_seed(seed, F.col("doc_id"), F.col(prompt), F.col("sample_index")))
 
 
-def number_rows(rows: DataFrame, order: Column, into: str = "number") -> DataFrame:
+def number_rows(rows: DataFrame, order: Column, into: str = "number", group: str | None = None) -> DataFrame:
     """rows with their place (from 0) in `order`, by range partitions and their sizes: no task sorts all rows.
 
     The ranges come from a sample, so they are fixed by a checkpoint before they are counted and used.
+    With group, places are counted in each of its values; a value's rows may stand in many ranges.
     """
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lumenfold-"))
+    if group:
+        return _number_in_groups(rows, order, into, group)
     spread = rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id()).checkpoint()
     ranked = spread.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1)
     before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -99,6 +102,15 @@ def number_rows(rows: DataFrame, order: Column, into: str = "number") -> DataFra
     return ranked.join(F.broadcast(starts), "__part").withColumn(into, F.col("__before") + F.col("__in")).drop("__part", "__in", "__before")
 
 
+def _number_in_groups(rows: DataFrame, order: Column, into: str, group: str) -> DataFrame:
+    spread = rows.repartitionByRange(F.col(group), order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    ranked = spread.withColumn("__in", F.row_number().over(Window.partitionBy("__part", group).orderBy(order)) - 1)
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = spread.groupBy("__part", group).count().select(F.col("__part").alias("__p"), F.col(group).alias("__g"), before.alias("__before"))  # ranges and groups together, at most
+    joined = ranked.join(starts, (F.col("__part") == F.col("__p")) & F.col(group).eqNullSafe(F.col("__g")))
+    return joined.withColumn(into, F.col("__before") + F.col("__in")).drop("__part", "__p", "__g", "__in", "__before")
+
+
 def equal_shards(rows: DataFrame, shards: int, order: Column) -> DataFrame:
     """rows with shard (from 0): contiguous by `order`, the first ones larger by a row where they cannot be equal."""
     total = rows.count()

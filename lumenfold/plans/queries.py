@@ -184,18 +184,18 @@ v AS (SELECT source, i, {_LETTER} AS vote, chr((65 + length(source) % 4)::INTEGE
 
 
 def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters of the documents as samples of their source: texts end at the scan, and samples are numbered by ranges."""
     docs = _read(spark, sf_dir, "documents")
     marked = F.concat("text", F.lit("\nAnswer: "), F.chr((F.lit(65) + F.col("doc_id") % 4).cast("long")))
-    by = Window.partitionBy("source")
     rows = docs.select(
-        F.col("source").alias("problem"), (F.row_number().over(by.orderBy("doc_id")) - 1).alias("sample_index"), F.when(F.col("doc_id") % 2 == 0, marked).otherwise(F.col("text")).alias("gen"),
-        F.lit(None).cast("string").alias("error"), F.count("*").over(by).alias("n_samples"), F.lit(True).alias("complete"), F.chr((F.lit(65) + F.length("source") % 4).cast("long")).alias("gold"),
+        F.col("source").alias("problem"), "doc_id", F.when(F.col("doc_id") % 2 == 0, marked).otherwise(F.col("text")).alias("gen"),
+        F.lit(None).cast("string").alias("error"), F.lit(True).alias("complete"), F.chr((F.lit(65) + F.length("source") % 4).cast("long")).alias("gold"),
     )
-    return multiple_choice.merge_samples(rows)
+    return requests.number_rows(multiple_choice.with_letters(rows), F.col("doc_id"), "sample_index", "problem")
 
 
 def _judged(spark: SparkSession, sf_dir: str, aggregation: str) -> DataFrame:
-    return multiple_choice.score_generations(_generated(spark, sf_dir), aggregation).select(F.col("problem").alias("source"), "prediction", "correct")
+    return multiple_choice.score_letters(_generated(spark, sf_dir), aggregation).select(F.col("problem").alias("source"), "prediction", "correct")
 
 
 @query(_GENERATED + " SELECT source, vote AS prediction, vote = gold AS correct FROM v WHERE i = 0")
@@ -217,7 +217,7 @@ def mc_generate_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_GENERATED + " SELECT round(avg((vote = gold)::INTEGER), 9) AS acc, count(*) AS sample_count, count(*) AS effective_count, 0::BIGINT AS failed_count, 0::BIGINT AS excluded_count FROM v")
 def mc_generate_per_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multiple_choice.accuracy_summary(multiple_choice.score_generations(_generated(spark, sf_dir), "per_sample")).withColumn("acc", F.round("acc", 9))
+    return multiple_choice.accuracy_summary(multiple_choice.score_letters(_generated(spark, sf_dir), "per_sample")).withColumn("acc", F.round("acc", 9))
 
 
 @query("""

@@ -75,7 +75,7 @@ def score_choices(rows: DataFrame, options: Options) -> Scored:
             return Scored({"acc": 0.0}, _observed(scored.filter("eligible"), F.col("correct"), "acc"), multiple_choice.accuracy_summary(scored))
     samples = _prepared(rows.withColumn("gold", F.upper(F.trim("answer"))), "doc_id", ["answer", "prompt"])
     first = samples.groupBy("problem").agg(F.min("ordinal").alias("ordinal"))
-    scored = multiple_choice.score_generations(multiple_choice.merge_samples(samples), options.aggregation).join(first, "problem")
+    scored = multiple_choice.score_letters(multiple_choice.with_letters(samples), options.aggregation).join(first, "problem")
     share = F.col("correct_weight") / F.greatest(F.col("weight"), F.lit(1))
     return Scored({"acc": 0.0}, _observed(scored.filter("eligible"), share, "acc"), multiple_choice.accuracy_summary(scored))
 

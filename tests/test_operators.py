@@ -82,6 +82,24 @@ def test_generated_choices(spark, aggregation, acc):
     assert found.sample_count == (3 if aggregation == "per_sample" else 1) == found.effective_count
 
 
+@pytest.mark.parametrize("aggregation", multiple_choice.AGGREGATIONS)
+def test_letters_as_arrays(spark, aggregation):
+    kinds = [["B", "A", "A", ""], ["", "C", "B"], ["", ""], ["B", None], ["A", "D", "D", "A"]]
+    rows = [(f"q{k}{gold}{start}", i + start, g, "lost" if (k, i, start) == (4, 1, 1) else None, k != 1, gold) for k, gens in enumerate(kinds) for gold in ("B", "D", "", None) for start in (0, 1) for i, g in enumerate(gens)]
+    df = spark.createDataFrame(rows, "problem string, sample_index int, gen string, error string, complete boolean, gold string")
+    columns = ["problem", "prediction", "status", "correct", "weight", "correct_weight", "eligible"]
+    want = multiple_choice.score_generations(multiple_choice.merge_samples(df.withColumn("n_samples", F.lit(4))), aggregation).select(columns).collect()
+    got = multiple_choice.score_letters(multiple_choice.with_letters(df), aggregation).select(columns).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 40
+
+
+def test_places_in_groups(spark):
+    rows = [(None if i % 7 == 0 else "hot" if i % 3 else f"g{i % 5}", i) for i in range(400)]
+    found = requests.number_rows(spark.createDataFrame(rows, "g string, i int").repartition(5), F.col("i"), "at", "g").collect()
+    want = {i: sum(h == g and j < i for h, j in rows) for g, i in rows}
+    assert {r.i: r["at"] for r in found} == want and len(found) == 400
+
+
 def test_incomplete_questions_are_excluded(spark):
     found = multiple_choice.accuracy_summary(multiple_choice.score_generations(merged(spark, ["B"], complete=False), "any_correct")).first()
     assert tuple(found) == (0.0, 1, 0, 0, 1)

@@ -51,3 +51,11 @@ def test_relational_queries_stay_in_the_jvm(spark, sf_dir, name):
 def test_numbering_shuffles_once(spark, sf_dir):
     plan = QUERIES["sample_index_assign"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") == 1
+
+
+@pytest.mark.parametrize("name", ["mc_generate_first", "mc_generate_majority", "mc_generate_any", "mc_generate_per_sample"])
+def test_generated_choices_group_no_texts(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line and "row_number" in line]
+    assert "collect_list(named_struct(i" not in plan and "gen#" not in plan and "text#" not in plan
+    assert windows and all("__part" in w.split("], [")[1] for w in windows)
