@@ -1,9 +1,10 @@
-"""SimHash near-duplicates: fingerprints, a byte-position inverted index with count filtering, components.
+"""SimHash near-duplicates: fingerprints, an inverted index over combinations of byte positions, components.
 
 Two 64-bit fingerprints that differ in d bits or fewer differ in d of their eight bytes at most, so
 they agree in 8 - d positions. The index has a posting for every set of 8 - d positions with the bytes
-there: each pair that reaches the guaranteed tally meets in a posting, and pairs that share fewer
-positions never meet. Met pairs are tallied and verified by their differing bits. A posting yields a
+there. These keys stand for a tally of equal bytes: a pair meets just when 8 - d positions agree. No code
+counts them; single-byte postings, which a tally needs, would each hold about a 256th of all fingerprints.
+Met pairs are verified by their differing bits. A posting yields a
 tree over its linked members, not their pairs. Postings beyond a size are handled exactly by centres
 instead (see _centre_links).
 """
