@@ -2,15 +2,16 @@
 
 Lengths are whole numbers up to the capacity, so however many documents there are the problem is a
 histogram with `capacity` entries at most. The plan is made on that histogram: around the largest
-remaining length, undominated fillings of the rest of its sequence are enumerated, the best fit first;
+remaining length, undominated fillings of the rest of its sequence are enumerated lazily, the fullest first;
 a filling is applied as often as the counts allow. Depth-first search over the fillings prunes a branch
-whose waste so far leaves no fewer sequences than the incumbent, which is at first the best-fit descent.
+whose waste so far leaves no fewer sequences than the incumbent, which is at first the best-fit plan.
 The plan, not the documents, is what the driver holds; pieces find their places by their rank among
 the pieces of their length.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -25,182 +26,216 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenfold.llm.common import kept_in_worker, map_texts, stored
+from lumenfold.llm.merges import PairMerges, byte_letters
 
 CAPACITY = 4096
-#: Nodes of the search after the first descent; a plan that meets the lower bound ends it sooner.
-NODES = 20_000
-#: Fillings of a sequence that a node tries, where more than FEW lengths are left; with FEW or less it tries all.
-FILLINGS, FEW = 3, 14
-#: Largest members that begin a triple of a filling.
-TRIPLES = 48
+#: Steps of the search: lengths tried in fillings, and NODE steps for each node; a plan that meets the lower bound ends it sooner.
+STEPS, NODE = 2_000_000, 100
 #: Rows of one rank window.
 RANK_ROWS = 4_000
-REMEMBERED = 400_000
+#: Words that a worker remembers, at most.
+REMEMBERED = 500_000
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
     """Sequences that any packing needs: by total, and by large lengths that cannot share one (for every cut)."""
-    sizes = np.arange(capacity + 1)
-    total = int((counts * sizes).sum())
-    best = -(-total // capacity)
-    for k in range(capacity // 2 + 1):
-        above = int(counts[capacity - k + 1 :].sum())
-        half = int(counts[capacity // 2 + 1 : capacity - k + 1].sum())
-        room = half * capacity - int((counts * sizes)[capacity // 2 + 1 : capacity - k + 1].sum())
-        rest = int((counts * sizes)[max(k, 1) : capacity // 2 + 1].sum())
-        best = max(best, above + half + max(0, -(-(rest - room) // capacity)))
-    return best
-
-
-def _reach(counts: np.ndarray) -> np.ndarray:
-    """For each size the largest length present that is no larger (0: none)."""
-    return np.maximum.accumulate(np.where(counts > 0, np.arange(len(counts)), 0))
-
-
-def _pairs(counts: np.ndarray, reach: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each length a with the largest b <= a that fits beside it."""
-    a = np.nonzero(counts[: room + 1])[0][::-1]
-    b = reach[np.minimum(room - a, a)]
-    twice = (b == a) & (counts[a] < 2)
-    b[twice] = reach[np.maximum(b[twice] - 1, 0)]
-    return a, b
-
-
-def all_fillings(counts: np.ndarray, room: int) -> list[tuple[int, ...]]:
-    """Every set of lengths to which none can be added, the fullest first."""
-    sizes = [int(s) for s in np.nonzero(counts[: room + 1])[0][::-1] if s]
-    out: list[tuple[int, ...]] = []
-
-    def extend(i: int, room: int, chosen: tuple[int, ...], spare: int) -> None:
-        """spare: the least length that was left over so far."""
-        if i == len(sizes):
-            if spare > room:
-                out.append(chosen)
-            return
-        most = min(int(counts[sizes[i]]), room // sizes[i])
-        for n in range(most, -1, -1):
-            extend(i + 1, room - n * sizes[i], chosen + (sizes[i],) * n, sizes[i] if n < counts[sizes[i]] else spare)
-
-    extend(0, room, (), room + 1)
-    return sorted(out, key=sum, reverse=True)
-
-
-def fillings(counts: np.ndarray, room: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated sets of lengths for `room`, the fullest first.
-
-    A set is left out when one member that fills no less could stand for several: pairs are kept only
-    where they beat the best single, triples where they beat the best pair. Room for many members is
-    first filled with the largest ones, as best fit does, and the end of it searched.
+    tokens = counts * np.arange(capacity + 1)
+    number, total = np.cumsum(counts), np.cumsum(tokens)
+    half, k = capacity // 2, np.arange(capacity // 2 + 1)
+    above = number[-1] - number[capacity - k]  # beside these nothing of length k or more fits
+    middle = number[capacity - k] - number[half]
+    room = middle * capacity - (total[capacity - k] - total[half])
+    small = total[half] - total[np.maximum(k, 1) - 1]
+    cuts = above + middle + np.maximum(0, -(-(small - room) // capacity))
+    return max(int(-(-total[-1] // capacity)), int(cuts.max()))
+
+
+def _upto(bits: int, most: int) -> int:
+    """The largest set bit of `bits` that is no larger than `most`; -1 without one."""
+    return (bits & ((2 << most) - 1)).bit_length() - 1
+
+
+def _smeared(bits: int, n: int) -> int:
+    """Every bit together with the n bits above it."""
+    done = 0
+    while done < n:
+        step = min(done + 1, n - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+class Spent(Exception):
+    """The steps of a search are used up."""
+
+
+class Fillings:
+    """The undominated sets of lengths for a room, lazily, the fullest first.
+
+    A set is dominated if a length left out could stand for one smaller member or for several members and
+    still fit, or be added: a packing that uses the other set instead is no worse. Sets are built from
+    the largest member down, so whatever dominates a beginning dominates all that go on from it, and they
+    are cut there.
     """
-    counts, head = counts.copy(), []
-    counts[0] = 0
-    if counts[: room + 1].sum() <= FEW:
-        return all_fillings(counts, room)
-    while True:
-        reach = _reach(counts)
-        largest = int(reach[min(room, len(counts) - 1)])
-        if not largest or room <= 3 * largest:
-            break
-        k = min(int(counts[largest]), (room - 2 * largest) // largest)
-        head += [largest] * k
-        counts[largest] -= k
-        room -= k * largest
-    if not largest:
-        return [tuple(head)]
-    found: dict[int, tuple[int, ...]] = {largest: (largest,)}
-    if largest < room:
-        a, b = _pairs(counts, reach, room)
-        sums = a + b
-        for i in np.argsort(-sums, kind="stable")[:most].tolist():
-            if sums[i] > largest and b[i]:
-                found.setdefault(int(sums[i]), (int(a[i]), int(b[i])))
-        best = max(found)
-        if best < room:
-            for first in np.nonzero(counts[: room + 1])[0][::-1][:TRIPLES].tolist():
-                counts[first] -= 1
-                here = reach if counts[first] else _reach(counts)
-                a, b = _pairs(counts, here, room - first)
-                counts[first] += 1
-                if not len(a):
-                    continue
-                sums = a + b + first
-                i = int(sums.argmax())
-                if sums[i] > best and b[i]:
-                    found.setdefault(int(sums[i]), (first, int(a[i]), int(b[i])))
-                    if sums[i] == room:
-                        break
-    out = [tuple(head) + found[s] for s in sorted(found, reverse=True)[:most]]
-    if not head and len(out) < most and counts.sum() and room not in found:
-        out.append(())
-    return out
+
+    def __init__(self, counts: np.ndarray, room: int):
+        self.room = room
+        self.counts = counts
+        self.present = int.from_bytes(np.packbits(counts[: room + 1] > 0, bitorder="little").tobytes(), "little") & ~1
+        self.sums = self._sums()
+
+    def _sums(self) -> int:
+        """The sums, up to the room, that available lengths add up to, as bits."""
+        full, sums, rest = (2 << self.room) - 1, 1, self.present
+        while rest and sums != full:
+            low = rest & -rest
+            size, rest = low.bit_length() - 1, rest ^ low
+            n, k = min(int(self.counts[size]), self.room // size), 1
+            while n > 0:
+                sums |= sums << size * min(k, n) & full
+                n, k = n - k, 2 * k
+        return sums
+
+    def each(self, spend) -> Iterator[tuple[int, ...]]:
+        """The sets; spend() is called at each length tried."""
+        total = self.room
+        while (total := _upto(self.sums, total)) >= 0:
+            yield from self._of_total(total, spend)
+            total -= 1
+            if total < 0:
+                return
+
+    def _of_total(self, total: int, spend) -> Iterator[tuple[int, ...]]:
+        spare = self.room - total
+        members: list[int] = []
+        # What is to be filled, the largest length to try next, the sums of one and of several members, lengths with a copy left.
+        frames = [(total, total, 0, 0, self.present)]
+        while frames:
+            rest, top, ones, several, left = frames[-1]
+            size = _upto(left, min(top, rest)) if rest else 0
+            if not rest and not left & ((2 << spare) - 1):
+                yield tuple(members)
+            if size <= 0:
+                frames.pop()
+                if members:
+                    members.pop()
+                continue
+            spend()
+            frames[-1] = (rest, size - 1, ones, several, left)
+            if not self.sums >> (rest - size) & 1:
+                continue
+            if members.count(size) + 1 == self.counts[size]:
+                left &= ~(1 << size)
+            several |= several << size | ones << size
+            ones |= 1 << size
+            if _smeared(several, spare) & left or spare and _smeared(ones << 1, spare - 1) & left:
+                continue
+            members.append(size)
+            frames.append((rest - size, size, ones, several, left))
 
 
 Step = tuple[tuple[int, ...], int]
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> tuple[list[Step], int]:
+def best_fit(counts: np.ndarray, capacity: int) -> list[Step]:
+    """The first incumbent: each sequence begins with the largest length and takes the largest that fits, again and again."""
+    left, steps = counts.astype(np.int64).copy(), []
+    present = int.from_bytes(np.packbits(left > 0, bitorder="little").tobytes(), "little") & ~1
+    while present:
+        members: list[int] = []
+        taken: Counter = Counter()
+        room, open_ = capacity, present
+        while (size := _upto(open_, room)) > 0:
+            members.append(size)
+            taken[size] += 1
+            room -= size
+            if taken[size] == left[size]:
+                open_ &= ~(1 << size)
+        times = min(int(left[m]) // n for m, n in taken.items())
+        for m, n in taken.items():
+            left[m] -= n * times
+            if not left[m]:
+                present &= ~(1 << m)
+        steps.append((tuple(members), times))
+    return steps
+
+
+def plan(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> tuple[list[Step], int]:
     """[(lengths of a sequence, how many such sequences)] and the lower bound, for counts[length].
 
-    Exhausted search or a plan as small as the bound is optimal; otherwise it is the best of `nodes` nodes.
+    A plan as small as the bound, or one found when the search ends by itself, is optimal; otherwise it is the
+    best of the plans met in `steps` steps, the best-fit plan among them.
     """
-    sizes = np.arange(capacity + 1)
     need = lower_bound(counts, capacity)
-    best: list[Step] | None = None
-    fewest = np.inf
-
-    def options(left: np.ndarray) -> list[Step]:
+    best = best_fit(counts, capacity)
+    fewest = sum(times for _, times in best)
+    left = counts.astype(np.int64).copy()
+    spent = 0
+
+    def spend(n: int = 1) -> None:
+        nonlocal spent
+        spent += n
+        if spent > steps:
+            raise Spent
+
+    def choices() -> Iterator[tuple[Counter, int]]:
+        """Fillings around the largest length left, each as often as the counts allow, then once.
+
+        A filling once leaves all other ways of filling further sequences open, so no plan is passed over.
+        """
         top = int(np.nonzero(left)[0][-1])
         left[top] -= 1
-        sets = fillings(left, capacity - top)
+        found = Fillings(left, capacity - top)
+        found.counts = left.copy()
         left[top] += 1
-        steps = []
-        for s in sets:
-            members = (top, *s)
-            times = min(int(left[m]) // n for m, n in Counter(members).items())
-            steps.append((members, times))
-        return steps
-
-    stack: list[tuple[np.ndarray, int, list[Step], int]] = []
-    left, used, path = counts.astype(np.int64).copy(), 0, []
-    visited = 0
-    while True:
-        while left.any():
-            total = int((left * sizes).sum())
-            if used + -(-total // capacity) >= fewest:
+        for rest in found.each(spend):
+            members = Counter((top, *rest))
+            times = min(int(left[m]) // n for m, n in members.items())
+            yield members, times
+            if times > 1:
+                yield members, 1
+
+    path: list[tuple[Counter, int]] = []
+    open_nodes: list[Iterator[tuple[Counter, int]]] = []
+    used = 0
+    try:
+        while fewest > need:
+            spend(NODE)
+            if left.any():
+                deeper = used + lower_bound(left, capacity) < fewest
+            else:
+                deeper = False
+                if used < fewest:
+                    fewest, best = used, [(tuple(sorted(m.elements(), reverse=True)), times) for m, times in path]
+            if deeper:
+                open_nodes.append(choices())
+            elif path:
+                used -= _apply(left, path.pop(), -1)
+            while open_nodes and (found := next(open_nodes[-1], None)) is None:
+                open_nodes.pop()
+                if path:
+                    used -= _apply(left, path.pop(), -1)
+            if not open_nodes:
                 break
-            choices = options(left)
-            stack.append((left, used, choices[1:], len(path)))
-            members, times = choices[0]
-            left = left.copy()
-            for m in members:
-                left[m] -= times
-            used += times
-            path = [*path, (members, times)] if best is not None else path + [(members, times)]
-            visited += 1
-        else:
-            if used < fewest:
-                best, fewest = path, used
-        if fewest <= need or visited > nodes + len(best or ()):
-            break
-        while stack and not stack[-1][2]:
-            stack.pop()
-        if not stack:
-            break
-        base, used, choices, depth = stack.pop()
-        members, times = choices[0]
-        times = 1 if len(choices) else times
-        stack.append((base, used, choices[1:], depth))
-        left = base.copy()
-        for m in members:
-            left[m] -= times
-        path = [*path[:depth], (members, times)]
-        used += times
-        visited += 1
-    return best or [], need
+            path.append(found)
+            used += _apply(left, found, 1)
+    except Spent:
+        pass
+    return best, need
+
+
+def _apply(left: np.ndarray, step: tuple[Counter, int], sign: int) -> int:
+    members, times = step
+    for m, n in members.items():
+        left[m] -= sign * n * times
+    return times
 
 
 class PieceMaker:
-    """Token ids of texts by a lower-casing word-level BPE tokenizer file, remembered by word as little-endian bytes."""
+    """Token ids of texts by a lower-casing word-level BPE tokenizer file, remembered by word as little-endian bytes.
+
+    Words of lower-case Latin letters are merged in batches by the file's ranks; all else goes to the library.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -209,21 +244,47 @@ class PieceMaker:
         self.tokenizer = Tokenizer.from_file(path)
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))).search if specials else None
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self.merges = PairMerges(model)
+        ends = model.get("end_of_word_suffix") or ""
+        self.inner, self.last = (np.array([model["vocab"][c + e] for c in byte_letters()], dtype=np.int64) for e in ("", ends))
         self.known: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _merge(self, words: list[bytes]) -> list[bytes]:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        symbols = self.inner[raw]
+        ends = np.cumsum(sizes) - 1
+        symbols[ends] = self.last[raw[ends]]
+        symbols, row = self.merges.merge(symbols, np.repeat(np.arange(len(words)), sizes))
+        cuts = (4 * np.cumsum(np.bincount(row, minlength=len(words)))).tolist()
+        ids = symbols.astype("<u4").tobytes()
+        return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
+
     def _learn(self, wanted: set[bytes]) -> None:
-        new = [w for w in wanted if w not in self.known]
-        if len(self.known) + 2 * len(new) > REMEMBERED:
-            self.known = {b"": b""}
-            new = list(wanted)
-        ends = {w: m.groups() for w in new if (m := TAIL(w))}
-        whole = [w for w in new if w not in ends]
-        whole = [w for w in {*whole, *(part for pair in ends.values() for part in pair)} if w not in self.known]
-        self.known.update(zip(whole, self._encode([w.decode("utf-8") for w in whole])))
-        self.known.update((w, self.known[stem] + self.known[tail]) for w, (stem, tail) in ends.items())
+        """Makes all wanted words known. Words of the memory before the last are taken over when they are met again."""
+        if len(self.known) > REMEMBERED // 2:
+            self.older, self.known = self.known, {b"": b""}
+        known, older = self.known, self.older
+        new = wanted.difference(known)
+        met = [w for w in new if w in older]
+        known.update((w, older[w]) for w in met)
+        new.difference_update(met)
+        plain = [w for w in new if PLAIN(w)]
+        odd = new.difference(plain)
+        ends = {w: m.groups() for w in odd if (m := TAIL(w))}
+        parts = {part for pair in ends.values() for part in pair}.difference(known, plain)
+        plain += [w for w in parts if PLAIN(w)]
+        rest = list(odd.difference(ends).union(parts).difference(plain))
+        if plain:
+            known.update(zip(plain, self._merge(plain)))
+        known.update(zip(rest, self._encode([w.decode("utf-8") for w in rest])))
+        known.update((w, known[stem] + known[tail]) for w, (stem, tail) in ends.items())
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """No token spans a space or line end, so texts are cut there, A-Z lowered first as the tokenizer does;
@@ -236,6 +297,8 @@ class PieceMaker:
 
 #: A-Z in lower case, line ends as spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 10 else c for c in range(256))
+#: A word of lower-case letters that no normal form changes: a to z and those of Latin-1 with two bytes.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 #: A word that ends in ASCII punctuation after a letter or digit (no apostrophe): two tokens' texts at least.
 TAIL = re.compile(rb"([^']*[a-z0-9])([!-&(-/:-@\[-`{-~]+)").fullmatch
 
@@ -290,7 +353,7 @@ def _places(steps: list[Step]) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES, keys: list[str] | None = None) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, steps: int = STEPS, keys: list[str] | None = None) -> DataFrame:
     """pieces (length from 1 to capacity, piece, keys) with sequence_id and offset, in as few sequences as the plan finds.
 
     Offsets of a sequence are gapless from 0. Pieces that are alike in every column get different places.
@@ -301,8 +364,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES, keys:
     counts = np.zeros(capacity + 1, np.int64)
     for r in histogram:
         counts[r["length"]] = r["count"]
-    steps, _ = plan(counts, capacity, nodes)
-    places = pieces.sparkSession.sparkContext.broadcast(_places(steps))  # bounded by the histogram, not by the pieces
+    planned, _ = plan(counts, capacity, steps)
+    places = pieces.sparkSession.sparkContext.broadcast(_places(planned))  # bounded by the histogram, not by the pieces
     ranked = _ranked(pieces, keys)
     names = [c for c in ranked.columns if c != "__rank"]
 
@@ -323,10 +386,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES, keys:
     return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, vocab: str, end_id: int = 1, capacity: int = CAPACITY, nodes: int = NODES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocab: str, end_id: int = 1, capacity: int = CAPACITY, steps: int = STEPS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are the end id alone. Only documents longer than the capacity are cut. Ids may be
     null or repeat: every row is a document of its own. Other columns are ignored, whatever their names.
     """
-    return pack(stored(token_pieces(docs, vocab, end_id, capacity, id_col, text_col), "pieces"), capacity, nodes, [id_col])
+    return pack(stored(token_pieces(docs, vocab, end_id, capacity, id_col, text_col), "pieces"), capacity, steps, [id_col])

@@ -1,10 +1,7 @@
 """Token counts of a byte-level BPE tokenizer by rank-synchronous merging over ragged numpy arrays.
 
-A batch of pre-tokens is one flat symbol array with row starts. Each round looks up the rank of every
-adjacent pair, takes each row's lowest, applies that pair at all its places in the row at once (left
-to right where places overlap), and squeezes the array. Rows without a ranked pair leave; their
-surviving symbols are their tokens. This gives the tokens of pairwise merging by rank, as a merge only
-makes pairs of later rank.
+Texts are cut into pre-tokens, those not met before are merged in one batch (see merges.py), and a text's
+count is the sum of its pre-tokens' surviving symbols.
 """
 
 from __future__ import annotations
@@ -19,22 +16,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from lumenfold.llm.common import kept_in_worker, map_texts
+from lumenfold.llm.merges import PairMerges, byte_letters
 
 #: Fixed value: the byte-level pre-token pattern of this tokenizer family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of each memory of counts in a worker; a full one is emptied.
 REMEMBERED = 400_000
-NONE = np.iinfo(np.int32).max
-
-
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte: itself where printable, else the next one from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    letters, spare = [], 256
-    for b in range(256):
-        letters.append(chr(b) if b in plain else chr(spare))
-        spare += b not in plain
-    return letters
 
 
 class ByteMerger:
@@ -46,81 +33,18 @@ class ByteMerger:
         vocab = spec["model"]["vocab"]
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.first = np.array([vocab[c] for c in byte_letters()], dtype=np.int64)
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], dtype=np.int64)
-        self._hash_pairs(keys)
-        self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
+        self.merges = PairMerges(spec["model"])
         self.pretokens = regex.compile(PATTERN).findall
         self.split_specials = re.compile("|".join(map(re.escape, self.specials))).split if self.specials else None
         self.of_pretoken: dict[str, int] = {}
         self.of_chunk: dict[str, int] = {}
 
-    def _hash_pairs(self, keys: np.ndarray) -> None:
-        """An open-addressing table of the pairs, eight slots a pair, so that few lookups go on to a next slot."""
-        self.shift = np.uint64(64 - max(3, int(len(keys)).bit_length() + 3))
-        self.slots = np.full(1 << (64 - int(self.shift)), -1, np.int64)
-        self.slot_ranks = np.full(len(self.slots), NONE, np.int32)
-        rest = np.arange(len(keys))
-        at = self._slot(keys)
-        while len(rest):
-            free = self.slots[at[rest]] < 0
-            won = rest[free][np.unique(at[rest[free]], return_index=True)[1]]
-            self.slots[at[won]], self.slot_ranks[at[won]] = keys[won], won
-            rest = rest[self.slots[at[rest]] != keys[rest]]
-            at[rest] = (at[rest] + 1) & (len(self.slots) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-
-    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys = left << 20 | right
-        at = self._slot(keys)
-        there = self.slots[at]
-        ranks = np.where(there == keys, self.slot_ranks[at], NONE)
-        rest = np.nonzero((there != keys) & (there >= 0))[0]
-        while len(rest):
-            at[rest] = (at[rest] + 1) & (len(self.slots) - 1)
-            there = self.slots[at[rest]]
-            ranks[rest] = np.where(there == keys[rest], self.slot_ranks[at[rest]], NONE)
-            rest = rest[(there != keys[rest]) & (there >= 0)]
-        return ranks
-
     def merged_lengths(self, tokens: list[str]) -> np.ndarray:
         """How many symbols survive in each pre-token."""
         raw = [t.encode("utf-8") for t in tokens]
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        counts = sizes.copy()
-        row = np.repeat(np.arange(len(raw)), sizes)
-        symbols = self.first[np.frombuffer(b"".join(raw), np.uint8)]
-        rank = np.full(len(symbols), NONE, np.int32)
-        pair = np.nonzero(row[1:] == row[:-1])[0]
-        rank[pair] = self._rank(symbols[pair], symbols[pair + 1])
-        while len(symbols) > 1:
-            starts = np.concatenate(([0], np.nonzero(row[1:] != row[:-1])[0] + 1))
-            lowest = np.minimum.reduceat(rank, starts)
-            lengths = np.diff(np.concatenate((starts, [len(symbols)])))
-            counts[row[starts]] = lengths
-            alive = np.repeat(lowest < NONE, lengths)
-            # Of adjoining places (a pair of equal symbols) every other one is applied.
-            at = np.nonzero((rank == np.repeat(lowest, lengths)) & alive)[0]
-            if not len(at):
-                return counts
-            begins = np.concatenate(([True], np.diff(at) > 1))
-            run = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
-            at = at[(np.arange(len(at)) - run) % 2 == 0]
-            symbols[at] = self.made[rank[at]]
-            alive[at + 1] = False
-            now = (np.cumsum(alive) - 1)[at]
-            symbols, row, rank = symbols[alive], row[alive], rank[alive]
-            # Only pairs beside a new symbol have a new rank.
-            for pair in (now, now[now > 0] - 1):
-                rank[pair] = NONE
-                pair = pair[pair + 1 < len(symbols)]
-                pair = pair[row[pair] == row[pair + 1]]
-                rank[pair] = self._rank(symbols[pair], symbols[pair + 1])
-        if len(symbols):
-            counts[row] = 1
-        return counts
+        row = np.repeat(np.arange(len(raw)), np.fromiter(map(len, raw), np.int64, len(raw)))
+        _, left = self.merges.merge(self.first[np.frombuffer(b"".join(raw), np.uint8)], row)
+        return np.bincount(left, minlength=len(raw))
 
     def _learn_pretokens(self, wanted: set[str]) -> None:
         new = [t for t in wanted if t not in self.of_pretoken]
