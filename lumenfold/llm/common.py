@@ -60,6 +60,14 @@ def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) ->
         yield batch.slice(start)
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """name, with underscores added until no column is called so (names do not tell upper from lower case)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def release_worker() -> None:
     """Lets go what another operator kept in this Python worker."""
     _KEPT[:] = [None, None]

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import numpy as np
 
@@ -60,6 +61,47 @@ def test_longest_match_and_removal(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
 
 
+def longest_at(text, items, window):
+    """[(first word, length)] of the longest matches that are not part of the one a word before."""
+    ws, best = split(text), {}
+    for _, item_text in items:
+        its = split(item_text)
+        size = min(window, len(its))
+        for a in range(len(ws)):
+            for b in range(len(its)):
+                n = 0
+                while a + n < len(ws) and b + n < len(its) and ws[a + n] == its[b + n]:
+                    n += 1
+                if size and n >= size:
+                    best[a] = max(best.get(a, 0), n)
+    return sorted((a, n) for a, n in best.items() if best.get(a - 1, 0) != n + 1)
+
+
+def test_longest_matches_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    text = lambda most: " ".join(rng.choice(["a", "b", "c", "zz"], rng.integers(0, most)))
+    docs, items = [(i, text(40)) for i in range(40)], [(i, text(14)) for i in range(8)] + [(9, "a a a a a a a")]
+    found = decontaminate.contamination(spark.createDataFrame([(i, t, "x") for i, t in docs], DOCS), spark.createDataFrame(items, ITEMS), 3).collect()
+    for r in found:
+        want = longest_at(dict(docs)[r.doc_id], items, 3)
+        assert sorted((m["first"], m["length"]) for m in r.matches or []) == want
+        assert r.longest_match == max((n for _, n in want), default=0)
+
+
+def test_repeated_words_are_linear():
+    began = time.time()
+    block = decontaminate.Suffixes([("1", "a " * 5000), ("2", "b")], 10)
+    sizes, (text, first, head), (_, start, length, _) = decontaminate.match_shard(["a " * 100_000, None, "b a b"], block)
+    assert sizes.tolist() == [100_000, 0, 3] and len(text) == 100_000 - 9 + 2 and length.max() == 5000 and len(start) < 100_000
+    assert time.time() - began < 10
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "p a b c", 4, "x", "y"), (2, "none", 5, None, "z")], "doc_id long, text string, __n_hit long, __Hits string, __spans string")
+    kept = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, "a b c")], ITEMS), 3)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "none", 5, None, "z")]
+
+
 def test_whole_table(spark, sf_dir):
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     items = [(r.item_id, r.text) for r in read("benchmark").collect()]
