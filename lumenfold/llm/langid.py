@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import crc_fold, map_texts, release_worker
-from lumenfold.llm.samples import bounded_sample
+from lumenfold.llm.samples import bounded_sample, different_texts
 
 #: Labelled texts of each language that the model is fitted on.
 PER_LANGUAGE = 600
 BUCKET_BITS, DIMENSIONS = 15, 16
-EPOCHS, RATE = 4, 0.5
-#: Bytes of the pieces of texts that the fit sees; every text gives several, from all of it.
-PIECE, PIECES = 160, 6
+EPOCHS, RATE = 1, 0.5
+#: Characters of the pieces that texts are cut into for the fit, which sees all of every text.
+SHORTEST, LONGEST = 12, 160
 #: Share of the calibration texts' accepted predictions that may be wrong.
 ERRORS = 0.01
 UNDETERMINED = "und"
@@ -75,8 +75,9 @@ class LanguageModel:
         examples = []
         for i in order[cut:].tolist():
             text, lang = texts[i]
-            starts = rng.integers(0, max(1, len(text) - PIECE + 1), PIECES) if len(text) > PIECE else [0]
-            examples += [(b, number[lang]) for s in starts if len(b := subwords(text[s : s + int(rng.integers(12, PIECE + 1))]))]
+            ends = np.cumsum(rng.integers(SHORTEST, LONGEST + 1, len(text) // SHORTEST + 1))
+            cuts = [0, *ends[ends < len(text)].tolist(), len(text)]
+            examples += [(b, number[lang]) for a, z in zip(cuts, cuts[1:]) if len(b := subwords(text[a:z]))]
         n, width = len(model.languages), DIMENSIONS
         embed = rng.normal(0, 1 / width, (1 << BUCKET_BITS, width))
         weights, bias = rng.normal(0, 0.1, (width, n)), np.zeros(n)
@@ -142,8 +143,7 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """
     fold = crc_fold(F.col(id_col), 3)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).filter((fold != 1) & F.col(text_col).isNotNull())
-    chosen = bounded_sample(rows, "id", "lang", per_language)
-    texts = sorted({(r.t, r.lang) for r in chosen.select("t", "lang").collect()})
+    texts = different_texts(bounded_sample(rows, "id", "lang", per_language), "t", "lang", per_language)
     shared = docs.sparkSession.sparkContext.broadcast(LanguageModel.fit(texts))  # a table of fixed size
 
     def make():

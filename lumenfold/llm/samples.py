@@ -28,5 +28,15 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, train: Column
     """
     wanted = labels.select(id_col, F.col(label).alias("__label")).filter(train & F.col(id_col).isNotNull())
     wanted = bounded_sample(wanted, id_col, "__label", per_label)
-    found = docs.select(id_col, text_col).filter(F.col(text_col).isNotNull()).join(F.broadcast(wanted), id_col)  # bounded by the sample
-    return sorted({(r[text_col], r["__label"]) for r in found.select(text_col, "__label").collect()})
+    ids = wanted.select(F.col(id_col).alias("__id"), "__label").distinct()
+    found = docs.select(F.col(id_col).alias("__of"), F.col(text_col).alias("__text")).filter(F.col("__text").isNotNull())
+    joined = found.join(F.broadcast(ids), F.col("__of") == F.col("__id"))  # bounded by the sample
+    return different_texts(joined, "__text", "__label", per_label)
+
+
+def different_texts(rows: DataFrame, text: str, label: str, per_label: int) -> list[tuple]:
+    """Different (text, label) in order of text, 8 * per_label at most, the least by a hash of the text: an id that
+    stands in very many rows brings no more of them to the driver."""
+    pairs = rows.select(text, label).filter(F.col(label).isNotNull()).distinct()
+    found = pairs.orderBy(F.xxhash64(text), text, label).limit(8 * per_label).collect()
+    return sorted((r[text], r[label]) for r in found)
