@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm.common import fresh, stored
+
 #: A line on more than this share of its host's pages is boilerplate.
 RATIO = 0.1
 #: Pages of a host below which nothing is known of it.
@@ -74,37 +76,39 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MI
     A text without a line left is empty; a null text stays null. Texts are otherwise byte for byte what
     they were, line ends included. length_col, if given, is set to the characters of the new text.
     """
-    hosts = boilerplate(pages, ratio, min_pages, host_col, text_col, common).groupBy("host").agg(F.collect_set("digest").alias("__drop"))
-    size = hosts.agg(F.sum(F.size("__drop") * 40 + F.coalesce(F.octet_length("host"), F.lit(0)) + 64)).first()[0] or 0
-    hosts = hosts.withColumnRenamed("host", "__host")
-    same = F.col(f"`{host_col}`").eqNullSafe(F.col("__host"))
+    host, drop, salt, at, changed = (fresh(pages.columns, n) for n in ("__host", "__drop", "__salt", "__at", "__new"))
+    hosts = boilerplate(pages, ratio, min_pages, host_col, text_col, common).groupBy("host").agg(F.collect_set("digest").alias(drop))
+    hosts = stored(hosts.withColumnRenamed("host", host), "boilerplate")  # counted once, for the size and for the join
+    size = hosts.agg(F.sum(F.size(drop) * 40 + F.coalesce(F.octet_length(host), F.lit(0)) + 64)).first()[0] or 0
+    same = F.col(f"`{host_col}`").eqNullSafe(F.col(host))
     if size <= BROADCAST_BYTES:
         joined = pages.join(F.broadcast(hosts), same, "left")
     else:
-        hosts = hosts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = pages.withColumn("__at", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in pages.columns]), F.lit(SALTS)).cast("int"))
-        joined = salted.join(hosts, same & (F.col("__at") == F.col("__salt")), "left")
+        hosts = hosts.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = pages.withColumn(at, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in pages.columns]), F.lit(SALTS)).cast("int"))
+        joined = salted.join(hosts, same & (F.col(at) == F.col(salt)), "left")
     text = F.col(f"`{text_col}`")
-    kept = F.array_join(F.filter(_lines(text), lambda x: ~F.array_contains(F.col("__drop"), _digest(x))), "\n")
-    new = F.when(F.col("__drop").isNull() | text.isNull(), text).otherwise(kept)
-    out = joined.withColumn("__new", new)
-    columns = {text_col: F.col("__new")}
+    kept = F.array_join(F.filter(_lines(text), lambda x: ~F.array_contains(F.col(drop), _digest(x))), "\n")
+    new = F.when(F.col(drop).isNull() | text.isNull(), text).otherwise(kept)
+    out = joined.withColumn(changed, new)
+    columns = {text_col: F.col(changed)}
     if length_col:
-        columns[length_col] = F.length("__new").cast(pages.schema[length_col].dataType)
+        columns[length_col] = F.length(changed).cast(pages.schema[length_col].dataType)
     return out.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in pages.columns])
 
 
 #: The same in DuckDB over the table documents.
 SQL = f"""
 WITH pages AS (SELECT doc_id, source, text, n_chars FROM documents),
-totals AS (SELECT source, count(*) AS host_pages FROM pages GROUP BY source),
-lines AS (SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM pages),
+totals AS (SELECT source, count(*) AS host_pages, count(DISTINCT text) AS host_texts FROM pages GROUP BY source),
+lines AS (SELECT source, text, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM pages),
 counted AS (
-  SELECT source, line, count(*) AS n FROM lines
+  SELECT source, line, count(*) AS n, count(DISTINCT text) AS texts FROM lines
   WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY source, line),
 dropped AS (
   SELECT c.source, list(c.line) AS gone FROM counted c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
-  WHERE t.host_pages >= {MIN_PAGES} AND c.n > {RATIO} * t.host_pages GROUP BY c.source)
+  WHERE t.host_pages >= {MIN_PAGES} AND (c.n > {RATIO} * t.host_pages
+    OR (c.texts >= {COMMON_TEXTS} AND c.texts > {COMMON} * t.host_texts)) GROUP BY c.source)
 SELECT p.doc_id, p.source,
   CASE WHEN d.gone IS NULL OR p.text IS NULL THEN p.text
        ELSE array_to_string(list_filter(string_split(p.text, chr(10)), lambda x: NOT list_contains(d.gone, x)), chr(10)) END AS text
@@ -114,4 +118,4 @@ FROM pages p LEFT JOIN dropped d ON p.source IS NOT DISTINCT FROM d.source
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, source, text) of documents without boilerplate lines; the host is the source."""
-    return drop_boilerplate(docs.select("doc_id", "source", "text"))
+    return drop_boilerplate(docs.select("doc_id", "source", "text"), common=COMMON)
