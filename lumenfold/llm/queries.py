@@ -42,8 +42,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.capture_index(_table(spark, sf_dir, "pages"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.capture_index(_table(spark, sf_dir, "pages"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,7 +134,10 @@ def prepare(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_c
     groups = stored(groups.filter("n > 1 and last is not null").select("key", "last"), "copied-digests")
     # One row a digest on the right; where they are many, a digest with very many pages is a skewed key that
     # adaptive execution splits.
-    joined = rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups, "key", "left")
+    small = groups.count() <= BROADCAST_ROWS
+    joined = rows.join(F.broadcast(groups) if small else groups, "key", "left")
+    if not small:  # archives are written from rows in a fixed order, also by a task that runs again
+        joined = stored(joined, "judged-pages")
     again = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     return joined.select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("last")).alias("refers_to"))
 
@@ -300,13 +303,22 @@ def capture_index(pages: DataFrame, folder: str | None = None, min_bytes: int =
     runs = write_archives(prepare(pages, min_bytes), folder, archive_bytes)
     index = histories(stored(merge_runs(runs, rows_per_task), "capture-index"))
     records = stored(read_archives(spark, folder, runs), "records")  # so that the join knows its size
-    joined = records.join(index.select("run", "offset", "url_key", "timestamp", "capture_no"), ["run", "offset"])
-    return joined.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "capture_no")
-
-
-#: The contract's columns in DuckDB over the table pages (the base32 digest is built from the hex one).
-SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+    joined = records.join(index.select("run", "offset", "url_key", "timestamp", "capture_no"), ["run", "offset"], "left")
+    lost = F.raise_error(F.concat(F.lit("no capture in the index for the record at "), F.col("offset").cast("string"), F.lit(" of "), F.col("run")))
+    found = F.when(F.col("capture_no").isNotNull(), F.col("capture_no")).otherwise(lost.cast("long"))
+    return joined.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", found.alias("capture_no"))
+
+
+#: The same in DuckDB over the table pages (the base32 digest is built from the hex one; page ids make capture times differ).
+SQL = r"""
+WITH u AS (SELECT page_id, lower(trim(url)) AS url, regexp_extract(lower(trim(url)), '^[a-z]+://([^/?#:]+)', 1) AS host FROM pages),
+k AS (SELECT page_id, CASE WHEN coalesce(url, '') = '' THEN '-' ELSE
+    array_to_string(list_reverse(string_split(regexp_replace(host, '^www\.', ''), '.')), ',') || ')'
+    || coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1), ''), '/')
+    || coalesce('?' || nullif(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), ''), '') END AS url_key FROM u),
+c AS (SELECT page_id, url_key, strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y%m%d%H%M%S') AS timestamp,
+    row_number() OVER (PARTITION BY url_key ORDER BY page_id) AS capture_no FROM k),
+p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 g AS (SELECT h, max(page_id) AS last, count(*) AS n FROM p GROUP BY h),
 b AS (SELECT h, array_to_string(list_transform(range(0, 32), lambda i:
         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(substr(bits, 5 * i + 1, 5)::BIT::INTEGER AS INTEGER), 1)), '') AS digest
@@ -314,6 +326,6 @@ b AS (SELECT h, array_to_string(list_transform(range(0, 32), lambda i:
               lpad(bin(CAST('0x' || substr(h, i, 1) AS INTEGER)), 4, '0')), '') AS bits FROM g))
 SELECT page_id, strlen(html) AS payload_bytes, digest AS payload_digest,
   CASE WHEN n > 1 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN n > 1 AND page_id < last THEN last END AS refers_to
-FROM p JOIN g USING (h) JOIN b USING (h)
+  CASE WHEN n > 1 AND page_id < last THEN last END AS refers_to, url_key, timestamp, capture_no
+FROM p JOIN g USING (h) JOIN b USING (h) JOIN c USING (page_id)
 """
