@@ -29,6 +29,10 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
 #: Members of a posting up to which its pairs are compared directly.
 POSTING = 4096
+#: Fingerprints whose postings a task makes.
+EXPLODE_ROWS = 16_384
+#: Linked roots up to which their components' ids are broadcast.
+BROADCAST_ROWS = 200_000
 #: Ids of rows to drop, in bytes, up to which they are broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Shingles whose bits are counted at a time.
@@ -199,7 +203,8 @@ def fingerprint_links(fps: DataFrame, distance: int = 4, posting: int = POSTING)
     if distance == 0:
         return fps.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
     keys = [_posting_key(F.col("fp"), i, c) for i, c in enumerate(combinations(range(8), 8 - distance))]
-    rows = fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    spread = fps.repartition(max(1, -(-fps.count() // EXPLODE_ROWS)))  # fingerprints are few bytes and would be one task
+    rows = spread.select(F.explode(F.array(*keys)).alias("key"), "fp")
     rows = rows.repartition("key").sortWithinPartitions("key", "fp")
     found = stored(rows.mapInArrow(_posting_links(distance, posting), "u long, v long").distinct(), "posting-links")
     crowded = found.filter("v is null").select(F.col("u").alias("fp"))
@@ -220,10 +225,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, posting:
     prints = stored(fingerprints(docs, words, id_col, text_col), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
     found = connected_components(fingerprint_links(distinct.select("fp"), distance, posting))
-    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left")
-    rooted = rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(of_root, "root").select("fp", "component_id")
+    rooted = stored(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left"), "rooted")
+    linked = rooted.filter("root is not null")
+    of_root = stored(linked.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    if of_root.count() <= BROADCAST_ROWS:
+        of_root = F.broadcast(of_root)
+    classes = rooted.join(of_root, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(classes, "fp", "left").select(id_col, text.alias("fingerprint"), "component_id")
 
