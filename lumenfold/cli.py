@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.operators.multiple_choice import AGGREGATIONS
 from lumenfold.plans.registry import Options, evaluate, primary_value
-from lumenfold.sources.jsonl import field, read_jsonl, single_generation, write_summary
+from lumenfold.sources.jsonl import field, in_file_order, read_jsonl, single_generation, write_summary
 
 
 def parser() -> argparse.ArgumentParser:
@@ -29,7 +29,7 @@ def parser() -> argparse.ArgumentParser:
 
 def load(spark: SparkSession, path: str):
     raw = F.col("raw")
-    rows = read_jsonl(spark, path)
+    rows = in_file_order(read_jsonl(spark, path))
     strings = [field(raw, c).alias(c) for c in ("doc_id", "task_id", "prompt", "prompt_mode", "error")]
     numbers = [field(raw, c, "int").alias(c) for c in ("sample_index", "n_samples", "gold")]
     arrays = [F.try_variant_get(raw, "$.logprobs", "array<double>").alias("logprobs"), F.try_variant_get(raw, "$.choices", "array<string>").alias("choices")]

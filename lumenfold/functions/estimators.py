@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,10 +17,18 @@ def pass_at_k(n: Column, c: Column, k: Column) -> Column:
     return F.when(fine, F.when(n - c < k, 1.0).when(c == 0, 0.0).otherwise(1.0 - missed))
 
 
-def draw(seed: Column, resample: Column, position: Column, n: Column) -> Column:
-    """A reproducible uniform index below n for one draw of a bootstrap resample."""
-    text = F.concat_ws(":", seed.cast("string"), resample.cast("string"), position.cast("string"))
-    return F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long"), n)
+#: P(X <= k) of a Poisson variable of mean one, as far as a hash of 32 bits can tell.
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+
+
+def poisson_weight(seed: Column, resample: Column, key: Column) -> Column:
+    """How often an observation counts in a bootstrap resample: Poisson of mean one, by a hash of its key."""
+    text = F.concat_ws(":", seed.cast("string"), resample.cast("string"), key.cast("string"))
+    share = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    weight = F.lit(len(POISSON))
+    for k in range(len(POISSON) - 1, -1, -1):
+        weight = F.when(share < POISSON[k], k).otherwise(weight)
+    return weight
 
 
 def argmax(scores: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Clean-up tables for final math answers, in the order they apply.
@@ -109,18 +109,31 @@ def _balanced(tail: Column) -> Column:
     return F.when(end > 0, F.substring(tail, F.lit(1), end))
 
 
-def boxed(text: Column) -> Column:
-    r"""The content of the last \boxed or \fbox with balanced braces; '\boxed x' up to a dollar sign comes first; else null."""
-    spaced = F.split_part(last(F.split(text, r"\\boxed ")), F.lit("$"), F.lit(1))
+def boxed_part(text: Column) -> Column:
+    r"""From the last \boxed, or else \fbox, to the brace that closes its first one; else null."""
     place = lambda mark: F.length(text) - F.length(F.substring_index(text, mark, -1)) - len(mark) + 1
     at = F.when(F.contains(text, F.lit("\\boxed")), place("\\boxed")).when(F.contains(text, F.lit("\\fbox")), place("\\fbox"))
-    found = _balanced(F.substring(text, at, F.length(text)))
+    return _balanced(F.substring(text, at, F.length(text)))
+
+
+def boxed(text: Column, part: Column | None = None) -> Column:
+    r"""The content of the last \boxed or \fbox with balanced braces; '\boxed x' up to a dollar sign comes first; else null.
+
+    part is boxed_part(text), where that is there already.
+    """
+    found = boxed_part(text) if part is None else part
+    spaced = F.split_part(last(F.split(text, r"\\boxed ")), F.lit("$"), F.lit(1))
     inside = F.regexp_extract(found, r"(?s)^\\(?:boxed|fbox)\{(.*)\}$", 1)
     return F.when(F.contains(text, F.lit("\\boxed ")), spaced).when(found.rlike(r"^\\(?:boxed|fbox)\{"), inside)
 
 
 def clean_answer(text: Column) -> Column:
     """A final math answer in its compared form: after the last '=', without units and wrappers, fractions and roots braced."""
+    return plain_number(without_units(text))
+
+
+def without_units(text: Column) -> Column:
+    """clean_answer() but for thousands separators and white space at the ends."""
     out = last(F.split(text, "="))
     for before, after in SUBSTITUTIONS:
         out = F.replace(out, F.lit(before), F.lit(after))
@@ -131,9 +144,31 @@ def clean_answer(text: Column) -> Column:
         out = F.regexp_replace(out, rf"(?d)\\{wrapper}\{{({inner})\}}", "$1")
     out = F.regexp_replace(out, r"(?d)(frac)([^{])(.)", "frac{$2}{$3}")
     out = F.regexp_replace(out, r"(sqrt)([^{])", "sqrt{$2}")
-    out = F.replace(out, F.lit("$"), F.lit(""))
-    bare = F.replace(out, F.lit(","), F.lit(""))
-    return strip(F.when(bare.rlike(r"^[0-9]+$"), bare).otherwise(out))
+    return F.replace(out, F.lit("$"), F.lit(""))
+
+
+def plain_number(text: Column) -> Column:
+    """A whole number without its commas, any other text as it is; stripped."""
+    bare = F.replace(text, F.lit(","), F.lit(""))
+    return strip(F.when(bare.rlike(r"^[0-9]+$"), bare).otherwise(text))
+
+
+def once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """rows with more columns, each computed once however often later ones use it: the generator keeps the optimizer
+    from writing an expression out at every use."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def with_math_forms(rows: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """rows with math_form() of each text, stage by stage."""
+    c = {name: [f"__{name}_{k}" for k in range(4)] for name in texts}
+    rows = once(rows, {c[n][0]: strip(F.coalesce(t.cast("string"), F.lit(""))) for n, t in texts.items()})
+    rows = once(rows, {c[n][1]: boxed_part(F.col(c[n][0])) for n in texts})
+    chosen = {c[n][2]: F.coalesce(final_answer(F.col(c[n][0])), boxed(F.col(c[n][0]), F.col(c[n][1])), F.col(c[n][0])) for n in texts}
+    rows = once(rows, chosen)
+    rows = once(rows, {c[n][3]: without_units(F.col(c[n][2])) for n in texts})
+    rows = once(rows, {n: F.nullif(plain_number(F.col(c[n][3])), F.lit("[invalidanswer]")) for n in texts})
+    return rows.withColumns({n: F.coalesce(n, F.lit("")) for n in texts}).drop(*[x for names in c.values() for x in names])
 
 
 def math_form(text: Column) -> Column:

@@ -23,7 +23,7 @@ from lumenfold.functions.estimators import pass_at_k
 from lumenfold.functions.text import check_programs, code_block, needs_prefix, strip_reasoning
 
 PREFIX_LINES = 500
-MEMORY_MB, FILE_BYTES, PROCESSES = 2048, 1 << 20, 32
+MEMORY_MB, FILE_BYTES, PROCESSES, OPEN_FILES = 2048, 1 << 20, 32, 64
 
 
 def longest_valid_prefix(code: str) -> str:
@@ -60,7 +60,7 @@ def extract_code(rows: DataFrame, text: str = "gen", into: str = "code") -> Data
 
 def _limits(seconds: float, memory_mb: int) -> None:
     cpu = int(seconds) + 1
-    for what, most in ((resource.RLIMIT_CPU, cpu), (resource.RLIMIT_FSIZE, FILE_BYTES), (resource.RLIMIT_CORE, 0), (resource.RLIMIT_NPROC, PROCESSES), (resource.RLIMIT_AS, memory_mb << 20)):
+    for what, most in ((resource.RLIMIT_CPU, cpu), (resource.RLIMIT_FSIZE, FILE_BYTES), (resource.RLIMIT_CORE, 0), (resource.RLIMIT_NOFILE, OPEN_FILES), (resource.RLIMIT_NPROC, PROCESSES), (resource.RLIMIT_AS, memory_mb << 20)):
         hard = resource.getrlimit(what)[1]
         bound = most if hard == resource.RLIM_INFINITY else min(most, hard)
         resource.setrlimit(what, (bound, bound))

@@ -10,8 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.functions.text import ground_truth, math_form, strip_reasoning
+from lumenfold.functions.text import ground_truth, once, strip_reasoning, with_math_forms
 
+#: Characters of a form that may be a number; exponents have three digits at most.
+MOST_DIGITS = 4_000
+_EXPONENT = re.compile(r"[eE]([+-]?\d+)")
 _FRACTION = re.compile(r"(-?)\\?d?frac\{(-?[\d.]+)\}\{(-?[\d.]+)\}")
 
 
@@ -20,6 +23,8 @@ def number_of(form: str | None) -> Fraction | None:
     if not form:
         return None
     text = form.strip().replace(",", "").replace("\\%", "%").replace("$", "")
+    if len(text) > MOST_DIGITS or (m := _EXPONENT.search(text)) and len(m[1].lstrip("+-0")) > 3:
+        return None  # 1e99999999 would be a number of so many digits
     try:
         if m := _FRACTION.fullmatch(text):
             value = Fraction(m[2]) / Fraction(m[3])
@@ -40,15 +45,23 @@ def same_number(gold: str | None, answer: str | None, digits: int = 6) -> bool:
 Verifier = Callable[[str, str], bool]
 
 
+def verdict(verify: Verifier, gold: str | None, answer: str | None) -> bool | None:
+    """What a verifier says of two forms; None where it raises, which fails the row and not the job."""
+    try:
+        return bool(gold and answer and verify(gold, answer))
+    except Exception:
+        return None
+
+
 def score_answers(rows: DataFrame, dataset: str = "", label: str = "answer", text: str = "gen", error: str | None = None, verify: Verifier | None = same_number) -> DataFrame:
     """rows with gold, prediction (compared forms), accuracy (0 or 1), status.
 
-    An error, a missing generation or an unusable label fails the row; an empty or unparsable answer is
+    An error, a missing generation, an unusable label or a verifier that raises fails the row; an empty or unparsable answer is
     completed and wrong. Equal forms are right; other pairs go to the verifier, a function of two forms.
     """
-    gold = math_form(ground_truth(F.col(label), dataset))
-    found = rows.withColumns({"gold": gold, "prediction": math_form(strip_reasoning(F.col(text)))})
-    failed = F.col("gold").isNull() | (F.coalesce(ground_truth(F.col(label), dataset), F.lit("")) == "") | F.col(text).isNull()
+    rows = once(rows, {"__label": ground_truth(F.col(label), dataset), "__answer": strip_reasoning(F.col(text))})
+    found = with_math_forms(rows, {"gold": F.col("__label"), "prediction": F.col("__answer")})
+    failed = (F.coalesce(F.col("__label"), F.lit("")) == "") | F.col(text).isNull()
     if error:
         failed = failed | (F.coalesce(F.col(error), F.lit("")) != "")
     equal = (F.col("gold") == F.col("prediction")) & (F.col("gold") != "")
@@ -57,12 +70,15 @@ def score_answers(rows: DataFrame, dataset: str = "", label: str = "answer", tex
 
         @F.pandas_udf("boolean")
         def verified(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([bool(x and y and verify(x, y)) for x, y in zip(a, b)], dtype=bool)
+            return pd.Series([verdict(verify, x, y) for x, y in zip(a, b)], dtype="boolean")
 
         # Only pairs with a digit on both sides that differ can be settled by the verifier.
         ask = ~equal & F.col("gold").rlike("[0-9]") & F.col("prediction").rlike("[0-9]")
-        right = equal | F.coalesce(verified(F.when(ask, F.col("gold")), F.when(ask, F.col("prediction"))), F.lit(False))
-    return found.withColumn("status", F.when(failed, "failed").otherwise("completed")).withColumn("accuracy", F.when(~failed & right, 1.0).otherwise(0.0))
+        found = once(found, {"__asked": ask}).withColumn("__same", verified(F.when(F.col("__asked"), F.col("gold")), F.when(F.col("__asked"), F.col("prediction"))))
+        failed = failed | (F.col("__asked") & F.col("__same").isNull())
+        right = equal | F.coalesce("__same", F.lit(False))
+    out = found.withColumn("status", F.when(failed, "failed").otherwise("completed")).withColumn("accuracy", F.when(~failed & right, 1.0).otherwise(0.0))
+    return out.drop("__label", "__answer", "__asked", "__same")
 
 
 def accuracy_counts(scored: DataFrame) -> DataFrame:

@@ -9,30 +9,32 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.functions.estimators import draw
+from lumenfold.functions.estimators import poisson_weight
 
 METRIC = "value double, count long, stderr double, ci_low double, ci_high double"
 
 
-def bootstrap(observations: DataFrame, resamples: int = 1000, confidence: float = 0.95, seed: int = 42, value: str = "value", ordinal: str = "ordinal") -> DataFrame:
-    """One row (value, count, stderr, ci_low, ci_high) from observations numbered 0, 1, ... by ordinal.
+def bootstrap(observations: DataFrame, resamples: int = 1000, confidence: float = 0.95, seed: int = 42, value: str = "value", ordinal: str = "ordinal", by: str | None = None) -> DataFrame:
+    """One row (value, count, stderr, ci_low, ci_high), or one for each `by`, from observations that `ordinal` tells apart.
 
-    Resample b's draw i is a hash of (seed, b, i), so resamples are rows of a join by position: the table
-    of draws is generated on the executors, and no task needs all observations. Fewer than two resamples
-    give no uncertainty, no observations a value of 0.
+    In resample b an observation counts as often as a Poisson variable of mean one says, which a hash of (seed, b,
+    ordinal) gives: for many observations this is drawing with replacement, and sums are taken in one pass where
+    the observations are, with a row for each resample shuffled. Fewer than two resamples give no uncertainty, no
+    observations a value of 0.
     """
-    plain = observations.agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("value"), F.count(value).alias("count"))
-    n = plain.first()["count"]
-    if resamples < 2 or not n:
-        return plain.selectExpr("value", "count", "cast(null as double) as stderr", "cast(null as double) as ci_low", "cast(null as double) as ci_high")
-    spark = observations.sparkSession
-    draws = spark.range(resamples).withColumnRenamed("id", "b").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    drawn = draws.select("b", draw(F.lit(seed), F.col("b"), F.col("i"), F.lit(n)).alias(ordinal))
-    counted = drawn.groupBy("b", ordinal).agg(F.count("*").alias("times"))
-    means = counted.join(observations.select(ordinal, F.col(value).alias("v")), ordinal).groupBy("b").agg((F.sum(F.col("v") * F.col("times")) / n).alias("m"))
+    keys = [by] if by else []
+    plain = observations.groupBy(*keys).agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("value"), F.count(value).alias("count"))
+    if resamples < 2:
+        nothing = [F.lit(None).cast("double").alias(c) for c in ("stderr", "ci_low", "ci_high")]
+        return plain.select(*keys, "value", "count", *nothing)
+    known = observations.filter(F.col(value).isNotNull()).select(*keys, F.col(ordinal).alias("__i"), F.col(value).alias("__v"))
+    drawn = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("__b"))
+    drawn = drawn.select(*keys, "__b", "__v", poisson_weight(F.lit(seed), F.col("__b"), F.col("__i")).alias("__w"))
+    means = drawn.groupBy(*keys, "__b").agg(F.try_divide(F.sum(F.col("__v") * F.col("__w")), F.sum("__w")).alias("m"))
     tail = (1 - confidence) / 2
-    spread = means.agg(F.stddev_pop("m").alias("stderr"), F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail))).alias("ci"))
-    return plain.join(F.broadcast(spread)).select("value", "count", "stderr", F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"))  # one row each
+    spread = means.groupBy(*keys).agg(F.stddev_pop("m").alias("stderr"), F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail))).alias("ci"))
+    both = plain.join(spread, by, "left") if by else plain.join(F.broadcast(spread))  # one row each
+    return both.select(*keys, "value", "count", "stderr", F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"))
 
 
 def _percentile(ordered: list[float], share: float) -> float:

@@ -47,13 +47,15 @@ def score_generations(merged: DataFrame, aggregation: str) -> DataFrame:
 
     first judges sample 0, majority_vote the most frequent letter (the earliest of several; '' is a letter),
     any_correct whether any is right, per_sample each one. A missing generation, an error or a blank gold
-    fails the question. first needs sample 0, majority_vote and any_correct need all samples.
+    fails the question; first looks at its first sample alone. first needs sample 0, majority_vote and
+    any_correct need all samples.
     """
     if aggregation not in AGGREGATIONS:
         raise ValueError(f"aggregation must be one of {AGGREGATIONS}")
     votes, gold = F.col("votes"), F.col("gold")
     found = merged.withColumn("votes", predictions(F.col("gens")))
-    failed = F.exists("gens", lambda g: g.isNull()) | F.exists("errors", lambda e: F.coalesce(e, F.lit("")) != "") | (F.coalesce(gold, F.lit("")) == "")
+    gens, errors = ("gens", "errors") if aggregation != "first" else (F.slice("gens", 1, 1), F.slice("errors", 1, 1))
+    failed = F.exists(gens, lambda g: g.isNull()) | F.exists(errors, lambda e: F.coalesce(e, F.lit("")) != "") | (F.coalesce(gold, F.lit("")) == "")
     hits = F.size(F.filter(votes, lambda v: v == gold))
     chosen = {
         "first": F.try_element_at(votes, F.lit(1)),
@@ -82,17 +84,26 @@ def with_letters(rows: DataFrame, text: str = "gen", error: str = "error") -> Da
 
 
 def score_letters(rows: DataFrame, aggregation: str, problem: str = "problem", index: str = "sample_index") -> DataFrame:
-    """What score_generations() gives for the samples of with_letters(), a row for each problem.
+    """What score_generations() gives for the samples of with_letters(), a row for each problem; under per_sample a row
+    for each sample, which fails alone.
 
     Samples are counted by letter, so a problem of any number of samples is a row for each letter.
     """
     if aggregation not in AGGREGATIONS:
         raise ValueError(f"aggregation must be one of {AGGREGATIONS}")
+    if aggregation == "per_sample":
+        failed = F.col("bad") | (F.coalesce(F.col("gold"), F.lit("")) == "")
+        right = ~failed & (F.col("vote") == F.col("gold"))
+        return rows.withColumns({
+            "prediction": F.when(~failed, F.col("vote")), "status": F.when(failed, "failed").otherwise("completed"), "correct": right,
+            "weight": F.lit(1).cast("long"), "correct_weight": right.cast("long"), "eligible": ~failed,
+        })
     tally = rows.groupBy(problem, "gold", "vote").agg(
         F.count("*").alias("n"), F.min(index).alias("first"), F.count_if("bad").alias("bad"), F.bool_or(F.col(index) == 0).alias("zero"), F.bool_and("complete").alias("complete"),
+        F.min_by("bad", index).alias("first_bad"),
     )
     found = tally.groupBy(problem).agg(
-        F.min_by("gold", "first").alias("gold"), F.sum("bad").alias("bad"), F.sum("n").alias("samples"), F.bool_or("zero").alias("zero"), F.bool_and("complete").alias("complete"),
+        F.min_by("gold", "first").alias("gold"), F.sum("bad").alias("bad"), F.min_by("first_bad", "first").alias("first_bad"), F.bool_or("zero").alias("zero"), F.bool_and("complete").alias("complete"),
         F.collect_list(F.struct("vote", "n", "first")).alias("tally"),
     )
     gold = F.col("gold")
@@ -104,14 +115,12 @@ def score_letters(rows: DataFrame, aggregation: str, problem: str = "problem", i
         "first": earliest,
         "majority_vote": most,
         "any_correct": F.when(hits > 0, gold).otherwise(F.coalesce(F.try_element_at(F.filter(votes, lambda t: t["vote"] != ""), F.lit(1))["vote"], F.lit(""))),
-        "per_sample": earliest,
     }[aggregation]
-    failed = (F.col("bad") > 0) | (F.coalesce(gold, F.lit("")) == "")
-    eligible = {"first": F.col("zero"), "per_sample": F.lit(True)}.get(aggregation, F.col("complete"))
-    right = hits if aggregation == "per_sample" else (chosen == gold).cast("long")
+    failed = (F.col("first_bad") if aggregation == "first" else F.col("bad") > 0) | (F.coalesce(gold, F.lit("")) == "")
+    eligible = F.col("zero") if aggregation == "first" else F.col("complete")
     return found.select(
         problem, F.when(~failed, chosen).alias("prediction"), F.when(failed, "failed").otherwise("completed").alias("status"), (~failed & (chosen == gold)).alias("correct"),
-        (F.col("samples") if aggregation == "per_sample" else F.lit(1).cast("long")).alias("weight"), F.when(failed, 0).otherwise(right).alias("correct_weight"), (~failed & eligible).alias("eligible"),
+        F.lit(1).cast("long").alias("weight"), F.when(failed, 0).otherwise((chosen == gold).cast("long")).alias("correct_weight"), (~failed & eligible).alias("eligible"),
     )
 
 

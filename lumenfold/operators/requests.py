@@ -92,6 +92,8 @@ def number_rows(rows: DataFrame, order: Column, into: str = "number", group: str
     """
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lumenfold-"))
     if group:
         return _number_in_groups(rows, order, into, group)

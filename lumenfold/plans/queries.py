@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from lumenfold.functions import predicates as P
 from lumenfold.functions import text as T
-from lumenfold.functions.estimators import majority, pass_at_k
+from lumenfold.functions.estimators import POISSON, majority, pass_at_k
 from lumenfold.operators import code_answers, math_answers, metrics, multiple_choice, preparation, requests, samples
 
 QUERIES: dict = {}
@@ -384,17 +384,60 @@ def few_shot_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.few_shot_prefixes(_read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("prompt")), pool, 3, 9)
 
 
-@query("""
-WITH o AS (SELECT quality::DOUBLE AS v, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM labels),
-r AS (SELECT b, o2.v FROM range(50) t(b), o o1 JOIN o o2 ON o2.i = ('0x' || substr(sha256(concat_ws(':', '42', b, o1.i)), 1, 8))::UBIGINT % o1.n),
-m AS (SELECT b, avg(v) AS m FROM r GROUP BY 1)
+_WEIGHT = "CASE " + " ".join(f"WHEN u < {p!r}::DOUBLE THEN {k}" for k, p in enumerate(POISSON)) + f" ELSE {len(POISSON)} END"
+
+
+@query(f"""
+WITH o AS (SELECT quality::DOUBLE AS v, doc_id AS i FROM labels WHERE quality IS NOT NULL),
+u AS (SELECT b, v, ('0x' || substr(sha256(concat_ws(':', '42', b, i)), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM range(50) t(b), o),
+m AS (SELECT b, sum(v * w) / sum(w) AS m FROM (SELECT b, v, {_WEIGHT} AS w FROM u) GROUP BY 1)
 SELECT (SELECT round(avg(v), 9) FROM o) AS value, (SELECT count(*) FROM o) AS count, round(stddev_pop(m), 9) AS stderr, round(quantile_cont(m, 0.025), 9) AS ci_low, round(quantile_cont(m, 0.975), 9) AS ci_high FROM m""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    observed = requests.number_rows(_read(spark, sf_dir, "labels"), F.col("doc_id"), "ordinal").select(F.col("quality").cast("double").alias("value"), "ordinal")
+    observed = _read(spark, sf_dir, "labels").select(F.col("quality").cast("double").alias("value"), F.col("doc_id").alias("ordinal"))
     found = metrics.bootstrap(observed, 50, 0.95, 42)
     return found.select("count", *[F.round(c, 9).alias(c) for c in ("value", "stderr", "ci_low", "ci_high")])
 
 
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples with golds that are letters, numbers or texts of choices, or none of these, and samples that were lost."""
+    lines = order_samples(spark, sf_dir)
+    way = F.col("problem") % 3
+    gold = F.when(F.col("problem") % 11 == 0, F.lit("none of them")).when(way == 0, F.lit(" a ")).when(way == 1, F.lit("3")).otherwise(F.lit("second"))
+    vote = F.when(F.col("flag") == "A", "A").when(F.col("flag") == "N", "B").otherwise("C")
+    choices = F.array(*map(F.lit, ["first", "Second", "third"]))
+    rows = lines.select(
+        "problem", "sample_index", T.gold_letter(gold, choices).alias("gold"), F.concat(F.lit("<think>D</think>Answer: "), vote).alias("gen"),
+        F.when(F.col("qty") % 5 == 0, "lost").alias("error"), F.lit(True).alias("complete"),
+    )
+    return multiple_choice.with_letters(rows)
+
+
+_GOLDS = """WITH s AS (SELECT l_orderkey AS problem, l_quantity % 5 = 0 AS bad, CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'N' THEN 'B' ELSE 'C' END AS vote,
+  CASE WHEN l_orderkey % 11 <> 0 THEN ['A', 'C', 'B'][1 + l_orderkey % 3] END AS gold, row_number() OVER (PARTITION BY l_orderkey ORDER BY """ + _TOTAL + """) - 1 AS i FROM lineitem)"""
+
+
+@query(_GOLDS + """, f AS (SELECT *, bad OR gold IS NULL AS failed FROM s)
+SELECT round(coalesce(avg((vote = gold)::INTEGER) FILTER (WHERE NOT failed), 0), 9) AS acc, count(*) AS sample_count, count(*) FILTER (WHERE NOT failed) AS effective_count,
+  count(*) FILTER (WHERE failed) AS failed_count, 0::BIGINT AS excluded_count FROM f""")
+def mc_evaluate_per_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiple_choice.accuracy_summary(multiple_choice.score_letters(_evaluated(spark, sf_dir), "per_sample")).withColumn("acc", F.round("acc", 9))
+
+
+@query(_GOLDS + """, f AS (SELECT *, bad OR gold IS NULL AS failed FROM s WHERE i = 0)
+SELECT round(coalesce(avg((vote = gold)::INTEGER) FILTER (WHERE NOT failed), 0), 9) AS acc, count(*) AS sample_count, count(*) FILTER (WHERE NOT failed) AS effective_count,
+  count(*) FILTER (WHERE failed) AS failed_count, 0::BIGINT AS excluded_count FROM f""")
+def mc_evaluate_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiple_choice.accuracy_summary(multiple_choice.score_letters(_evaluated(spark, sf_dir), "first")).withColumn("acc", F.round("acc", 9))
+
+
+@query(_GOLDS + """, c AS (SELECT problem, vote, any_value(gold) AS gold, count(*) AS n, min(i) AS f, bool_or(bad) AS bad FROM s GROUP BY 1, 2),
+m AS (SELECT problem, arg_max(vote, (n, -f)) AS pick, any_value(gold) AS gold, bool_or(bad) OR any_value(gold) IS NULL AS failed FROM c GROUP BY 1)
+SELECT round(coalesce(avg((pick = gold)::INTEGER) FILTER (WHERE NOT failed), 0), 9) AS acc, count(*) AS sample_count, count(*) FILTER (WHERE NOT failed) AS effective_count,
+  count(*) FILTER (WHERE failed) AS failed_count, 0::BIGINT AS excluded_count FROM m""")
+def mc_evaluate_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiple_choice.accuracy_summary(multiple_choice.score_letters(_evaluated(spark, sf_dir), "majority_vote")).withColumn("acc", F.round("acc", 9))
+
+
 @query()
 def bootstrap_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     observed = _read(spark, sf_dir, "labels").select(F.lit("quality").alias("metric"), F.col("quality").cast("double").alias("value"), F.col("doc_id").alias("ordinal"))

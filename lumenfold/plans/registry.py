@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.functions.text import gold_letter
 from lumenfold.operators import code_answers, math_answers, multiple_choice
-from lumenfold.operators.metrics import check_counts, exact_bootstrap
+from lumenfold.operators.metrics import bootstrap, check_counts, exact_bootstrap
 from lumenfold.operators.samples import normalize_samples, problem_identity
 
 
@@ -20,7 +21,8 @@ class Scored:
     metrics: dict[str, float]
     observations: DataFrame
     counts: DataFrame
-    details: dict = field(default_factory=dict)
+    #: (problem, complete), for the result's details; None where there are no problems of several samples.
+    problems: DataFrame | None = None
 
 
 @dataclass
@@ -32,6 +34,10 @@ class Options:
     resamples: int = 1000
     confidence: float = 0.95
     seed: int = 42
+    #: Draws of Python's generator over all observations of a metric in one task, for parity with single-process runs.
+    exact: bool = False
+    #: Ids of incomplete problems that a result lists, the first ones by id; all are counted.
+    listed: int = 100
 
 
 def _prepared(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -61,7 +67,7 @@ def score_math(rows: DataFrame, options: Options) -> Scored:
     observations = parts[0]
     for p in parts[1:]:
         observations = observations.unionByName(p)
-    return Scored(metrics, observations, counts.withColumn("excluded_count", F.lit(0)))
+    return Scored(metrics, observations, counts.withColumn("excluded_count", F.lit(0)), problems.select("problem", "complete"))
 
 
 def score_choices(rows: DataFrame, options: Options) -> Scored:
@@ -73,11 +79,13 @@ def score_choices(rows: DataFrame, options: Options) -> Scored:
             scored = multiple_choice.score_loglikelihood(rows, choices="choices" if "choices" in rows.columns else None)
             scored = scored.withColumns({"eligible": F.col("status") == "completed", "weight": F.lit(1), "correct_weight": F.col("correct").cast("int")})
             return Scored({"acc": 0.0}, _observed(scored.filter("eligible"), F.col("correct"), "acc"), multiple_choice.accuracy_summary(scored))
-    samples = _prepared(rows.withColumn("gold", F.upper(F.trim("answer"))), "doc_id", ["answer", "prompt"])
-    first = samples.groupBy("problem").agg(F.min("ordinal").alias("ordinal"))
-    scored = multiple_choice.score_letters(multiple_choice.with_letters(samples), options.aggregation).join(first, "problem")
-    share = F.col("correct_weight") / F.greatest(F.col("weight"), F.lit(1))
-    return Scored({"acc": 0.0}, _observed(scored.filter("eligible"), share, "acc"), multiple_choice.accuracy_summary(scored))
+    options_ = F.col("choices") if "choices" in rows.columns else F.lit(None).cast("array<string>")
+    samples = _prepared(rows.withColumn("gold", gold_letter(F.col("answer"), options_)), "doc_id", ["answer", "prompt"])
+    scored = multiple_choice.score_letters(multiple_choice.with_letters(samples), options.aggregation)
+    if options.aggregation != "per_sample":
+        scored = scored.join(samples.groupBy("problem").agg(F.min("ordinal").alias("ordinal")), "problem")
+    problems = samples.groupBy("problem").agg(F.bool_and("complete").alias("complete"))
+    return Scored({"acc": 0.0}, _observed(scored.filter("eligible"), F.col("correct"), "acc"), multiple_choice.accuracy_summary(scored), problems)
 
 
 def score_programs(rows: DataFrame, options: Options) -> Scored:
@@ -93,7 +101,7 @@ def score_programs(rows: DataFrame, options: Options) -> Scored:
     for k in sorted({1, *options.ks}):
         part = _observed(ranked.filter(F.col("n") >= k), pass_at_k(F.col("n"), F.col("c"), F.lit(k)), f"pass@{k}")
         observations = part if observations is None else observations.unionByName(part)
-    return Scored(metrics, observations, code_answers.code_counts(scored))
+    return Scored(metrics, observations, code_answers.code_counts(scored), tasks.select(F.col("task_id").alias("problem"), F.col("counts").alias("complete")))
 
 
 Scorer = Callable[[DataFrame, Options], Scored]
@@ -113,19 +121,27 @@ def resolve(task: str) -> Scorer:
 
 
 def evaluate(rows: DataFrame, task: str, options: Options | None = None) -> dict:
-    """The result of a task as a dict: metrics with bootstrap uncertainty, and counts that add up."""
+    """The result of a task as a dict: metrics with bootstrap uncertainty, counts that add up, and details of incomplete problems."""
     options = options or Options()
     scorer = resolve(task)
     if "ordinal" not in rows.columns:
         rows = rows.withColumn("ordinal", F.monotonically_increasing_id())
     scored = scorer(rows, options)
-    found = {r["metric"]: r.asDict() for r in exact_bootstrap(scored.observations, "metric", options.resamples, options.confidence, options.seed).collect()}
+    resample = exact_bootstrap if options.exact else bootstrap
+    found = {r["metric"]: r.asDict() for r in resample(scored.observations, by="metric", resamples=options.resamples, confidence=options.confidence, seed=options.seed).collect()}
     none = {"count": 0, "stderr": None, "ci_low": None, "ci_high": None}
     metrics = {m: {k: v for k, v in found.get(m, {"value": value, **none}).items() if k != "metric"} for m, value in scored.metrics.items()}
     row = scored.counts.first().asDict()
     counts = {c: int(row[c]) for c in ("sample_count", "effective_count", "failed_count", "excluded_count")}
     check_counts(counts)
-    return {"task": task, "metrics": metrics, **counts}
+    return {"task": task, "metrics": metrics, **counts, "details": incomplete(scored.problems, options.listed) if scored.problems is not None else {}}
+
+
+def incomplete(problems: DataFrame, listed: int) -> dict:
+    """Counts of complete and incomplete problems, and the ids of the first incomplete ones."""
+    n = problems.agg(F.count_if("complete").alias("complete"), F.count_if(~F.col("complete")).alias("incomplete")).first()
+    ids = problems.filter(~F.col("complete")).orderBy("problem").limit(listed).collect() if n["incomplete"] else []
+    return {"complete_problem_count": n["complete"], "incomplete_problem_count": n["incomplete"], "incomplete_problem_ids": [r["problem"].removeprefix("doc:") for r in ids]}
 
 
 def primary_value(result: dict) -> float:

@@ -8,18 +8,27 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.operators.requests import number_rows
+
 
 def read_jsonl(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """(raw variant, file, offset_in_file) of each line that is not blank. In strict reading a line that is not a JSON
+    """(raw variant, file, block, ordinal) of each line that is not blank. In strict reading a line that is not a JSON
     object (or holds NaN or Infinity) fails the job; else it is left out."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ordinal"))
+    # Ordinals tell lines apart and are in order within a block of a file, which is where a split of it begins.
+    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    lines = spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("ordinal"))
     lines = lines.filter(F.regexp_replace("value", r"(?U)\s+", "") != "")
     raw = F.try_parse_json("value")
     fine = F.coalesce(F.schema_of_variant(raw).startswith("OBJECT"), F.lit(False))
     if not strict:
-        return lines.filter(fine).select(raw.alias("raw"), "file", "ordinal")
+        return lines.filter(fine).select(raw.alias("raw"), "file", "block", "ordinal")
     checked = F.when(fine, raw).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 200))).cast("variant"))
-    return lines.select(checked.alias("raw"), "file", "ordinal")
+    return lines.select(checked.alias("raw"), "file", "block", "ordinal")
+
+
+def in_file_order(lines: DataFrame) -> DataFrame:
+    """read_jsonl() rows whose ordinal is their place (from 0) by file name and line, without gaps."""
+    return number_rows(lines, F.struct("file", "block", "ordinal"), "__place").drop("ordinal", "block").withColumnRenamed("__place", "ordinal")
 
 
 def field(raw: Column, name: str, kind: str = "string") -> Column:
@@ -50,7 +59,7 @@ def append_jsonl(rows: DataFrame, path: str) -> None:
 
 def read_resumable(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a possibly interrupted output: of each file a broken last line without a line end is left out, any other
-    broken line fails the job."""
+    broken line, a last one with a line end too, fails the job."""
     lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ordinal"))
     lines = lines.filter(F.regexp_replace("value", r"(?U)\s+", "") != "")
     raw = F.try_parse_json("value")
@@ -60,9 +69,23 @@ def read_resumable(spark: SparkSession, path: str) -> DataFrame:
     inside = broken.filter(F.col("ordinal") < F.col("last")).select("value").head(1)
     if inside:
         raise ValueError(f"broken line inside an output file: {inside[0][0][:200]}")
+    for r in broken.select("file").distinct().toLocalIterator():  # files that were cut short, a few at most
+        if _ends_line(spark, r["file"]):
+            raise ValueError(f"broken line at the end of {r['file']}")
     return marked.filter(F.col("raw").isNotNull()).select("raw", "file", "ordinal")
 
 
+def _ends_line(spark: SparkSession, path: str) -> bool:
+    """Whether the last byte of a file is a line end."""
+    fs, place = _hadoop(spark, path)
+    stream = fs.open(place)
+    try:
+        stream.seek(fs.getFileStatus(place).getLen() - 1)
+        return stream.read() == 10
+    finally:
+        stream.close()
+
+
 def _hadoop(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
@@ -75,9 +98,12 @@ def write_text_atomically(spark: SparkSession, path: str, text: str) -> None:
     out = fs.create(hidden, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
-    fs.delete(place, False)
-    if not fs.rename(hidden, place):
-        raise OSError(f"could not publish {path}")
+    # One rename that replaces what is there: at any moment the old or the new file stands under the name.
+    rename = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    files = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration())
+    files.rename(files.makeQualified(hidden), files.makeQualified(place), how)
 
 
 def write_summary(spark: SparkSession, path: str, summary: dict) -> None:
@@ -108,7 +134,8 @@ def list_files(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def load_questions(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """(doc_id, prompt, answer, ordinal) of a question file; rows without an id are named by the file's name and their place."""
-    rows = read_jsonl(spark, path).select(field(F.col("raw"), "doc_id").alias("doc_id"), field(F.col("raw"), "prompt").alias("prompt"), F.try_variant_get("raw", "$.answer", "string").alias("answer"), "ordinal")
+    """(doc_id, prompt, answer, ordinal) of question files; rows without an id are named by `name` and their place (from 0,
+    by file name and line)."""
+    rows = in_file_order(read_jsonl(spark, path)).select(field(F.col("raw"), "doc_id").alias("doc_id"), field(F.col("raw"), "prompt").alias("prompt"), F.try_variant_get("raw", "$.answer", "string").alias("answer"), "ordinal")
     numbered = rows.withColumn("doc_id", F.coalesce("doc_id", F.concat(F.lit(f"{name}:"), F.col("ordinal").cast("string"))))
     return numbered

@@ -82,7 +82,7 @@ def test_generated_choices(spark, aggregation, acc):
     assert found.sample_count == (3 if aggregation == "per_sample" else 1) == found.effective_count
 
 
-@pytest.mark.parametrize("aggregation", multiple_choice.AGGREGATIONS)
+@pytest.mark.parametrize("aggregation", ["first", "majority_vote", "any_correct"])
 def test_letters_as_arrays(spark, aggregation):
     kinds = [["B", "A", "A", ""], ["", "C", "B"], ["", ""], ["B", None], ["A", "D", "D", "A"]]
     rows = [(f"q{k}{gold}{start}", i + start, g, "lost" if (k, i, start) == (4, 1, 1) else None, k != 1, gold) for k, gens in enumerate(kinds) for gold in ("B", "D", "", None) for start in (0, 1) for i, g in enumerate(gens)]
@@ -93,6 +93,38 @@ def test_letters_as_arrays(spark, aggregation):
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 40
 
 
+def evaluated(spark, rows, aggregation, schema="doc_id string, sample_index int, answer string, gen string, error string, choices array<string>"):
+    return registry.evaluate(spark.createDataFrame(rows, schema), "mc/x", registry.Options(aggregation=aggregation, resamples=0))
+
+
+def test_per_sample_gives_an_observation_for_each_sample(spark):
+    rows = [("p", 0, "B", "A", None, None), ("p", 1, "B", "B", None, None), ("p", 2, "B", "A", None, None), ("q", 0, "A", "A", None, None)]
+    found = evaluated(spark, rows, "per_sample")
+    assert (found["metrics"]["acc"]["value"], found["metrics"]["acc"]["count"], found["sample_count"]) == (0.5, 4, 4)
+
+
+def test_lost_samples_fail_alone(spark):
+    rows = [("q0", 0, "B", "Answer: B", None, None), ("q0", 1, "B", "", "context_length_exceeded", None)]
+    each, first = evaluated(spark, rows, "per_sample"), evaluated(spark, rows, "first")
+    assert (each["metrics"]["acc"]["value"], each["sample_count"], each["effective_count"], each["failed_count"]) == (1.0, 2, 1, 1)
+    assert (first["metrics"]["acc"]["value"], first["effective_count"]) == (1.0, 1)
+    swapped = [("q0", 1, "B", "Answer: B", None, None), ("q0", 0, "B", "", "context_length_exceeded", None)]
+    first = evaluated(spark, swapped, "first")
+    assert (first["effective_count"], first["failed_count"]) == (0, 1)
+
+
+@pytest.mark.parametrize("answer,choices,gen,acc,failed", [("invalid", None, "Answer: A", 0.0, 1), ("1", ["a", "b"], "Answer: A", 1.0, 0), ("2", ["a", "b"], "Answer: B", 1.0, 0), ("5", ["a", "b"], "Answer: A", 0.0, 1), ("Paris", ["London", "Paris"], "Answer: B", 1.0, 0), ("A", None, None, 0.0, 1)])
+def test_golds_of_choices(spark, answer, choices, gen, acc, failed):
+    found = evaluated(spark, [("q", None, answer, gen, None, choices)], "first")
+    assert (found["metrics"]["acc"]["value"], found["failed_count"], found["sample_count"]) == (acc, failed, 1)
+
+
+def test_incomplete_problems_are_listed(spark):
+    df = spark.createDataFrame([("x", 0, 2, "4", "4"), ("y", 0, 1, "4", "4")], "doc_id string, sample_index int, n_samples int, answer string, gen string")
+    found = registry.evaluate(df, "math_opensource", registry.Options(resamples=0))
+    assert found["details"] == {"complete_problem_count": 1, "incomplete_problem_count": 1, "incomplete_problem_ids": ["x"]}
+
+
 def test_places_in_groups(spark):
     rows = [(None if i % 7 == 0 else "hot" if i % 3 else f"g{i % 5}", i) for i in range(400)]
     found = requests.number_rows(spark.createDataFrame(rows, "g string, i int").repartition(5), F.col("i"), "at", "g").collect()
@@ -130,6 +162,19 @@ def test_math_statuses(spark):
     assert [(r.status, r.accuracy) for r in found] == [("completed", 1.0), ("failed", 0.0), ("completed", 0.0), ("failed", 0.0), ("failed", 0.0), ("completed", 1.0), ("completed", 1.0), ("completed", 1.0)]
 
 
+def test_verifiers_that_raise_fail_their_row(spark):
+    def verify(gold, answer):
+        raise RuntimeError("no")
+
+    df = spark.createDataFrame([("4", "5"), ("4", "4"), ("4", "x")], "answer string, gen string")
+    found = math_answers.score_answers(df, verify=verify).collect()
+    assert [(r.status, r.accuracy) for r in found] == [("failed", 0.0), ("completed", 1.0), ("completed", 0.0)]
+
+
+def test_huge_exponents_are_no_numbers():
+    assert math_answers.number_of("1e99999999") is None and math_answers.number_of("1e3") == 1000 and math_answers.number_of("9" * 5000) is None
+
+
 def test_greedy_clusters(spark):
     near = lambda a, b: abs(float(a) - float(b)) <= 1
     rows = [("p", i, f, a) for i, (f, a) in enumerate([("1", 0.0), ("2", 1.0), ("3", 0.0), ("4", 0.0), ("Timeout", 0.0)])]
@@ -169,6 +214,11 @@ def test_bootstrap(spark):
     found = metrics.bootstrap(df, 200).first()
     assert found.value == 0.5 and 0.1 < found.stderr < 0.4 and found.ci_low < 0.5 < found.ci_high
     assert metrics.bootstrap(df.limit(0)).first().value == 0.0
+    two = df.unionByName(df.select(F.lit("z").alias("metric"), (F.col("value") + 1).alias("value"), "ordinal"))
+    by = {r.metric: r for r in metrics.bootstrap(two, 200, by="metric").collect()}
+    assert by["m"].stderr == pytest.approx(found.stderr) and by["z"].value == 1.5 and by["z"].ci_low == pytest.approx(found.ci_low + 1)
+    many = spark.range(2000).selectExpr("cast(id % 2 as double) as value", "id as ordinal")
+    assert metrics.bootstrap(many, 300).first().stderr == pytest.approx(0.5 / 2000**0.5, rel=0.15)
 
 
 @pytest.mark.parametrize("counts,fine", [((3, 1, 1, 1), True), ((3, 1, 1, 0), False), ((1, 2, -1, 0), False), ((True, 1, 0, 0), False), ((1.0, 1, 0, 0), False)])
@@ -221,6 +271,18 @@ def test_interrupted_output(spark, tmp_path):
     (tmp_path / "o.jsonl").write_text('{"a": 1}\n{"a": \n{"a": 2}\n')
     with pytest.raises(ValueError):
         jsonl.read_resumable(spark, str(tmp_path / "o.jsonl"))
+    (tmp_path / "o.jsonl").write_text('{"a": 1}\nbroken\n')
+    with pytest.raises(ValueError, match="at the end"):
+        jsonl.read_resumable(spark, str(tmp_path / "o.jsonl"))
+
+
+def test_questions_are_named_by_their_places(spark, tmp_path):
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q/b.jsonl").write_text("".join(f'{{"prompt": "b{i}", "answer": {i}}}\n' for i in range(3)))
+    (tmp_path / "q/a.jsonl").write_text("".join(f'{{"prompt": "a{i}", "answer": "{"x" * 50}"}}\n' for i in range(40)))
+    found = jsonl.load_questions(spark, str(tmp_path / "q"), "set").orderBy("ordinal").collect()
+    assert [r.prompt for r in found] == [*(f"a{i}" for i in range(40)), *(f"b{i}" for i in range(3))]
+    assert [r.doc_id for r in found] == [f"set:{i}" for i in range(43)]
 
 
 def test_manifest_and_summary_files(spark, tmp_path):
@@ -229,6 +291,7 @@ def test_manifest_and_summary_files(spark, tmp_path):
     jsonl.write_manifest(q, str(tmp_path / "m"), 2)
     with pytest.raises(ValueError):
         jsonl.write_manifest(q, str(tmp_path / "m"), 3)
+    jsonl.write_summary(spark, str(tmp_path / "s.json"), {"a": 0})
     jsonl.write_summary(spark, str(tmp_path / "s.json"), {"a": 1})
     assert json.loads((tmp_path / "s.json").read_text()) == {"a": 1}
     with pytest.raises(ValueError):
