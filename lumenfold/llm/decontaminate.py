@@ -300,6 +300,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     )
 
 
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+#: The contract's columns in DuckDB over the tables documents and benchmark.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_WORDS} AS ws FROM benchmark),
+s AS (SELECT item, ws, least({WINDOW}, len(ws)) AS size FROM b WHERE len(ws) > 0),
+w AS (SELECT DISTINCT item, size, list_slice(ws, i, i + size - 1) AS win FROM (SELECT item, size, ws, unnest(range(1, len(ws) - size + 2)) AS i FROM s)),
+dw AS (SELECT k, size, i, list_slice(ws, i, i + size - 1) AS win
+       FROM (SELECT k, size, ws, unnest(range(1, len(ws) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM w) WHERE len(ws) >= size)),
+m AS (SELECT k, dw.size, i, item FROM dw JOIN w ON dw.size = w.size AND dw.win = w.win),
+h AS (SELECT k, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT k, size, i FROM m), range({WINDOW}) AS r(j) WHERE j < size GROUP BY k),
+t AS (SELECT k, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest FROM (SELECT DISTINCT k, item FROM m) GROUP BY k)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (k) LEFT JOIN t USING (k)
+"""
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs without a hit word; columns and names stay, whatever they are."""
     marked, n = mark(docs, benchmark, window, text_col, item_col, item_text)

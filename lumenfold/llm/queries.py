@@ -54,7 +54,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("matches")
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("matches", "longest_match")
 
 
 QUERIES = {
@@ -73,4 +73,5 @@ SQL: dict[str, str] = {
     "op4_quality_rules": rules.SQL,
     "op5_line_dedup": linededup.SQL,
     "op7_warc": warc.SQL,
+    "op10_benchmark_decontamination": decontaminate.SQL,
 }

@@ -36,8 +36,9 @@ ORDINARY_BYTES, TOXIC_BYTES = 16_384, 2_048
 FOLDS = 4
 #: Bytes of the beginnings of words that count beside whole words.
 PREFIXES = (5, 6, 7, 8)
-#: A part of a word is toxic text's own if it is so many times as frequent there, and the G statistic of its counts is so large.
-ODDS, EVIDENCE = 4, 18
+#: A part of a word is toxic text's own if it is so many times as frequent there, and the G statistic of its counts so
+#: large that about CHANCE of all parts would reach it by chance.
+ODDS, CHANCE = 4, 30
 #: Gains in bytes that have a weight of their own; others count as the nearest.
 GAINS = range(0, 13)
 #: Texts that hold a word whose toxic share is used.
@@ -73,7 +74,7 @@ def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) ->
     """(ordinary, toxic) dictionaries from the words of texts.
 
     The toxic one sees, of each toxic text, the words that are wholly or by their first bytes more frequent in
-    toxic texts by ODDS and EVIDENCE, cut to the longest such beginning, and that follow several different
+    toxic texts by ODDS and beyond chance, cut to the longest such beginning, and that follow several different
     words, which words of copied passages do not.
     """
     parts = {w: _parts(w) for words in (*toxic, *ordinary) for w in words}
@@ -90,13 +91,15 @@ def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) ->
             for p in found:
                 expected[p] += usual
 
+    evidence = 2 * math.log(max(len(expected), 1) / CHANCE)
+
     def particular(part: bytes, n: int) -> bool:
         m = plain[part]
         hope = min(max(expected[part], 1e-3), n + m - 1e-3)
         rest = n + m - hope
         if n < FEWEST or n * rest < ODDS * (m + 0.5) * hope:  # half a text is added to the ordinary ones, none being no proof
             return False
-        return 2 * (n * math.log(n / hope) + (m * math.log(m / rest) if m else 0)) >= EVIDENCE
+        return 2 * (n * math.log(n / hope) + (m * math.log(m / rest) if m else 0)) >= evidence
 
     own = {p for p, n in texts.items() if particular(p, n)}
     marked = {w: hits for w, of in parts.items() if (hits := own.intersection(of))}

@@ -1,9 +1,12 @@
 """Language, quality and toxicity: held-out accuracy, and rows that have nothing to say."""
 
+import zlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lumenfold.llm import langid, quality_crf, toxicity
+from lumenfold.llm import langid, quality_crf, samples, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, score string"
 LABELS = "doc_id long, quality int, toxic int, text string"
@@ -57,6 +60,46 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
 
 
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, (t, _) in enumerate([("the cat and the dog", 1), ("der hund", 0)] * 6)], "doc_id long, text string, __Score string, score int")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.count() <= 12
+    assert toxicity.toxicity(docs, labels).count() == 12
+
+
+def test_scores_of_rows_are_those_of_the_model(spark, tables):
+    """The distributed scores against the fitted model, text by text."""
+    docs, labels = tables
+    model = toxicity.fit_toxicity(docs, labels, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    gains = toxicity.Gains(model.ordinary, model.toxic)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.toxicity(docs, labels).collect():
+        assert r.score == pytest.approx(model.score(gains, texts[r.doc_id])) and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_gain_is_the_difference_of_two_lengths():
+    gains = toxicity.Gains(b" Plain  Words  Here ", b" Zzzzword  Qqqqword ")
+    assert gains.of([b"zzzzword", b"plain"]).tolist() == [max(0, len(gains.plain(w)) - len(gains.both(w))) for w in (b"<@[0123456789]= Zzzzword =[9876543210]@>", b"<@[0123456789]= Plain =[9876543210]@>")]
+    assert gains.of([b"zzzzword"])[0] > 2 > gains.of([b"xzzzzwor"])[0] + 1 or gains.of([b"zzzzword"])[0] > gains.of([b"other"])[0]
+
+
+def test_language_of_a_text_by_hand():
+    model = langid.LanguageModel.fit([("the cat and the dog " * 3, "en"), ("der hund und die katze " * 3, "de")] * 20)
+    text = "the dog"
+    buckets = langid.subwords(text)
+    z = (model.table[buckets].mean(axis=0) + model.bias) / model.temperature
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    lang, score, _ = model.predict(text)
+    assert lang == model.languages[int(p.argmax())] == "en" and score == pytest.approx(p.max(), rel=1e-4)
+
+
+def test_an_id_that_repeats_does_not_flood_the_driver(spark):
+    rows = spark.createDataFrame([(1, f"text {i}", 1) for i in range(500)] + [(2, "same", 0)] * 500, "id long, t string, y int")
+    found = samples.different_texts(rows, "t", "y", 10)
+    assert len(found) == 80 and found == sorted(found) and len(samples.different_texts(rows.filter("y = 0"), "t", "y", 10)) == 1
+
+
 @pytest.mark.parametrize("marks", [[], [(1, 1, 1, "t")], [(1, 0, 0, "t")]])
 def test_without_labels_of_both_classes(spark, marks):
     docs, labels = spark.createDataFrame(ROWS[:4], DOCS), spark.createDataFrame(marks, LABELS)

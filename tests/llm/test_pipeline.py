@@ -1,5 +1,15 @@
+import zlib
+from collections import Counter, defaultdict
+
 import corpus_pipeline
-from lumenfold.llm import decontaminate
+import numpy as np
+import public_tokenizers
+from pyspark.sql import functions as F
+from test_decontaminate import plainly
+from test_simhash import least_reachable, plain_fingerprint
+from tokenizers import Tokenizer
+
+from lumenfold.llm import decontaminate, linededup, toxicity
 
 
 def test_stages_in_order():
@@ -21,3 +31,44 @@ def test_stages_keep_columns_and_take_effect(spark, sf_dir):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == ids
     whole = corpus_pipeline.run(spark, sf_dir)
     assert sorted(map(tuple, whole.select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(tuple, packed.select("doc_id", "piece", "ids_crc32").collect()))
+
+
+def without_common_lines(docs):
+    """docs (id, source, text) by the definition: lines on a share of a source's documents or of its different texts."""
+    pages, texts, holders = Counter(s for _, s, _ in docs), defaultdict(set), defaultdict(list)
+    for _, s, t in docs:
+        texts[s].add(t)
+        for line in {x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")}:
+            holders[s, line].append(t)
+    gone = set()
+    for (s, line), found in holders.items():
+        many = len(set(found))
+        often = many >= linededup.COMMON_TEXTS and many > linededup.COMMON * len(texts[s])
+        if pages[s] >= linededup.MIN_PAGES and (len(found) > linededup.RATIO * pages[s] or often):
+            gone.add((s, line))
+    return [(i, s, "\n".join(x for x in t.split("\n") if (s, x) not in gone)) for i, s, t in docs]
+
+
+def test_rows_are_those_of_a_plain_chain(spark, sf_dir):
+    """Every stage by its definition, on one machine: only the fitted toxicity model is shared."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels, benchmark = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("labels", "benchmark"))
+    model = toxicity.fit_toxicity(table, labels, toxicity.crc_fold(F.col("doc_id"), 4) != 2)
+    gains = toxicity.Gains(model.ordinary, model.toxic)
+    docs = [(r.doc_id, r.source, r.text) for r in table.collect() if model.score(gains, r.text) < toxicity.THRESHOLD]
+    docs = without_common_lines(docs)
+    ids = np.array([i for i, _, _ in docs])
+    least = least_reachable(np.array([plain_fingerprint(t, 4) for _, _, t in docs], np.uint64), ids, 4)
+    docs = [d for d, m in zip(docs, least.tolist()) if d[0] == m]
+    items = [(r.item_id, r.text) for r in benchmark.collect()]
+    docs = [d for d in docs if plainly(d[2], items, 10)[1] == 0]
+    library, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
+    for i, _, t in docs:
+        ids = [*library.encode(t, add_special_tokens=False).ids, 1]
+        for piece, at in enumerate(range(0, len(ids), 4096)):
+            part = ids[at : at + 4096]
+            want.append((i, piece, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    found = corpus_pipeline.run(spark, sf_dir).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == sorted(want)
+    total = sum(r.length for r in found)
+    assert len({r.sequence_id for r in found}) <= -(-total // 4096) + 1

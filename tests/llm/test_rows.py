@@ -38,6 +38,13 @@ def test_repeated_words():
         assert rules.repeated_words(words) == repeated(words)
 
 
+def test_very_long_texts(spark):
+    text = " ".join(f"w{i % 5000}" for i in range(60_000))
+    assert rules.measures(text)[0] == 60_000 == rules.measures(text)[4]
+    docs = spark.createDataFrame([(i, f"{text}\nfoot\n{i}", "s", 1, None, None) for i in range(12)], DOCS)
+    assert {r.text.split("\n")[1] for r in linededup.drop_boilerplate(docs).collect()} == {str(i) for i in range(12)} or linededup.drop_boilerplate(docs).filter("text like '%foot%'").count() == 0
+
+
 def test_measures():
     assert rules.measures("a é\x0bb#\n\nx\nx\n x") == (6, 7, 1, 1, 0)
     assert rules.measures(None) == (0, 0, 0, 0, 0) == rules.measures(" \t\n")
@@ -79,6 +86,15 @@ def test_pipeline_drops_common_lines(spark, sf_dir):
     assert all(text[100 + i] == "whole copy\nof a page" for i in range(9))  # 8 % of the pages, but one text
 
 
+def test_boilerplate_with_clashing_names(spark, monkeypatch):
+    rows = [(i, f"line {i}\nfoot", "a", "x", 1, "y", None, 2) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __host string, __Drop int, __new string, __at string, __salt int")
+    for limit in (32 << 20, 0):
+        monkeypatch.setattr(linededup, "BROADCAST_BYTES", limit)
+        found = linededup.drop_boilerplate(docs)
+        assert found.columns == docs.columns and sorted(map(tuple, found.collect())) == [(i, f"line {i}", *r[2:]) for i, r in enumerate(rows)]
+
+
 def test_boilerplate_runs_no_python(spark, sf_dir):
     plan = queries.op5_line_dedup(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
