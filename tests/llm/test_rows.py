@@ -42,7 +42,7 @@ def test_very_long_texts(spark):
     text = " ".join(f"w{i % 5000}" for i in range(60_000))
     assert rules.measures(text)[0] == 60_000 == rules.measures(text)[4]
     docs = spark.createDataFrame([(i, f"{text}\nfoot\n{i}", "s", 1, None, None) for i in range(12)], DOCS)
-    assert {r.text.split("\n")[1] for r in linededup.drop_boilerplate(docs).collect()} == {str(i) for i in range(12)} or linededup.drop_boilerplate(docs).filter("text like '%foot%'").count() == 0
+    assert sorted(r.text for r in linededup.drop_boilerplate(docs).collect()) == sorted(str(i) for i in range(12))
 
 
 def test_measures():
