@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import choice_label, choice_prompt, strip, strip_end, word_count
+from lumenfold.operators.requests import number_rows, valid_ids
 
 # What ends prompts.
 MATH_INSTRUCTION = "Please reason step by step, and put your final answer within \\boxed{}."
@@ -54,6 +58,73 @@ def _code_rows(rows: DataFrame, name: str, prompt: Column, answer: Column, mode:
     return rows.select(F.concat(F.lit(f"{name}:"), task).alias("doc_id"), task.alias("task_id"), prompt.alias("prompt"), answer.alias("answer"), F.lit(mode).alias("prompt_mode"))
 
 
+def required(rows: DataFrame, name: str, texts: list[str], ids: list[str] = ()) -> DataFrame:
+    """rows, or a failed job that names the first column without a text (of any kind, for ids) that is not blank."""
+    blank = lambda c: F.coalesce(strip(F.col(c).cast("string")), F.lit("")) == ""
+    kinds = dict(rows.dtypes)
+    wrong = [c for c in texts if kinds.get(c) != "string"] + [c for c in ids if c not in kinds]
+    if wrong:
+        raise ValueError(f"{name} needs {wrong[0]}")
+    checked = rows
+    for c in [*texts, *ids]:
+        fault = F.raise_error(F.concat(F.lit(f"{name} has a row with a blank {c}: "), F.to_json(F.struct(*rows.columns)).substr(1, 200)))
+        checked = checked.withColumn(c, F.when(blank(c), fault.cast(kinds[c])).otherwise(F.col(c)))
+    return checked
+
+
+def union_of_configs(configs: dict[str, DataFrame], order: Callable[[DataFrame], Column]) -> DataFrame:
+    """The rows of all configs with id = 'config:place', the places (from 0) by `order` within each.
+
+    Configs may lack columns of others; all rows are numbered in one pass over the union.
+    """
+    if not configs:
+        raise ValueError("no configs")
+    parts = [rows.withColumn("config", F.lit(name)).withColumn("__order", order(rows)) for name, rows in configs.items()]
+    together = parts[0]
+    for p in parts[1:]:
+        together = together.unionByName(p, allowMissingColumns=True)
+    numbered = number_rows(together, F.col("__order"), "__place", group="config")
+    return numbered.withColumn("id", F.concat("config", F.lit(":"), F.col("__place").cast("string"))).drop("__place", "__order")
+
+
+def publish(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> bool:
+    """Writes a benchmark as JSON lines under path, unless one with valid ids is there; whether it wrote.
+
+    The rows are written beside path and checked there (some rows, ids unique and not blank), then renamed. What stood
+    under path without valid ids goes after the new files are whole.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    place = fs_path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    ids = lambda p: spark.read.schema("doc_id string").json(p)
+    if fs.exists(place) and valid_ids(ids(path)).first()["valid"]:
+        return False
+    hidden = fs_path(place.getParent(), f".{place.getName()}.{uuid.uuid4().hex}")
+    try:
+        make().write.option("ignoreNullFields", "false").json(hidden.toString())
+        found = valid_ids(ids(hidden.toString())).first()
+        if not found["valid"]:
+            raise ValueError(f"no benchmark for {path}: {found['rows']} rows, {found['distinct']} ids, {found['blank']} blank")
+        if fs.exists(place):
+            fs.delete(place, True)
+        if not fs.rename(hidden, place):
+            raise OSError(f"cannot rename to {path}")
+        return True
+    finally:
+        fs.delete(hidden, True)
+
+
+def publish_all(spark: SparkSession, benchmarks: dict[str, Callable[[], DataFrame]], folder: str) -> dict[str, str]:
+    """publish() for each benchmark, going on past failures: 'written', 'there' or the error by name."""
+    state = {}
+    for name, make in benchmarks.items():
+        try:
+            state[name] = "written" if publish(spark, f"{folder.rstrip('/')}/{name}", make) else "there"
+        except Exception as e:
+            state[name] = f"{type(e).__name__}: {e}"[:500]
+    return state
+
+
 def length_filter(rows: DataFrame, most: int, prompt: str = "prompt", text: str = "gen", tokens=word_count) -> DataFrame:
     """rows with prompt_length, gen_length, total_length, has_boxed and keep; `tokens` maps a text column to its length."""
     lengths = rows.withColumns({"prompt_length": tokens(F.col(prompt)), "gen_length": tokens(F.col(text))})

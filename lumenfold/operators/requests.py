@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenfold.functions.predicates import is_finite
 from lumenfold.functions.text import request_seed
 from lumenfold.operators.samples import assign_sample_index
 
@@ -30,9 +33,23 @@ def usable_outputs(outputs: DataFrame, text: str = "gen") -> DataFrame:
     return outputs.filter(named & F.col(text).isNotNull() & (F.col("sample_index").isNull() | (F.col("sample_index") >= 0)))
 
 
-def resume_state(outputs: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+def usable_logprobs(outputs: DataFrame) -> DataFrame:
+    """Output rows of choices by log-probability that count as done: one for each choice and each choice token (where the
+    row has them), null or finite, one of them finite at least, and a gold among them."""
+    n = F.size("logprobs")
+    same = lambda c: F.col(c).isNull() | (F.size(c) == n)
+    fits = [same(c) for c in ("choices", "choice_tokens") if c in outputs.columns]
+    scores = F.forall("logprobs", lambda x: x.isNull() | is_finite(x)) & F.exists("logprobs", lambda x: x.isNotNull())
+    fine = (n > 0) & (F.col("gold") >= 0) & (F.col("gold") < n) & scores
+    for f in fits:
+        fine = fine & f
+    named = F.coalesce(F.trim(F.col("doc_id").cast("string")), F.lit("")) != ""
+    return outputs.filter(named & F.coalesce(fine, F.lit(False)) & (F.col("sample_index").isNull() | (F.col("sample_index") >= 0)))
+
+
+def resume_state(outputs: DataFrame, ordinal: str = "ordinal", usable: Callable[[DataFrame], DataFrame] = usable_outputs) -> DataFrame:
     """(doc_id, sample_index, prompt, n_samples) that are done; rows without an index take the next free one."""
-    numbered = assign_sample_index(usable_outputs(outputs), "doc_id", ordinal)
+    numbered = assign_sample_index(usable(outputs), "doc_id", ordinal)
     return numbered.groupBy("doc_id", "sample_index").agg(F.min("prompt").alias("prompt"), F.max("n_samples").alias("n_samples"))
 
 
@@ -64,37 +81,60 @@ def reconcile(manifest: DataFrame, outputs: DataFrame, n_samples: int) -> DataFr
     )
 
 
-def few_shot_prefixes(questions: DataFrame, pool: DataFrame, shots: int, seed: int = 42) -> DataFrame:
+#: Bytes of demonstrations that are broadcast at a time.
+POOL_BLOCK = 16 << 20
+
+
+def few_shot_prefixes(questions: DataFrame, pool: DataFrame, shots: int, seed: int = 42, block: int = POOL_BLOCK) -> DataFrame:
     """(doc_id, prefix): `shots` demonstrations for each question by a hash of seed, question and candidate; never itself.
 
-    The pool is a development set of bounded size; its rows and their hash order are taken per question
-    by a top-n of an aggregate, so no question's candidates are sorted whole.
+    The pool's bytes are measured first. It is broadcast in blocks of about `block` bytes, one after the other, and
+    a question carries on only its best `shots` of the blocks so far; nothing is shuffled. Every question looks at every
+    candidate, which is what the seeded choice asks for; a pool is a development set.
     """
     demos = pool.select(F.col("doc_id").cast("string").alias("__id"), F.col("prompt").alias("__prompt"), F.concat("prompt", F.lit(" "), "answer").alias("__demo"))
-    packed = demos.agg(F.collect_list(F.struct("*")).alias("__pool"))
-    joined = questions.select("doc_id", "prompt").join(F.broadcast(packed))  # one row: the pool
-    others = F.filter("__pool", lambda d: (d["__prompt"] != F.col("prompt")) & (d["__id"] != F.col("doc_id").cast("string")))
-    ranked = F.transform(others, lambda d: F.struct(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("prompt"), d["__id"]), 256).alias("h"), d["__demo"].alias("demo")))
-    chosen = F.slice(F.array_sort(ranked), 1, shots)
-    enough = F.when(F.size(others) < shots, F.raise_error(F.concat(F.lit("too few demonstrations for "), F.col("doc_id").cast("string"))).cast("string"))
-    return joined.select("doc_id", F.coalesce(enough, F.concat(F.array_join(F.transform(chosen, lambda d: d["demo"]), "\n\n"), F.lit("\n\n"))).alias("prefix"))
+    size = demos.agg(F.coalesce(F.sum(F.octet_length("__prompt") + F.octet_length("__demo")), F.lit(0)).alias("bytes")).first()["bytes"]
+    blocks = size // block + 1
+    best_type = "array<struct<h: string, demo: string>>"
+    found = questions.select("doc_id", "prompt", F.lit(0).alias("__seen"), F.array().cast(best_type).alias("__best"))
+    for i in range(blocks):
+        part = demos if blocks == 1 else demos.filter(F.pmod(F.xxhash64("__id", "__demo"), F.lit(blocks)) == i)
+        packed = part.agg(F.collect_list(F.struct("*")).alias("__pool"))
+        joined = found.join(F.broadcast(packed))  # one row of about `block` bytes
+        others = F.filter("__pool", lambda d: (d["__prompt"] != F.col("prompt")) & (d["__id"] != F.col("doc_id").cast("string")))
+        ranked = F.transform("__others", lambda d: F.struct(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("prompt"), d["__id"]), 256).alias("h"), d["__demo"].alias("demo")))
+        best = F.slice(F.array_sort(F.concat("__best", ranked.cast(best_type))), 1, shots)
+        found = joined.withColumn("__others", others).select("doc_id", "prompt", (F.col("__seen") + F.size("__others")).alias("__seen"), best.alias("__best"))
+    enough = F.when(F.col("__seen") < shots, F.raise_error(F.concat(F.lit("too few demonstrations for "), F.col("doc_id").cast("string"))).cast("string"))
+    return found.select("doc_id", F.coalesce(enough, F.concat(F.array_join("__best.demo", "\n\n"), F.lit("\n\n"))).alias("prefix"))
 
 
 def with_seeds(requests: DataFrame, seed: int, prompt: str = "prompt") -> DataFrame:
     return requests.withColumn("seed", request_seed(seed, F.col("doc_id"), F.col(prompt), F.col("sample_index")))
 
 
+def _checkpoints(spark: SparkSession) -> str:
+    """The folder of checkpoints; spark.checkpoint.dir, or a temporary one in local mode where that is unset."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lumenfold-"))
+    return context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder of checkpoints, which all executors share."""
+    return f"{_checkpoints(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def number_rows(rows: DataFrame, order: Column, into: str = "number", group: str | None = None) -> DataFrame:
     """rows with their place (from 0) in `order`, by range partitions and their sizes: no task sorts all rows.
 
     The ranges come from a sample, so they are fixed by a checkpoint before they are counted and used.
     With group, places are counted in each of its values; a value's rows may stand in many ranges.
     """
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lumenfold-"))
+    _checkpoints(rows.sparkSession)
     if group:
         return _number_in_groups(rows, order, into, group)
     spread = rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id()).checkpoint()

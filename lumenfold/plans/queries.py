@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 from lumenfold.functions import predicates as P
 from lumenfold.functions import text as T
 from lumenfold.functions.estimators import POISSON, majority, pass_at_k
-from lumenfold.operators import code_answers, math_answers, metrics, multiple_choice, preparation, requests, samples
+from lumenfold.operators import code_answers, inference, math_answers, metrics, multiple_choice, preparation, requests, samples
+from lumenfold.plans import runner
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -572,3 +573,69 @@ def choice_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = F.when(way == 0, F.array(F.lit(" A"), F.lit("B"))).when(way == 1, F.array(F.lit("x"), F.lit("y"))).otherwise(T.choice_tokens(F.lit(None).cast("array<string>"), F.array("p_brand", "p_type")))
     prompt = F.when(way == 0, F.lit("Q: ")).otherwise(F.concat("p_name", F.lit(" Answer:")))
     return _read(spark, sf_dir, "part").select(F.concat(F.lit("mmlu:"), F.col("p_partkey").cast("string")).alias("doc_id"), T.choice_continuations(prompt, tokens).alias("follow"))
+
+
+@query("""
+WITH t AS (SELECT p_partkey, p_size % 5 = 0 AS broken, length(p_name) - length(replace(p_name, ' ', '')) + 1 AS n FROM part)
+SELECT p_partkey, CASE WHEN NOT broken THEN -0.125::DOUBLE * n * (n + 1) / 2 END AS logprob FROM t""")
+def continuation_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a name as tokens after a context that is longer in bytes than in characters; offsets count bytes for every other part."""
+    part = _read(spark, sf_dir, "part")
+    context = F.lit("\u00fc: ")
+    tokens = F.transform(F.split("p_name", " "), lambda w: F.concat(F.lit(" "), w, F.lit("\u00e9")))
+    said = part.select("p_partkey", "p_size", tokens.alias("tokens"))
+    sizes = lambda length: F.transform("tokens", lambda t, i: length(context) + length(F.array_join(F.slice("tokens", F.lit(1), i), "")))
+    offsets = F.when(F.col("p_partkey") % 2 == 0, sizes(F.octet_length)).otherwise(sizes(F.length)).cast("array<bigint>")
+    n = F.size("tokens")
+    logprobs = F.transform("tokens", lambda t, i: F.when((F.col("p_size") % 5 != 0) | (i < n - 1), (i + 1) * F.lit(-0.125).cast("double")))
+    return said.select("p_partkey", inference.aligned_logprob(offsets, F.col("tokens"), logprobs, context, F.array_join("tokens", "")).alias("logprob"))
+
+
+@query("""
+SELECT l_linenumber, count(*) AS usable FROM lineitem
+WHERE l_linenumber <= 3 AND (l_tax <> 0 OR l_discount <> 0) AND l_quantity::INTEGER % 4 <> 0 GROUP BY 1""")
+def choice_resume_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of three log-probabilities, null where zero and infinite for a quarter; golds beyond the choices are of no use."""
+    none = F.lit(None).cast("double")
+    score = lambda c: F.when(F.col(c) != 0, -F.col(c).cast("double"))
+    third = F.when(F.col("l_quantity").cast("int") % 4 == 0, F.lit(float("inf"))).otherwise(none)
+    rows = _read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("sample_index"), "l_linenumber", F.array(score("l_tax"), score("l_discount"), third).alias("logprobs"),
+        F.array(*map(F.lit, "ABC")).alias("choices"), (F.col("l_linenumber") - 1).alias("gold"),
+    )
+    return requests.usable_logprobs(rows).groupBy("l_linenumber").agg(F.count("*").alias("usable"))
+
+
+class _Lengths:
+    """A client that says how long a prompt is; a flaky one fails for prompts of an even length."""
+
+    def __init__(self, flaky: bool):
+        self.flaky = flaky
+
+    def generate(self, prompt: str, system: str | None, seed: int) -> str:
+        if self.flaky and len(prompt) % 2 == 0:
+            raise inference.FatalRequest("even")
+        return str(len(prompt))
+
+
+@query("SELECT item_id::VARCHAR AS doc_id, i::INTEGER AS sample_index, length(text)::VARCHAR AS gen FROM benchmark, range(2) t(i)")
+def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that fails for a part of its requests and is started again: each sample has one row in the end."""
+    questions = _read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("doc_id"), F.col("text").alias("prompt"))
+    run = runner.Run(requests.scratch(spark, "run"), n_samples=2)
+    try:
+        runner.execute(questions, run, lambda: _Lengths(True))
+    except runner.IncompleteRun:
+        runner.execute(questions, run, lambda: _Lengths(False))
+    return runner.outputs_of(spark, run).select("doc_id", "sample_index", "gen")
+
+
+@query("""
+SELECT 'nation:' || (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) || ':' || n_regionkey AS id, n_name FROM nation""")
+def config_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of a region as a config of a benchmark, numbered by their keys."""
+    nations = _read(spark, sf_dir, "nation")
+    configs = {str(k): nations.filter(F.col("n_regionkey") == k) for k in range(5)}
+    rows = preparation.union_of_configs(configs, lambda df: F.col("n_nationkey"))
+    place, config = F.split_part("id", F.lit(":"), F.lit(2)), F.split_part("id", F.lit(":"), F.lit(1))
+    return rows.select(F.concat(F.lit("nation:"), place, F.lit(":"), config).alias("id"), "n_name")

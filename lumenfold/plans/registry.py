@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import gold_letter
 from lumenfold.operators import code_answers, math_answers, multiple_choice
 from lumenfold.operators.metrics import bootstrap, check_counts, exact_bootstrap
 from lumenfold.operators.samples import normalize_samples, problem_identity
+from lumenfold.plans.settings import number, whole
 
 
 @dataclass
@@ -39,6 +40,18 @@ class Options:
     #: Ids of incomplete problems that a result lists, the first ones by id; all are counted.
     listed: int = 100
 
+    def __post_init__(self):
+        if self.aggregation not in multiple_choice.AGGREGATIONS:
+            raise ValueError(f"aggregation must be one of {multiple_choice.AGGREGATIONS}")
+        for k in self.ks:
+            whole("k", k, least=1)
+        whole("resamples", self.resamples, least=0)
+        whole("listed", self.listed, least=0)
+        whole("seed", self.seed)
+        number("confidence", self.confidence, above=0)
+        if self.confidence >= 1:
+            raise ValueError(f"confidence must be below 1: {self.confidence!r}")
+
 
 def _prepared(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     for name, kind in (("sample_index", "int"), ("n_samples", "int"), ("error", "string"), ("doc_id", "string")):
@@ -146,3 +159,17 @@ def incomplete(problems: DataFrame, listed: int) -> dict:
 
 def primary_value(result: dict) -> float:
     return next(iter(result["metrics"].values()))["value"]
+
+
+def summary_table(spark: SparkSession, results: list[dict]) -> DataFrame:
+    """(task, metric, value, stderr, ci_low, ci_high, count, samples, failed) of several results, a row for each metric."""
+    rows = [
+        (r["task"], m, float(v["value"]), v.get("stderr"), v.get("ci_low"), v.get("ci_high"), int(v.get("count") or 0), r["sample_count"], r["failed_count"])
+        for r in results for m, v in r["metrics"].items()
+    ]
+    return spark.createDataFrame(rows, "task string, metric string, value double, stderr double, ci_low double, ci_high double, count long, samples long, failed long")
+
+
+def first_failures(scored: DataFrame, n: int = 10) -> DataFrame:
+    """The first n failed rows of a scorer by their place: what a log of a run shows."""
+    return scored.filter("status = 'failed'").orderBy("ordinal").limit(n)

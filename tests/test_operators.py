@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.estimators import argmax, majority, pass_at_k
 from lumenfold.operators import code_answers, inference, math_answers, metrics, multiple_choice, preparation, requests, samples
-from lumenfold.plans import registry
+from lumenfold.plans import registry, runner, settings
+from lumenfold.plans.registry import Options, evaluate, first_failures, summary_table
 from lumenfold.sources import jsonl
 from lumenfold.streaming import outputs
 
@@ -343,3 +344,177 @@ def test_streamed_outputs(spark, tmp_path):
     (tmp_path / "in/b.json").write_text('{"doc_id": "x", "sample_index": 0}\n{"doc_id": "x", "sample_index": 1}\n')
     outputs.append_once(stream(), sink, str(tmp_path / "check")).awaitTermination()
     assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def lengths(*bad):
+    """A factory of clients; its class is local, so that workers need not import this module."""
+
+    class Lengths:
+        def generate(self, prompt, system, seed):
+            if prompt in bad:
+                raise inference.FatalRequest("no")
+            return None if prompt == "none" else str(len(prompt))
+
+    return Lengths
+
+
+def test_run_goes_on_where_it_failed(spark, tmp_path):
+    q = spark.createDataFrame([("a", "x"), ("b", "yy"), ("c", "zzz")], "doc_id string, prompt string")
+    run = runner.Run(str(tmp_path / "out"), n_samples=2)
+    with pytest.raises(runner.IncompleteRun) as failed:
+        runner.execute(q, run, lengths("yy"))
+    assert (failed.value.counts["requested"], failed.value.counts["failed"]) == (6, 2) and "FatalRequest" in failed.value.counts["example"]
+    assert not runner.is_complete(q, run)
+    assert runner.execute(q, run, lengths()) == {"requested": 2, "failed": 0, "example": None}
+    assert runner.execute(q, run, lengths())["requested"] == 0
+    assert runner.is_complete(q, run)
+    found = sorted((r.doc_id, r.sample_index, r.n_samples, r.gen) for r in runner.outputs_of(spark, run).collect())
+    assert found == [(d, i, 2, g) for d, g in (("a", "1"), ("b", "2"), ("c", "3")) for i in (0, 1)]
+
+
+def test_run_refuses_what_is_not_its_own(spark, tmp_path):
+    q = spark.createDataFrame([("a", "x")], "doc_id string, prompt string")
+    run = runner.Run(str(tmp_path / "out"))
+    runner.execute(q, run, lengths())
+    with pytest.raises(ValueError, match="another run"):
+        runner.execute(q, runner.Run(run.output, n_samples=2), lengths())
+    with pytest.raises(ValueError, match="prompt of a"):
+        runner.execute(q.withColumn("prompt", F.lit("y")), run, lengths())
+    with pytest.raises(ValueError, match="id of its own"):
+        runner.execute(q.union(q), runner.Run(str(tmp_path / "two")), lengths())
+    with pytest.raises(ValueError):
+        runner.Run("x", mode="chat")
+    with pytest.raises(runner.IncompleteRun, match="no generation"):
+        runner.execute(q.withColumn("prompt", F.lit("none")), runner.Run(str(tmp_path / "three")), lengths())
+
+
+def choices_client():
+    class Choices:
+        def alternatives(self, prompt):
+            return {" A": -1.0, "b": -0.5} if prompt != "deaf" else {"Z": -1.0}
+
+        def echo(self, text):
+            """Tokens of two characters, placed by bytes."""
+            parts = [text[i : i + 2] for i in range(0, len(text), 2)]
+            places = [len("".join(parts[:i]).encode()) for i in range(len(parts))]
+            return places, parts, [None, *[-1.0] * (len(parts) - 1)]
+
+    return Choices
+
+
+@pytest.mark.parametrize("mode", ["first_token", "continuation"])
+def test_run_of_choices(spark, tmp_path, mode):
+    rows = [("a", "üü", ["x", "y"], 1), ("b", "deaf", ["x", "y", "z"], 0), ("c", "üü", ["x"], 1), ("d", "üü", None, 0), ("e", "odd", ["x"], 0)]
+    q = spark.createDataFrame(rows, "doc_id string, prompt string, choices array<string>, gold int")
+    run = runner.Run(str(tmp_path / "out"), mode=mode)
+    with pytest.raises(runner.IncompleteRun) as failed:
+        runner.execute(q, run, choices_client())
+    found = {r.doc_id: r.logprobs for r in runner.outputs_of(spark, run).collect()}
+    # One token " A" follows the prompt; after an odd one no token begins where the continuation does.
+    want = {"first_token": {"a": [-1.0, -0.5], "e": [-1.0]}, "continuation": {"a": [-1.0, -1.0], "b": [-1.0] * 3}}[mode]
+    assert found == want and failed.value.counts["failed"] == 5 - len(want)
+    assert runner.left_of(q, run).count() == 5 - len(want)
+    acc = evaluate(runner.outputs_of(spark, run), "mc")["metrics"]["acc"]["value"]
+    assert acc == {"first_token": 1.0, "continuation": 0.5}[mode]
+
+
+@pytest.mark.parametrize(
+    "offsets, tokens, logprobs, want",
+    [
+        ([0, 2, 4], ["é:", " a", "b"], [None, -1.0, -2.0], -3.0),  # characters
+        ([0, 3, 5], ["é:", " a", "b"], [None, -1.0, -2.0], -3.0),  # bytes
+        ([0, 2, 4], ["é:", " a", "b"], [None, -1.0, None], None),
+        ([0, 2, 4], ["é:", " a", "c"], [None, -1.0, -2.0], None),
+        ([0, 2, 5], ["é:", " a", "b"], [None, -1.0, -2.0], None),
+        ([0, 1], ["é", ": ab"], [None, -1.0], None),
+        ([None, 2, 4], ["é:", " a", "b"], [None, -1.0, -2.0], -3.0),
+        ([], [], [], None),
+    ],
+)
+def test_aligned_continuations(spark, offsets, tokens, logprobs, want):
+    df = spark.createDataFrame([(offsets, tokens, logprobs)], "o array<bigint>, t array<string>, p array<double>")
+    assert df.select(inference.aligned_logprob(F.col("o"), F.col("t"), F.col("p"), F.lit("é:"), F.lit(" ab")).alias("x")).first().x == want
+
+
+def test_usable_logprobs(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", [-1.0, None], 0), ("b", [None, None], 0), ("c", [nan, -1.0], 0), ("d", [-inf, -1.0], 0), ("e", [], 0), ("f", [-1.0, -2.0], 2), ("g", [-1.0], 0), ("h", None, 0), (" ", [-1.0, -1.0], 0)]
+    df = spark.createDataFrame(rows, "doc_id string, logprobs array<double>, gold int").withColumn("choices", F.array(F.lit("x"), F.lit("y"))).withColumn("sample_index", F.lit(0))
+    assert [r.doc_id for r in requests.usable_logprobs(df).collect()] == ["a"]
+
+
+def test_few_shot_blocks_change_nothing(spark):
+    pool = spark.createDataFrame([(str(i), f"q{i}", f"a{i}") for i in range(40)], "doc_id string, prompt string, answer string")
+    q = spark.createDataFrame([(str(i), f"q{i}") for i in range(6)], "doc_id string, prompt string")
+    whole, parts = (sorted(map(tuple, requests.few_shot_prefixes(q, pool, 3, 9, block=b).collect())) for b in (1 << 20, 64))
+    assert whole == parts and len(whole) == 6
+
+
+def test_benchmarks_are_published_once(spark, tmp_path):
+    made = []
+
+    def make(rows):
+        def f():
+            made.append(1)
+            return spark.createDataFrame(rows, "doc_id string, prompt string")
+
+        return f
+
+    path = str(tmp_path / "b")
+    good = make([("a", "x"), ("b", None)])
+    assert preparation.publish(spark, path, good) and not preparation.publish(spark, path, good) and len(made) == 1
+    assert sorted(map(tuple, spark.read.json(path).select("doc_id", "prompt").collect())) == [("a", "x"), ("b", None)]
+    for rows in ([], [("a", "x"), ("a", "y")], [(" ", "x")]):
+        with pytest.raises(ValueError, match="no benchmark"):
+            preparation.publish(spark, str(tmp_path / "bad"), make(rows))
+    assert not (tmp_path / "bad").exists() and not list(tmp_path.glob(".*"))
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "x.json").write_text('{"doc_id": "a"}\n{"doc_id": "a"}\n')
+    assert preparation.publish(spark, str(tmp_path / "old"), good)
+    state = preparation.publish_all(spark, {"b": good, "none": make([]), "new": good}, str(tmp_path))
+    assert (state["b"], state["new"]) == ("there", "written") and state["none"].startswith("ValueError")
+
+
+def test_required_texts(spark):
+    df = spark.createDataFrame([(1, "x", "y"), (2, " ", "y")], "task_id int, prompt string, test string")
+    assert preparation.required(df, "b", ["test"], ["task_id"]).count() == 2
+    with pytest.raises(Exception, match="b has a row with a blank prompt"):
+        preparation.required(df, "b", ["prompt"], ["task_id"]).collect()
+    for texts, ids in ((["task_id"], []), (["gone"], []), ([], ["gone"])):
+        with pytest.raises(ValueError, match="b needs"):
+            preparation.required(df, "b", texts, ids)
+
+
+def test_configs_in_one_table(spark):
+    one = spark.createDataFrame([("b", 1), ("a", 2)], "q string, n int")
+    two = spark.createDataFrame([("c",)], "q string")
+    found = sorted((r.id, r.q, r.n) for r in preparation.union_of_configs({"x": one, "y": two}, lambda df: F.col("q")).collect())
+    assert found == [("x:0", "a", 2), ("x:1", "b", 1), ("y:0", "c", None)]
+
+
+def test_summaries_of_results(spark):
+    rows = spark.createDataFrame([("a", "Answer: B", "B"), ("b", None, "A")], "doc_id string, gen string, answer string")
+    result = evaluate(rows, "mc")
+    found = summary_table(spark, [result, result | {"task": "other"}]).orderBy("task").collect()
+    assert [(r.task, r.metric, r.value, r.samples, r.failed) for r in found] == [("mc", "acc", 1.0, 2, 1), ("other", "acc", 1.0, 2, 1)]
+    scored = spark.createDataFrame([(i, "failed" if i % 2 else "completed") for i in range(9)], "ordinal int, status string")
+    assert [r.ordinal for r in first_failures(scored, 3).collect()] == [1, 3, 5]
+
+
+def test_settings():
+    assert settings.whole("n", 3, least=1, most=3) == 3 and settings.number("p", 1, above=0) == 1.0
+    for bad in (True, 1.0, "1", 0, 4):
+        with pytest.raises(ValueError, match="n "):
+            settings.whole("n", bad, least=1, most=3)
+    for bad in (False, float("nan"), float("inf"), "1", 0, 2):
+        with pytest.raises(ValueError, match="p "):
+            settings.number("p", bad, above=0, most=1)
+    settings.field_names(a="x", b="y")
+    for bad in ({"a": " "}, {"a": 1}, {"a": "x", "b": "x"}):
+        with pytest.raises(ValueError):
+            settings.field_names(**bad)
+    with pytest.raises(ValueError):
+        Options(aggregation="best")
+    nested = {"Api_Key": 1, "extra_body": '{"a": [{"my_secret": 2}], "b": 3}', "c": [{"cookie": 4}, 5]}
+    assert settings.redacted(nested) == {"Api_Key": "***", "extra_body": {"a": [{"my_secret": "***"}], "b": 3}, "c": [{"cookie": "***"}, 5]}
+    assert settings.redacted({"extra_body": "{"}) == {"extra_body": "***"} and "my_secret" in nested["extra_body"]
