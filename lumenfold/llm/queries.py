@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import decontaminate, langid, linededup, packing, quality_crf, rules, simhash, tokencount, toxicity, warc
+from lumenfold.llm import decontaminate, langid, linededup, ngram_lm, packing, quality_crf, resampling, rules, simhash, tokencount, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,14 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("matches", "longest_match")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.language_model(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_classifier": op2_quality_classifier,
@@ -68,10 +76,14 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_lm_scoring": op12_lm_scoring,
 }
 SQL: dict[str, str] = {
     "op4_quality_rules": rules.SQL,
     "op5_line_dedup": linededup.SQL,
     "op7_warc": warc.SQL,
     "op10_benchmark_decontamination": decontaminate.SQL,
+    "op11_importance_resampling": resampling.SQL,
+    "op12_lm_scoring": ngram_lm.SQL,
 }
