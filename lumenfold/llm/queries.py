@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import decontaminate, langid, linededup, ngram_lm, packing, quality_crf, resampling, rules, simhash, tokencount, toxicity, warc
+from lumenfold.llm import decontaminate, langid, linededup, ngram_lm, packing, quality_crf, resampling, rules, search, simhash, tokencount, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.language_model(_table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_classifier": op2_quality_classifier,
@@ -78,6 +82,7 @@ QUERIES = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_lm_scoring": op12_lm_scoring,
+    "op13_lexical_search": op13_lexical_search,
 }
 SQL: dict[str, str] = {
     "op4_quality_rules": rules.SQL,
@@ -86,4 +91,5 @@ SQL: dict[str, str] = {
     "op10_benchmark_decontamination": decontaminate.SQL,
     "op11_importance_resampling": resampling.SQL,
     "op12_lm_scoring": ngram_lm.SQL,
+    "op13_lexical_search": search.SQL,
 }
