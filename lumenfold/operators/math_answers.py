@@ -2,46 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
-from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.functions import expressions
 from lumenfold.functions.text import ground_truth, once, strip_reasoning, with_math_forms
 
-#: Characters of a form that may be a number; exponents have three digits at most.
-MOST_DIGITS = 4_000
-_EXPONENT = re.compile(r"[eE]([+-]?\d+)")
-_FRACTION = re.compile(r"(-?)\\?d?frac\{(-?[\d.]+)\}\{(-?[\d.]+)\}")
-
-
-def number_of(form: str | None) -> Fraction | None:
-    """The exact number that a compared form is: decimal, percentage, a/b or a LaTeX fraction; else None."""
-    if not form:
-        return None
-    text = form.strip().replace(",", "").replace("\\%", "%").replace("$", "")
-    if len(text) > MOST_DIGITS or (m := _EXPONENT.search(text)) and len(m[1].lstrip("+-0")) > 3:
-        return None  # 1e99999999 would be a number of so many digits
-    try:
-        if m := _FRACTION.fullmatch(text):
-            value = Fraction(m[2]) / Fraction(m[3])
-            return -value if m[1] else value
-        if text.endswith("%"):
-            return Fraction(text[:-1]) / 100
-        return Fraction(text)
-    except (ValueError, ZeroDivisionError):
-        return None
-
-
-def same_number(gold: str | None, answer: str | None, digits: int = 6) -> bool:
-    """Whether both forms are numbers that agree when rounded to `digits` decimals."""
-    a, b = number_of(gold), number_of(answer)
-    return a is not None and b is not None and (a == b or round(a, digits) == round(b, digits))
-
-
 Verifier = Callable[[str, str], bool]
 
 
@@ -53,32 +22,33 @@ def verdict(verify: Verifier, gold: str | None, answer: str | None) -> bool | No
         return None
 
 
-def score_answers(rows: DataFrame, dataset: str = "", label: str = "answer", text: str = "gen", error: str | None = None, verify: Verifier | None = same_number) -> DataFrame:
-    """rows with gold, prediction (compared forms), accuracy (0 or 1), status.
+def score_answers(rows: DataFrame, dataset: str = "", label: str = "answer", text: str = "gen", error: str | None = None, verify: Verifier | None = None) -> DataFrame:
+    """rows with gold, prediction (compared forms), prediction_key, accuracy (0 or 1), status.
 
     An error, a missing generation, an unusable label or a verifier that raises fails the row; an empty or unparsable answer is
-    completed and wrong. Equal forms are right; other pairs go to the verifier, a function of two forms.
+    completed and wrong. Equal forms are right, and so are forms of equal keys (see functions/expressions.py); what
+    is left goes to `verify`, a function of two forms, where one is given.
     """
     rows = once(rows, {"__label": ground_truth(F.col(label), dataset), "__answer": strip_reasoning(F.col(text))})
     found = with_math_forms(rows, {"gold": F.col("__label"), "prediction": F.col("__answer")})
+    found = once(found.drop("prediction_key"), {"__gold_key": expressions.key(F.col("gold")), "prediction_key": expressions.key(F.col("prediction"))})
     failed = (F.coalesce(F.col("__label"), F.lit("")) == "") | F.col(text).isNull()
     if error:
         failed = failed | (F.coalesce(F.col(error), F.lit("")) != "")
-    equal = (F.col("gold") == F.col("prediction")) & (F.col("gold") != "")
-    right = equal
+    right = (F.col("__gold_key") == F.col("prediction_key")) & (F.col("gold") != "")
     if verify:
 
         @F.pandas_udf("boolean")
         def verified(a: pd.Series, b: pd.Series) -> pd.Series:
             return pd.Series([verdict(verify, x, y) for x, y in zip(a, b)], dtype="boolean")
 
-        # Only pairs with a digit on both sides that differ can be settled by the verifier.
-        ask = ~equal & F.col("gold").rlike("[0-9]") & F.col("prediction").rlike("[0-9]")
+        # Words without a digit on both sides are settled by their texts.
+        ask = ~right & F.col("gold").rlike("[0-9]") & F.col("prediction").rlike("[0-9]")
         found = once(found, {"__asked": ask}).withColumn("__same", verified(F.when(F.col("__asked"), F.col("gold")), F.when(F.col("__asked"), F.col("prediction"))))
         failed = failed | (F.col("__asked") & F.col("__same").isNull())
-        right = equal | F.coalesce("__same", F.lit(False))
+        right = right | F.coalesce("__same", F.lit(False))
     out = found.withColumn("status", F.when(failed, "failed").otherwise("completed")).withColumn("accuracy", F.when(~failed & right, 1.0).otherwise(0.0))
-    return out.drop("__label", "__answer", "__asked", "__same")
+    return out.drop("__label", "__answer", "__gold_key", "__asked", "__same")
 
 
 def accuracy_counts(scored: DataFrame) -> DataFrame:
@@ -90,24 +60,43 @@ def accuracy_counts(scored: DataFrame) -> DataFrame:
     )
 
 
-def problem_rollup(scored: DataFrame, problem: str = "problem") -> DataFrame:
-    """One row per problem: k (its depth), correct and completed samples, complete, passed, and whether the majority is right.
+#: Answers that begin so are no votes (fixed values).
+NO_VOTE = ("Error", "Format Error", "Timeout")
 
-    A problem is complete if every sample of its depth is there and completed. Answers vote by their
-    compared form; of equal votes the form seen first wins; the vote is right if any of its samples is.
-    """
-    voters = scored.groupBy(problem, "prediction").agg(
-        F.count("*").alias("votes"), F.min("sample_index").alias("first"), F.max("accuracy").alias("right"),
-        F.sum("accuracy").alias("correct"), F.count_if(F.col("status") == "completed").alias("done"),
+
+def tallies(scored: DataFrame, problem: str = "problem") -> DataFrame:
+    """One row per problem and answer key: votes, the first sample and its form, whether one of them is right, and what
+    problem_rollup() sums. Only completed samples vote. Samples are added up before they are shuffled."""
+    done = F.col("status") == "completed"
+    key = F.col("prediction_key") if "prediction_key" in scored.columns else F.col("prediction")
+    says = F.coalesce(F.col("prediction"), F.lit(""))
+    vote = done & ~F.greatest(*[says.startswith(x) for x in NO_VOTE])
+    return scored.withColumn("__key", F.coalesce(key, F.lit(""))).groupBy(problem, "__key").agg(
+        F.count_if(vote).alias("votes"), F.min(F.when(vote, F.col("sample_index"))).alias("first"), F.min_by("prediction", F.when(vote, F.col("sample_index"))).alias("form"),
+        F.max(F.when(vote, F.col("accuracy"))).alias("right"), F.sum(F.when(done, F.col("accuracy"))).alias("correct"), F.count_if(done).alias("done"), F.count("*").alias("samples"),
         F.max("n_samples").alias("n"), F.bool_and("complete").alias("all_there"),
     )
-    votes = F.struct("votes", -F.col("first"))
-    found = voters.groupBy(problem).agg(
-        F.max("n").alias("k"), F.sum("correct").cast("long").alias("correct_samples"), F.sum("done").alias("completed_samples"), F.sum("votes").alias("available"),
-        F.bool_and("all_there").alias("all_there"), F.max_by("right", votes).alias("majority_right"),
+
+
+def problem_rollup(scored: DataFrame, problem: str = "problem", same: Verifier | None = None) -> DataFrame:
+    """One row per problem: k (its depth), correct and completed samples, complete, passed, the majority's answer and whether it is right.
+
+    A problem is complete if every sample of its depth is there and completed. Completed samples vote by the key of
+    their answer, so that equal answers are one however they are written; of equal votes the answer seen first wins;
+    the vote is right if any of its samples is. `same`, a function of two forms that says more answers equal,
+    joins keys further: see joined_votes().
+    """
+    votes = tallies(scored, problem)
+    rank = F.when(F.col("votes") > 0, F.struct("votes", -F.col("first")))
+    found = votes.groupBy(problem).agg(
+        F.max("n").alias("k"), F.coalesce(F.sum("correct"), F.lit(0)).cast("long").alias("correct_samples"), F.sum("done").alias("completed_samples"), F.sum("samples").alias("available"),
+        F.bool_and("all_there").alias("all_there"), F.max_by("form", rank).alias("majority"), F.max_by("right", rank).alias("majority_right"),
     )
+    if same:
+        found = found.drop("majority", "majority_right").join(joined_votes(votes.filter("votes > 0"), same, problem), problem, "left")
     complete = F.col("all_there") & (F.col("completed_samples") == F.col("k"))
-    return found.select(problem, "k", "correct_samples", "completed_samples", complete.alias("complete"), (F.col("correct_samples") > 0).alias("passed"), F.col("majority_right").cast("double").alias("majority_right"))
+    right = F.coalesce(F.col("majority_right").cast("double"), F.lit(0.0))
+    return found.select(problem, "k", "correct_samples", "completed_samples", complete.alias("complete"), (F.col("correct_samples") > 0).alias("passed"), "majority", right.alias("majority_right"))
 
 
 def cohort_metrics(problems: DataFrame) -> DataFrame:
@@ -117,25 +106,24 @@ def cohort_metrics(problems: DataFrame) -> DataFrame:
     return problems.groupBy("k").agg(F.count("*").alias("problems"), F.count_if(on).alias("complete_problems"), mean(F.col("passed").cast("double")).alias("pass_at_k"), mean(F.col("majority_right")).alias("majority_at_k"))
 
 
-def cluster_majority(scored: DataFrame, same: Verifier, problem: str = "problem") -> DataFrame:
-    """(problem, majority_right) by greedy clusters: an answer joins the first cluster whose first answer it equals.
+def joined_votes(votes: DataFrame, same: Verifier, problem: str = "problem") -> DataFrame:
+    """(problem, majority, majority_right) by greedy clusters: an answer joins the first cluster whose first answer it equals.
 
-    Equality need not be transitive, so the samples of a problem are walked in order, in one task for a
-    problem; a problem has a bounded number of samples, and problems are spread by key.
+    Equality need not be transitive, so the different answers of a problem are walked by their first samples, which
+    gives what walking all samples would: a later sample of an answer meets the clusters that its first one met. A
+    group holds a row for each different answer, whatever the number of samples.
     """
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         clusters: list[list] = []
-        for form, right in group.sort_values("sample_index")[["prediction", "accuracy"]].itertuples(index=False):
-            if form in ("Error", "Format Error", "Timeout"):
-                continue
-            mine = next((c for c in clusters if c[0] == form or same(c[0], form)), None)
+        for form, n, right in group.sort_values("first")[["form", "votes", "right"]].itertuples(index=False):
+            mine = next((c for c in clusters if c[0] == form or verdict(same, c[0], form)), None)
             if mine is None:
-                clusters.append([form, 1, right])
+                clusters.append([form, n, right])
             else:
-                mine[1:] = [mine[1] + 1, max(mine[2], right)]
-        best = max(clusters, key=lambda c: c[1], default=[None, 0, 0.0])
-        return pd.DataFrame({problem: [group[problem].iloc[0]], "majority_right": [float(best[2])]})
+                mine[1:] = [mine[1] + n, max(mine[2], right)]
+        best = max(clusters, key=lambda c: c[1])
+        return pd.DataFrame({problem: [group[problem].iloc[0]], "majority": [best[0]], "majority_right": [float(best[2])]})
 
-    kind = scored.schema[problem].dataType.simpleString()
-    return scored.select(problem, "sample_index", "prediction", "accuracy").groupBy(problem).applyInPandas(walk, f"`{problem}` {kind}, majority_right double")
+    kind = votes.schema[problem].dataType.simpleString()
+    return votes.select(problem, "form", "votes", "first", "right").groupBy(problem).applyInPandas(walk, f"`{problem}` {kind}, majority string, majority_right double")

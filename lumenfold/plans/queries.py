@@ -538,6 +538,39 @@ def math_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return math_answers.score_answers(rows, error="error").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "status", "accuracy")
 
 
+@query(f"""
+WITH {_SAMPLES}, o AS (SELECT problem, i, n, qty::INTEGER % 4 AS v, line % 7 = 0 AS lost, qty::INTEGER % 4 = problem % 4 AS good FROM s),
+c AS (SELECT problem, v, count(*) AS votes, min(i) AS f, any_value(good) AS good FROM o WHERE NOT lost GROUP BY 1, 2),
+m AS (SELECT problem, arg_max(good, (votes, -f)) AS r FROM c GROUP BY 1)
+SELECT problem, any_value(n)::INTEGER AS k, count(*) FILTER (good AND NOT lost) AS correct_samples, count(*) FILTER (NOT lost) AS completed_samples, NOT bool_or(lost) AS complete,
+  bool_or(good AND NOT lost) AS passed, coalesce(any_value(r)::INTEGER, 0)::DOUBLE AS majority_right FROM o LEFT JOIN m USING (problem) GROUP BY problem""")
+def math_evaluate_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number written in four ways is one vote; lost samples have none."""
+    v = (F.col("qty").cast("int") % 4).cast("string")
+    double = (2 * (F.col("qty").cast("int") % 4)).cast("string")
+    ways = [F.concat(v, F.lit(".0")), F.concat(F.lit("\\frac{"), double, F.lit("}{2}")), v, F.concat(F.lit("\\sqrt{"), v, F.lit("^2}"))]
+    told = F.element_at(F.array(*ways), (1 + F.col("sample_index") % 4).cast("int"))
+    rows = order_samples(spark, sf_dir).select(
+        "problem", "sample_index", "n_samples", F.lit(True).alias("complete"), (F.col("problem") % 4).cast("string").alias("answer"),
+        F.concat(F.lit("so \\boxed{"), told, F.lit("}")).alias("gen"), F.when(F.col("line") % 7 == 0, "lost").alias("error"),
+    )
+    return math_answers.problem_rollup(math_answers.score_answers(rows, error="error")).drop("majority")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 IN (0, 2, 3) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS accuracy FROM part")
+def math_symbolic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares multiplied out, roots, tuples and intervals: the answers of three of five ways equal their golds."""
+    a, b, way = F.col("p_size").cast("int"), (F.col("p_partkey") % 7 + 2).cast("int"), F.col("p_partkey") % 5
+    say = lambda form, *x: F.format_string(form, *x)
+    golds = [say("(x+%d)^2", a), say("(x+%d)^2", a), say("%d\\sqrt{%d}", a, b), say("(%d,\\frac{1}{%d})", a, b), say("[%d,%d)", a, a + b)]
+    told = [
+        say("x^2+%dx+%d", 2 * a, a * a), say("x^2+%dx+%d", 2 * a, a * a + 1), say("\\sqrt{%d}", a * a * b), say("(\\frac{%d}{2},\\frac{3}{%d})", 2 * a, 3 * b), say("(%d,%d]", a, a + b)
+    ]
+    pick = lambda x: F.element_at(F.array(*x), (way + 1).cast("int"))
+    rows = _read(spark, sf_dir, "part").select("p_partkey", pick(golds).alias("answer"), F.concat(F.lit("It is \\boxed{"), pick(told), F.lit("}")).alias("gen"))
+    return math_answers.score_answers(rows).select("p_partkey", "accuracy")
+
+
 @query("SELECT n_nationkey::VARCHAR AS task_id, n_nationkey % 3 = 0 AS passed, 'completed' AS status FROM nation")
 def code_exec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty-five generated functions, run against their tests in child processes."""

@@ -37,6 +37,8 @@ class Options:
     seed: int = 42
     #: Draws of Python's generator over all observations of a metric in one task, for parity with single-process runs.
     exact: bool = False
+    #: For math: says of two forms whose keys differ whether they are equal all the same.
+    verify: math_answers.Verifier | None = None
     #: Ids of incomplete problems that a result lists, the first ones by id; all are counted.
     listed: int = 100
 
@@ -66,9 +68,9 @@ def _observed(rows: DataFrame, value, metric: str) -> DataFrame:
 
 
 def score_math(rows: DataFrame, options: Options) -> Scored:
-    scored = math_answers.score_answers(_prepared(rows, "doc_id", ["answer", "prompt"]), options.dataset, error="error").cache()
+    scored = math_answers.score_answers(_prepared(rows, "doc_id", ["answer", "prompt"]), options.dataset, error="error", verify=options.verify).cache()
     counts = math_answers.accuracy_counts(scored)
-    problems = math_answers.problem_rollup(scored)
+    problems = math_answers.problem_rollup(scored, same=options.verify)
     first = scored.groupBy("problem").agg(F.min("ordinal").alias("ordinal"))
     complete = problems.filter("complete").join(first, "problem")
     parts = [_observed(scored.filter("status = 'completed'"), F.col("accuracy"), "accuracy")]

@@ -1,10 +1,12 @@
 import itertools
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from lumenfold.functions import expressions
 from lumenfold.functions.estimators import argmax, majority, pass_at_k
 from lumenfold.operators import code_answers, inference, math_answers, metrics, multiple_choice, preparation, requests, samples
 from lumenfold.plans import registry, runner, settings
@@ -173,14 +175,71 @@ def test_verifiers_that_raise_fail_their_row(spark):
 
 
 def test_huge_exponents_are_no_numbers():
-    assert math_answers.number_of("1e99999999") is None and math_answers.number_of("1e3") == 1000 and math_answers.number_of("9" * 5000) is None
+    assert expressions.number_of("1e99999999") is None and expressions.number_of("1e3") == 1000 and expressions.number_of("9" * 5000) is None
 
 
 def test_greedy_clusters(spark):
     near = lambda a, b: abs(float(a) - float(b)) <= 1
     rows = [("p", i, f, a) for i, (f, a) in enumerate([("1", 0.0), ("2", 1.0), ("3", 0.0), ("4", 0.0), ("Timeout", 0.0)])]
     df = spark.createDataFrame(rows, "problem string, sample_index int, prediction string, accuracy double")
-    assert math_answers.cluster_majority(df, near).first().majority_right == 1.0
+    df = df.withColumns({"status": F.lit("completed"), "n_samples": F.lit(5), "complete": F.lit(True)})
+    found = math_answers.problem_rollup(df, same=near).first()
+    assert (found.majority, found.majority_right, found.complete, found.k) == ("1", 1.0, True, 5)
+    assert math_answers.problem_rollup(df).first().majority == "1"
+
+
+def test_votes_are_joined_as_samples_would_be(spark):
+    near = lambda a, b: abs(float(a) - float(b)) <= 1
+    source, rows, want = random.Random(5), [], {}
+    for p in range(30):
+        clusters = []
+        for i in range(12):
+            form, right = str(source.randint(0, 9)), source.random() < 0.3
+            rows.append((f"p{p}", i, form, float(right), "completed", 12, True))
+            mine = next((c for c in clusters if near(c[0], form)), None) or clusters.append([form, 0, 0.0]) or clusters[-1]
+            mine[1:] = [mine[1] + 1, max(mine[2], float(right))]
+        want[f"p{p}"] = tuple(max(clusters, key=lambda c: c[1])[::2])
+    df = spark.createDataFrame(rows, "problem string, sample_index int, prediction string, accuracy double, status string, n_samples int, complete boolean")
+    assert {r.problem: (r.majority, r.majority_right) for r in math_answers.problem_rollup(df, same=near).collect()} == want
+
+
+def test_majority_of_equal_answers_in_results(spark):
+    rows = [("a", "1/2", g, None) for g in ("0.5", "\\boxed{\\frac{1}{2}}", "3", "3")] + [("b", "2", g, e) for g, e in (("Error: x", None), ("Timeout", None), ("2", None), ("7", None))]
+    result = evaluate(spark.createDataFrame(rows, "doc_id string, answer string, gen string, error string").coalesce(1), "math_opensource/x", Options(resamples=0))
+    assert result["metrics"]["problem_majority@4"]["value"] == 1.0 and result["metrics"]["accuracy"]["value"] == 3 / 8
+
+
+EQUAL = [
+    ("x+1", "1+x"), (r"\sqrt{8}", r"2\sqrt{2}"), ("(a+b)^2", "a^2+2ab+b^2"), (r"\frac{1}{2}", "0.5"), ("0.333333333", r"\frac{1}{3}"), (r"x\sqrt{8}", r"2x\sqrt2"), (r"\frac12", "1/2"),
+    (r"\left(1,\frac{1}{2}\right)", "(1,0.5)"), ("[1,2)", "[1, 2.0)"), (r"\{2,1\}", r"\{1,2\}"), (r"\frac{x^2-1}{x-1}", "x+1"), (r"2\pi r", r"2r\pi"), ("1,2", "2,1"), ("1,000", "1000"),
+    (r"(-\infty,2)\cup(3,\infty)", r"(3,\infty)\cup(-\infty,2)"), (r"2\frac{1}{2}", "2.5"), (r"\sqrt[3]{8}", "2"), (r"x^{1/2}x^{1/2}", "x"), (r"\sqrt{4x}", r"2\sqrt{x}"), (r"\sqrt{-4}", "2i"),
+    (r"\sin^2(x)", r"\sin(x)\sin(x)"), ("-x^2", "-(x^2)"), ("x_1+x_2", "x_{2}+x_{1}"), (r"y(1+\sqrt2)^2", r"(3+2\sqrt2)y"), (r"y\sqrt6", r"y\sqrt2\sqrt3"), (r"50\%", "0.5"), ("3!", "6"),
+]
+DIFFERENT = [
+    ("x+1", "x+2"), (r"\sqrt{8}", r"2\sqrt{3}"), ("(a+b)^2", "a^2+b^2"), ("(1,2)", "(2,1)"), ("[1,2)", "(1,2)"), (r"\{1,2\}", r"\{1,3\}"), ("12", "1,2"), ("x", "y"), ("-x^2", "(-x)^2"), ("cat", "act"),
+    (r"\pi", "3.14"), (r"\frac{1}{0}", "0"), ("2x", "x^2"), ("1.000001", "1.000002"), ("", "0"), ("x^", "x"),
+]
+
+
+@pytest.mark.parametrize("pairs,right", [(EQUAL, 1.0), (DIFFERENT, 0.0)])
+def test_answers_by_key(spark, pairs, right):
+    rows = spark.createDataFrame([(a, b) for a, b in pairs] + [(b, a) for a, b in pairs if b], "a string, b string")
+    found = rows.select("a", "b", (expressions.key(F.col("a")) == expressions.key(F.col("b"))).cast("double").alias("same")).collect()
+    assert [(r.a, r.b) for r in found if r.same != right] == []
+
+
+def test_keys_agree_with_and_without_python(spark):
+    forms = ["0", "-0", "-0.0", "5.10", "0.0000005", "0.0000015", "1.0000025", "-2.5000005", "123456789012345.123456789012345", "00012", "7.", "words only", "", "999999999999999.9999999"]
+    found = spark.createDataFrame([(f,) for f in forms], "f string").select("f", expressions.key(F.col("f")).alias("k")).collect()
+    assert {r.f: r.k for r in found} == {f: expressions.answer_key(f) if f != "words only" else "s:words only" for f in forms}
+
+
+@pytest.mark.parametrize("text", ["2^{2^{2^{2^{2^{9}}}}}", "(" * 300 + "x" + ")" * 300, "9" * 5000, "x^{1999}" * 40, "e^{e^{e^{e^9}}}", "-" * 390 + "1", "\\sqrt" * 60 + "2", "1000!!", "{" * 10, "\\", "\\frac", "()", ",", "x^", "1e999999"])
+def test_keys_take_bounded_time(text):
+    began = time.time()
+    assert expressions.answer_key(text) and time.time() - began < 0.5
+
+
 
 
 @pytest.mark.parametrize("program,result", [("assert 1", "passed"), ("assert 0", "failed"), ("while True: pass", "timed out"), ("import os; os.kill(os.getpid(), 11)", "died of signal 11"), ("x = bytearray(1 << 33)", "failed: MemoryError"), ("open('f', 'wb').write(b'0' * (1 << 21))", "")])
