@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from lumenfold.functions import predicates as P
 from lumenfold.functions import text as T
-from lumenfold.functions.estimators import POISSON, majority, pass_at_k
+from lumenfold.functions.estimators import NORMAL_BOTTOM, NORMAL_TOP, SMALL_MEAN, SMALL_TERMS, majority, pass_at_k
 from lumenfold.operators import code_answers, inference, math_answers, metrics, multiple_choice, preparation, requests, samples
 from lumenfold.plans import runner
 
@@ -385,18 +385,42 @@ def few_shot_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.few_shot_prefixes(_read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("prompt")), pool, 3, 9)
 
 
-_WEIGHT = "CASE " + " ".join(f"WHEN u < {p!r}::DOUBLE THEN {k}" for k, p in enumerate(POISSON)) + f" ELSE {len(POISSON)} END"
+def _binomial_sql(n: str, p: str, u: str) -> str:
+    """functions.estimators.binomial() in DuckDB."""
+    q = f"least({p}, 1 - {p})"
+    t = f"sqrt(-2.0::DOUBLE * ln(least({u}, 1 - {u})))"
+    top, bottom = ("(" + " + ".join(f"{c}::DOUBLE * pow({t}, {i})" for i, c in enumerate(cs)) + ")" for cs in (NORMAL_TOP, NORMAL_BOTTOM))
+    z = f"(CASE WHEN {u} < 0.5 THEN {top} / {bottom} - {t} ELSE {t} - {top} / {bottom} END)"
+    term = f"s[1] * ({n} - e[1] + 1) / e[1] * ({q} / (1 - {q}))"
+    none = f"exp({n} * ln(1 - {q}))"
+    few = f"list_reduce(list_transform(range(1, {SMALL_TERMS + 1}), lambda j: [j::DOUBLE]), lambda s, e: CASE WHEN s[2] < {u} THEN [{term}, s[2] + {term}, e[1]] ELSE s END, [{none}, {none}, 0.0::DOUBLE])[3]"
+    many = f"floor({n} * {q} + sqrt({n} * {q} * (1 - {q})) * {z} + (1 - 2 * {q}) * ({z} * {z} - 1) / 6 + 0.5)"
+    found = f"greatest(0.0::DOUBLE, least({n}, CASE WHEN {n} <= 0 OR {q} <= 0 THEN 0.0::DOUBLE WHEN {n} * {q} < {SMALL_MEAN} THEN {few} ELSE {many} END))"
+    return f"CASE WHEN {p} > 0.5 THEN {n} - {found} ELSE {found} END"
 
 
 @query(f"""
-WITH o AS (SELECT quality::DOUBLE AS v, doc_id AS i FROM labels WHERE quality IS NOT NULL),
-u AS (SELECT b, v, ('0x' || substr(sha256(concat_ws(':', '42', b, i)), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM range(50) t(b), o),
-m AS (SELECT b, sum(v * w) / sum(w) AS m FROM (SELECT b, v, {_WEIGHT} AS w FROM u) GROUP BY 1)
-SELECT (SELECT round(avg(v), 9) FROM o) AS value, (SELECT count(*) FROM o) AS count, round(stddev_pop(m), 9) AS stderr, round(quantile_cont(m, 0.025), 9) AS ci_low, round(quantile_cont(m, 0.975), 9) AS ci_high FROM m""")
+WITH RECURSIVE o AS (SELECT 'quality' AS metric, quality::DOUBLE AS v FROM labels UNION ALL SELECT 'toxic', toxic::DOUBLE FROM labels
+  UNION ALL SELECT 'quantity', l_quantity::DOUBLE FROM lineitem UNION ALL SELECT 'size', p_size::DOUBLE FROM part),
+f AS (SELECT * FROM o WHERE v IS NOT NULL), c AS (SELECT metric, v, count(*)::DOUBLE AS c FROM f GROUP BY ALL),
+h AS (SELECT metric, v, c, row_number() OVER w - 1 AS i, sum(c) OVER (PARTITION BY metric ORDER BY v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(c) OVER (PARTITION BY metric) AS n FROM c WINDOW w AS (PARTITION BY metric ORDER BY v)),
+d AS (SELECT metric, b, 0::BIGINT AS i, n AS left_, 0.0::DOUBLE AS total FROM (SELECT DISTINCT metric, n FROM h), range(100) t(b)
+  UNION ALL SELECT metric, b, i + 1, left_ - x, total + v * x FROM (SELECT metric, b, i, left_, total, v, {_binomial_sql("left_", "p", "u")} AS x
+    FROM (SELECT d.metric, b, d.i, left_, total, v, least(1.0::DOUBLE, c / rest) AS p, (('0x' || substr(sha256(concat_ws(':', '42', b, 0, d.i)), 1, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE AS u
+      FROM d JOIN h ON h.metric = d.metric AND h.i = d.i))),
+m AS (SELECT d.metric, total / n AS m FROM d JOIN (SELECT metric, max(i) + 1 AS i, any_value(n) AS n FROM h GROUP BY metric) e ON d.metric = e.metric AND d.i = e.i),
+s AS (SELECT metric, stddev_pop(m) AS e, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY metric),
+a AS (SELECT metric, avg(v) AS value, count(*) AS count FROM f GROUP BY metric)
+SELECT z.metric, count, round(value, 9) AS value, round(e, 9) AS stderr, round(lo, 9) AS ci_low, round(hi, 9) AS ci_high
+FROM (SELECT metric, metric AS of FROM a UNION ALL SELECT 'size_again', 'size') z JOIN a ON a.metric = z.of JOIN s ON s.metric = z.of""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    observed = _read(spark, sf_dir, "labels").select(F.col("quality").cast("double").alias("value"), F.col("doc_id").alias("ordinal"))
-    found = metrics.bootstrap(observed, 50, 0.95, 42)
-    return found.select("count", *[F.round(c, 9).alias(c) for c in ("value", "stderr", "ci_low", "ci_high")])
+    """Metrics of two, fifty and other numbers of values; two of them are equal and resampled once."""
+    labels, lines, parts = (_read(spark, sf_dir, t) for t in ("labels", "lineitem", "part"))
+    one = lambda rows, name, c: rows.select(F.lit(name).alias("metric"), F.col(c).cast("double").alias("value"))
+    observed = one(labels, "quality", "quality").unionByName(one(labels, "toxic", "toxic")).unionByName(one(lines, "quantity", "l_quantity"))
+    observed = observed.unionByName(one(parts, "size", "p_size")).unionByName(one(parts, "size_again", "p_size"))
+    found = metrics.bootstrap(observed, 100, 0.95, 42, by="metric")
+    return found.select("metric", "count", *[F.round(c, 9).alias(c) for c in ("value", "stderr", "ci_low", "ci_high")])
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -439,12 +463,6 @@ def mc_evaluate_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiple_choice.accuracy_summary(multiple_choice.score_letters(_evaluated(spark, sf_dir), "majority_vote")).withColumn("acc", F.round("acc", 9))
 
 
-@query()
-def bootstrap_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    observed = _read(spark, sf_dir, "labels").select(F.lit("quality").alias("metric"), F.col("quality").cast("double").alias("value"), F.col("doc_id").alias("ordinal"))
-    return metrics.exact_bootstrap(observed, resamples=200)
-
-
 @query("SELECT doc_id, (ntile(7) OVER (ORDER BY doc_id) - 1)::INTEGER AS shard FROM documents")
 def equal_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.equal_shards(_read(spark, sf_dir, "documents").select("doc_id"), 7, F.col("doc_id"))

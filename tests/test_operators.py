@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.functions import expressions
-from lumenfold.functions.estimators import argmax, majority, pass_at_k
+from lumenfold.functions.estimators import argmax, binomial, majority, pass_at_k
 from lumenfold.operators import code_answers, inference, math_answers, metrics, multiple_choice, preparation, requests, samples
 from lumenfold.plans import registry, runner, settings
 from lumenfold.plans.registry import Options, evaluate, first_failures, summary_table
@@ -277,10 +277,33 @@ def test_bootstrap(spark):
     two = df.unionByName(df.select(F.lit("z").alias("metric"), (F.col("value") + 1).alias("value"), "ordinal"))
     by = {r.metric: r for r in metrics.bootstrap(two, 200, by="metric").collect()}
     assert by["m"].stderr == pytest.approx(found.stderr) and by["z"].value == 1.5 and by["z"].ci_low == pytest.approx(found.ci_low + 1)
-    many = spark.range(2000).selectExpr("cast(id % 2 as double) as value", "id as ordinal")
+    many = spark.range(2000).selectExpr("cast(id % 2 as double) as value")
     assert metrics.bootstrap(many, 300).first().stderr == pytest.approx(0.5 / 2000**0.5, rel=0.15)
 
 
+def test_bootstrap_of_many_values_and_odd_ones(spark):
+    rows = spark.range(3000).selectExpr("cast(id as double) as value").unionByName(spark.createDataFrame([(None,), (float("nan"),), (float("inf"),)], "value double"))
+    found = metrics.bootstrap(rows, 100).first()  # more values than a block holds
+    assert found.value == 1499.5 and found["count"] == 3002 and found.stderr == pytest.approx((3000**2 / 12) ** 0.5 / 3000**0.5, rel=0.3)
+    one = metrics.bootstrap(spark.createDataFrame([(0.25,)], "value double"), 50).first()
+    assert (one.value, one.stderr, one.ci_low, one.ci_high) == (0.25, 0.0, 0.25, 0.25)
+
+
+def test_equal_metrics_are_resampled_once(spark):
+    rows = spark.createDataFrame([(m, v) for m in "abc" for v in ([0.0, 1.0, 1.0] if m != "b" else [1.0, 1.0, 1.0])], "metric string, value double")
+    found = {r.metric: tuple(r)[1:] for r in metrics.bootstrap(rows.orderBy(F.rand(3)), 60, by="metric").collect()}
+    assert found["a"] == found["c"] != found["b"] and found["b"][2:] == (0.0, 1.0, 1.0)
+    blocks = metrics.histograms(rows, ["metric"], "value")
+    assert metrics.resampled_once(blocks, "metric").select("metric", F.array_sort("__all").alias("of")).orderBy("metric").collect() == [("a", ["a", "c"]), ("b", ["b"])]
+
+
+@pytest.mark.parametrize("n,p", [(1, 0.5), (40, 0.02), (40, 0.9), (500, 0.5), (10_000, 0.001), (10_000, 0.6)])
+def test_binomial_quantiles(spark, n, p):
+    draws = spark.range(2000).select(binomial(F.lit(float(n)), F.lit(p), (F.col("id") + 0.5) / 2000.0).alias("k")).agg(F.avg("k").alias("m"), F.var_pop("k").alias("v"), F.min("k").alias("a"), F.max("k").alias("b")).first()
+    assert draws.m == pytest.approx(n * p, rel=0.01, abs=0.01) and draws.v == pytest.approx(n * p * (1 - p), rel=0.05) and 0 <= draws.a <= draws.b <= n
+    assert spark.range(1).select(binomial(F.lit(7.0), F.lit(1.0), F.lit(0.3)).alias("k")).first().k == 7.0
+
+
 @pytest.mark.parametrize("counts,fine", [((3, 1, 1, 1), True), ((3, 1, 1, 0), False), ((1, 2, -1, 0), False), ((True, 1, 0, 0), False), ((1.0, 1, 0, 0), False)])
 def test_counts(counts, fine):
     row = dict(zip(("sample_count", "effective_count", "failed_count", "excluded_count"), counts))
