@@ -27,8 +27,9 @@ WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
 WINDOW = 10
 #: Stands after the words of an item.
 END = -2
-#: Benchmark text that is broadcast at a time; a larger benchmark takes a pass over the documents for each block.
-BLOCK_BYTES = 16 << 20
+#: Benchmark text that is broadcast at a time; a larger benchmark takes a pass over the documents for each block. Its
+#: suffixes and windows are some 18 times as large in each worker.
+BLOCK_BYTES = 3 << 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -314,10 +315,13 @@ dw AS (SELECT k, size, i, list_slice(ws, i, i + size - 1) AS win
        FROM (SELECT k, size, ws, unnest(range(1, len(ws) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM w) WHERE len(ws) >= size)),
 m AS (SELECT k, dw.size, i, item FROM dw JOIN w ON dw.size = w.size AND dw.win = w.win),
 h AS (SELECT k, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT k, size, i FROM m), range({WINDOW}) AS r(j) WHERE j < size GROUP BY k),
+wl AS (SELECT r, size, j, list_slice(ws, j, j + size - 1) AS win FROM (SELECT r, size, ws, unnest(range(1, len(ws) - size + 2)) AS j FROM (SELECT row_number() OVER () AS r, * FROM s))),
+p AS (SELECT k, r, dw.size, i, i - j AS d FROM dw JOIN wl ON dw.size = wl.size AND dw.win = wl.win),
+x AS (SELECT k, max(n) AS longest FROM (SELECT k, count(*) + size - 1 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY k, r, size, d ORDER BY i) AS g FROM p) GROUP BY k, r, size, d, g) GROUP BY k),
 t AS (SELECT k, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest FROM (SELECT DISTINCT k, item FROM m) GROUP BY k)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (k) LEFT JOIN t USING (k)
+  coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS INTEGER) AS longest_match
+FROM d LEFT JOIN h USING (k) LEFT JOIN t USING (k) LEFT JOIN x USING (k)
 """
 
 

@@ -4,13 +4,19 @@ A batch of pre-tokens is one flat symbol array with the row of each symbol. Each
 of every adjacent pair, takes each row's lowest, applies that pair at all its places in the row at once
 (left to right where places overlap), and squeezes the array. Rows without a ranked pair leave; their
 surviving symbols are their tokens. This gives the tokens of pairwise merging by rank, as a merge only
-makes pairs of later rank.
+makes pairs of later rank. A very long pre-token takes a round for each rank that it has, so it is merged alone,
+by lists of the places of each rank, and each round touches only its own places.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+
 import numpy as np
 
+#: Symbols from which on a row is merged alone.
+LONG = 4096
 NONE = np.iinfo(np.int32).max
 
 
@@ -97,3 +103,45 @@ class PairMerges:
         symbols, row = (np.concatenate(x) for x in zip(*done))
         order = np.argsort(row, kind="stable")
         return symbols[order], row[order]
+
+    def merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """The surviving symbols of one row, with the same rounds as merge() over linked places."""
+        n = len(symbols)
+        symbols, after, before = symbols.copy(), np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n + 1, NONE, np.int32)  # of the pair that begins at a place; the last one is past the end
+        rank[: n - 1] = self._rank(symbols[:-1], symbols[1:])
+        alive = np.ones(n, bool)
+        places: defaultdict[int, list[np.ndarray]] = defaultdict(list)
+        waiting: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            at = at[np.argsort(rank[at], kind="stable")]
+            for part in np.split(at, np.flatnonzero(np.diff(rank[at])) + 1):
+                if len(part) and (r := int(rank[part[0]])) < NONE:
+                    if not places[r]:
+                        heapq.heappush(waiting, r)
+                    places[r].append(part)
+
+        wait(np.arange(n - 1))
+        while waiting:
+            lowest = heapq.heappop(waiting)
+            at = np.unique(np.concatenate(places.pop(lowest)))
+            at = at[rank[at] == lowest]
+            if not len(at):
+                continue
+            begins = np.concatenate(([True], after[at[:-1]] != at[1:]))
+            run = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+            gone = after[at]
+            symbols[at] = self.made[lowest]
+            rank[gone], alive[gone] = NONE, False
+            after[at] = after[gone]
+            inside = after[at] < n
+            before[after[at][inside]] = at[inside]
+            changed = np.concatenate((at, before[at][before[at] >= 0]))
+            rank[changed] = NONE
+            changed = np.unique(changed[after[changed] < n])
+            if len(changed):
+                rank[changed] = self._rank(symbols[changed], symbols[after[changed]])
+                wait(changed)
+        return symbols[alive]

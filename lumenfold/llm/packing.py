@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenfold.llm.common import kept_in_worker, map_texts, stored
-from lumenfold.llm.merges import PairMerges, byte_letters
+from lumenfold.llm.merges import LONG, PairMerges, byte_letters
 
 CAPACITY = 4096
 #: Steps of the search: lengths tried in fillings, and NODE steps for each node; a plan that meets the lower bound ends it sooner.
@@ -255,6 +255,11 @@ class PieceMaker:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _merge_long(self, word: bytes) -> bytes:
+        symbols = self.inner[np.frombuffer(word, np.uint8)]
+        symbols[-1] = self.last[word[-1]]
+        return self.merges.merge_long(symbols).astype("<u4").tobytes()
+
     def _merge(self, words: list[bytes]) -> list[bytes]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
@@ -281,6 +286,8 @@ class PieceMaker:
         parts = {part for pair in ends.values() for part in pair}.difference(known, plain)
         plain += [w for w in parts if PLAIN(w)]
         rest = list(odd.difference(ends).union(parts).difference(plain))
+        known.update((w, self._merge_long(w)) for w in plain if len(w) > LONG)
+        plain = [w for w in plain if len(w) <= LONG]
         if plain:
             known.update(zip(plain, self._merge(plain)))
         known.update(zip(rest, self._encode([w.decode("utf-8") for w in rest])))

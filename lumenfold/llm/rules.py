@@ -46,14 +46,16 @@ def repeated_words(words: list[bytes]) -> int:
         mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + ids[k : len(ids) - WINDOW + 1 + k].astype(np.uint64) + np.uint64(1)
     order = np.argsort(mixed, kind="stable")
     same = mixed[order[1:]] == mixed[order[:-1]]
-    maybe = np.zeros(len(mixed), bool)
-    maybe[order[1:][same]] = maybe[order[:-1][same]] = True
-    at = np.nonzero(maybe)[0]
-    if not len(at):
+    if not same.any():
         return 0
-    rows = ids[at[:, None] + np.arange(WINDOW)]  # equal hashes are compared word by word
-    _, which, times = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
-    at = at[times[which.ravel()] > 1]
+    head = order[np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(order)), 0))]
+    beside = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    at, head = order[beside], head[beside]
+    if all((ids[at + k] == ids[head + k]).all() for k in range(WINDOW)):  # equal hashes are compared word by word
+        at = np.sort(at)
+    else:  # different windows of one hash
+        _, which, times = np.unique(ids[at[:, None] + np.arange(WINDOW)], axis=0, return_inverse=True, return_counts=True)
+        at = at[times[which.ravel()] > 1]
     edge = np.zeros(len(ids) + 1, np.int64)
     edge[at] += 1
     edge[at + WINDOW] -= 1

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRAIN = 1 << 24
+#: Text bytes that may reach the driver, for all labels together; each label has an equal share.
+SAMPLE_BYTES = 96 << 20
 
 
 def bounded_sample(rows: DataFrame, key: str, label: str, per_label: int) -> DataFrame:
@@ -34,9 +36,14 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, train: Column
     return different_texts(joined, "__text", "__label", per_label)
 
 
-def different_texts(rows: DataFrame, text: str, label: str, per_label: int) -> list[tuple]:
-    """Different (text, label) in order of text, 8 * per_label at most, the least by a hash of the text: an id that
-    stands in very many rows brings no more of them to the driver."""
-    pairs = rows.select(text, label).filter(F.col(label).isNotNull()).distinct()
-    found = pairs.orderBy(F.xxhash64(text), text, label).limit(8 * per_label).collect()
-    return sorted((r[text], r[label]) for r in found)
+def different_texts(rows: DataFrame, text: str, label: str, per_label: int, sample_bytes: int = SAMPLE_BYTES) -> list[tuple]:
+    """Different (text, label) in order of text: of each label the least by a hash of the text, 8 * per_label at most, and
+    as many as its share of the bytes holds. So an id that stands in very many rows brings no more of them to the
+    driver, and neither do many labels or long texts; texts are whole."""
+    pairs = rows.select(F.col(text).alias("t"), F.col(label).alias("l")).filter(F.col("l").isNotNull()).distinct()
+    by = Window.partitionBy("l").orderBy(F.xxhash64("t"), "t")
+    ranked = pairs.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= 8 * per_label)
+    sized = ranked.withColumn("bytes", F.sum(F.octet_length("t")).over(by))
+    labels = F.broadcast(sized.agg(F.count_distinct("l").alias("labels")))  # one row
+    kept = sized.join(labels).filter(F.col("bytes") <= F.lit(sample_bytes) / F.col("labels"))
+    return sorted((r["t"], r["l"]) for r in kept.select("t", "l").collect())

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from lumenfold.llm.common import kept_in_worker, map_texts
-from lumenfold.llm.merges import PairMerges, byte_letters
+from lumenfold.llm.merges import LONG, PairMerges, byte_letters
 
 #: Fixed value: the byte-level pre-token pattern of this tokenizer family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -42,9 +42,14 @@ class ByteMerger:
     def merged_lengths(self, tokens: list[str]) -> np.ndarray:
         """How many symbols survive in each pre-token."""
         raw = [t.encode("utf-8") for t in tokens]
+        alone = {i: t for i, t in enumerate(raw) if len(t) > LONG}
+        raw = [b"" if i in alone else t for i, t in enumerate(raw)] if alone else raw
         row = np.repeat(np.arange(len(raw)), np.fromiter(map(len, raw), np.int64, len(raw)))
         _, left = self.merges.merge(self.first[np.frombuffer(b"".join(raw), np.uint8)], row)
-        return np.bincount(left, minlength=len(raw))
+        survived = np.bincount(left, minlength=len(raw))
+        for i, t in alone.items():
+            survived[i] = len(self.merges.merge_long(self.first[np.frombuffer(t, np.uint8)]))
+        return survived
 
     def _learn_pretokens(self, wanted: set[str]) -> None:
         new = [t for t in wanted if t not in self.of_pretoken]

@@ -1,12 +1,14 @@
 """Language, quality and toxicity: held-out accuracy, and rows that have nothing to say."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.llm import langid, quality_crf, samples, toxicity
+from lumenfold.llm.samples import bounded_sample, different_texts
 
 DOCS = "doc_id long, text string, lang string, source string, score string"
 LABELS = "doc_id long, quality int, toxic int, text string"
@@ -97,7 +99,7 @@ def test_language_of_a_text_by_hand():
 def test_an_id_that_repeats_does_not_flood_the_driver(spark):
     rows = spark.createDataFrame([(1, f"text {i}", 1) for i in range(500)] + [(2, "same", 0)] * 500, "id long, t string, y int")
     found = samples.different_texts(rows, "t", "y", 10)
-    assert len(found) == 80 and found == sorted(found) and len(samples.different_texts(rows.filter("y = 0"), "t", "y", 10)) == 1
+    assert Counter(y for _, y in found) == {1: 80, 0: 1} and found == sorted(found) and len(samples.different_texts(rows.filter("y = 0"), "t", "y", 10)) == 1
 
 
 @pytest.mark.parametrize("marks", [[], [(1, 1, 1, "t")], [(1, 0, 0, "t")]])
@@ -128,3 +130,14 @@ def test_marginals_against_all_labellings():
                 two[a, b] += weight
         want[at : at + n], pairs, at = bad / total, pairs + two / total, at + n
     assert np.allclose(got, want) and np.allclose(expected, pairs)
+
+
+def test_samples_are_bounded_by_label_and_bytes(spark):
+    rows = spark.range(24_000).selectExpr("id", "concat('text ', id) as t", "concat('l', id % 12) as lang").unionByName(spark.range(3000).selectExpr("7L as id", "concat('again ', id) as t", "'l7' as lang"))
+    found = Counter(lang for _, lang in different_texts(bounded_sample(rows, "id", "lang", 600), "t", "lang", 600))
+    assert len(found) == 12 and all(500 < n < 700 for lang, n in found.items() if lang != "l7") and found["l7"] <= 4800
+    few = different_texts(rows.filter("id < 100"), "t", "lang", 600, sample_bytes=1200)
+    by = Counter()
+    for text, lang in few:
+        by[lang] += len(text)
+    assert len(by) == 12 and max(by.values()) <= 100

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import os
 import random
+import time
 
 import corpus_pipeline
 import duckdb
@@ -45,6 +46,12 @@ def test_very_long_texts(spark):
     assert sorted(r.text for r in linededup.drop_boilerplate(docs).collect()) == sorted(str(i) for i in range(12))
 
 
+def test_two_million_words_in_bounded_time():
+    words = [b"w%d" % (i % 977) for i in range(2_000_000)]
+    began = time.time()
+    assert rules.repeated_words(words) == 2_000_000 and time.time() - began < 8
+
+
 def test_measures():
     assert rules.measures("a é\x0bb#\n\nx\nx\n x") == (6, 7, 1, 1, 0)
     assert rules.measures(None) == (0, 0, 0, 0, 0) == rules.measures(" \t\n")

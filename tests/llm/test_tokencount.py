@@ -1,11 +1,14 @@
 import random
 
+import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lumenfold.llm import tokencount
+from lumenfold.llm import packing, queries, tokencount
+from lumenfold.llm.tokencount import ByteMerger
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY, MERGER = Tokenizer.from_file(VOCAB), tokencount.ByteMerger(VOCAB)
@@ -44,3 +47,14 @@ def test_whole_table(spark, sf_dir):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in tokencount.count_tokens(docs, VOCAB).collect():
         assert (r.n_bytes, r.n_tokens) == (len(texts[r.doc_id].encode()), counted([texts[r.doc_id]])[0])
+
+
+@pytest.mark.parametrize("letters,n", [("a", 9_000), ("ab", 9_001), ("abcdefghij", 30_000), ("etaoinshrdlu", 60_000), ("äöß漢字ab", 9_000)])
+def test_long_words_are_merged_as_the_library_does(letters, n):
+    source = random.Random(n)
+    text = "".join(source.choice(letters) for _ in range(n))
+    path = queries.tokenizer_file("byte_bpe_50k.json")
+    assert ByteMerger(path).counts([f"x {text} y"]) == [len(Tokenizer.from_file(path).encode(f"x {text} y", add_special_tokens=False).ids)]
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    ids = np.frombuffer(packing.PieceMaker(path).ids([f"x {text} y"])[0], "<u4").tolist()
+    assert ids == Tokenizer.from_file(path).encode(f"x {text} y", add_special_tokens=False).ids
