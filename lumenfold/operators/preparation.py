@@ -88,30 +88,31 @@ def union_of_configs(configs: dict[str, DataFrame], order: Callable[[DataFrame],
 
 
 def publish(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> bool:
-    """Writes a benchmark as JSON lines under path, unless one with valid ids is there; whether it wrote.
+    """Commits a benchmark as JSON lines under path, unless one with valid ids is there; whether it wrote.
 
-    The rows are written beside path and checked there (some rows, ids unique and not blank), then renamed. What stood
-    under path without valid ids goes after the new files are whole.
+    The rows are written as a version of their own and checked (some rows, ids unique and not blank) before the pointer
+    names them, so a crash leaves the old benchmark, or none, until the new one holds. published() reads it.
     """
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    place = fs_path(path)
-    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    ids = lambda p: spark.read.schema("doc_id string").json(p)
-    if fs.exists(place) and valid_ids(ids(path)).first()["valid"]:
+    from lumenfold.sources import committed  # which numbers rows with this package
+
+    ids = lambda: committed.read(spark, path, "doc_id string")
+    if committed.current(spark, path) and valid_ids(ids()).first()["valid"]:
         return False
-    hidden = fs_path(place.getParent(), f".{place.getName()}.{uuid.uuid4().hex}")
-    try:
-        make().write.option("ignoreNullFields", "false").json(hidden.toString())
-        found = valid_ids(ids(hidden.toString())).first()
+
+    def check(folder: str) -> None:
+        found = valid_ids(spark.read.schema("doc_id string").json(folder)).first()
         if not found["valid"]:
             raise ValueError(f"no benchmark for {path}: {found['rows']} rows, {found['distinct']} ids, {found['blank']} blank")
-        if fs.exists(place):
-            fs.delete(place, True)
-        if not fs.rename(hidden, place):
-            raise OSError(f"cannot rename to {path}")
-        return True
-    finally:
-        fs.delete(hidden, True)
+
+    committed.commit(make(), path, "json", check=check)
+    return True
+
+
+def published(spark: SparkSession, path: str) -> str:
+    """The folder of JSON lines of the benchmark that holds under path."""
+    from lumenfold.sources import committed
+
+    return committed.folder(spark, path)
 
 
 def publish_all(spark: SparkSession, benchmarks: dict[str, Callable[[], DataFrame]], folder: str) -> dict[str, str]:

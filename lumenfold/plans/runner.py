@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.operators import inference, requests
 from lumenfold.plans.settings import whole
-from lumenfold.sources import jsonl
+from lumenfold.sources import committed, jsonl
 
 MODES = ("generate", "first_token", "continuation")
 
@@ -57,7 +57,7 @@ def outputs_of(spark: SparkSession, run: Run) -> DataFrame:
     fs, place = jsonl._hadoop(spark, run.output)
     raw = F.col("raw")
     if fs.exists(place):
-        lines = jsonl.read_resumable(spark, run.output)
+        lines = jsonl.read_resumable(spark, run.output, repair=True)
     else:
         lines = spark.createDataFrame([], "value string, ordinal long").select(F.try_parse_json("value").alias("raw"), "ordinal")
     arrays = [F.try_variant_get(raw, f"$.{c}", f"array<{t}>").alias(c) for c, t in (("logprobs", "double"), ("choices", "string"), ("choice_tokens", "string"))]
@@ -72,7 +72,7 @@ def left_of(questions: DataFrame, run: Run) -> DataFrame:
     if not requests.valid_ids(questions).first()["valid"]:
         raise ValueError("every question needs an id of its own that is not blank")
     questions = questions.withColumn("doc_id", F.col("doc_id").cast("string"))
-    jsonl.write_manifest(questions, run.manifest, run.n_samples)
+    committed.write_manifest(questions, run.manifest, run.n_samples, run.output)
     usable = requests.usable_outputs if run.mode == "generate" else requests.usable_logprobs
     done = requests.resume_state(outputs_of(spark, run), usable=usable)
     faults = requests.drift(questions, done, run.n_samples).head(1)
@@ -107,5 +107,6 @@ def execute(questions: DataFrame, run: Run, factory: Callable[[], object]) -> di
 def is_complete(questions: DataFrame, run: Run) -> Column | bool:
     """Whether a run's usable outputs match its manifest: nothing missing, unexpected or written twice."""
     usable = requests.usable_outputs if run.mode == "generate" else requests.usable_logprobs
-    found = requests.reconcile(jsonl.read_manifest(questions.sparkSession, run.manifest), usable(outputs_of(questions.sparkSession, run)), run.n_samples).first()
+    ids, n_samples = committed.read_manifest(questions.sparkSession, run.manifest)
+    found = requests.reconcile(ids, usable(outputs_of(questions.sparkSession, run)), n_samples).first()
     return found["missing"] == found["unexpected"] == found["duplicates"] == 0

@@ -11,7 +11,7 @@ from lumenfold.functions.estimators import argmax, binomial, majority, pass_at_k
 from lumenfold.operators import code_answers, inference, math_answers, metrics, multiple_choice, preparation, requests, samples
 from lumenfold.plans import registry, runner, settings
 from lumenfold.plans.registry import Options, evaluate, first_failures, summary_table
-from lumenfold.sources import jsonl
+from lumenfold.sources import committed, jsonl
 from lumenfold.streaming import outputs
 
 
@@ -342,21 +342,58 @@ def test_jsonl(spark, tmp_path):
     raw = F.col("raw")
     found = rows.orderBy("ordinal").select(jsonl.field(raw, "doc_id"), jsonl.field(raw, "n", "int"), jsonl.single_generation(raw)).collect()
     assert [tuple(r) for r in found] == [("x", 1, "g"), (None, None, ""), (None, None, None)]
-    for bad in ("[1]", '{"a": NaN}', "{"):
-        (tmp_path / "b.jsonl").write_text(bad + "\n")
-        with pytest.raises(Exception, match="not a JSON object"):
+    for bad, fault in ((b"[1]", "not a JSON object"), (b'{"a": NaN}', "invalid JSON"), (b"{", "invalid JSON"), (b'{"a": "\xff"}', "invalid UTF-8")):
+        (tmp_path / "b.jsonl").write_bytes(b'{"ok": 1}\n \n' + bad + b"\n")
+        with pytest.raises(Exception, match=fault):
             jsonl.read_jsonl(spark, str(tmp_path / "b.jsonl")).collect()
+        assert jsonl.read_jsonl(spark, str(tmp_path / "b.jsonl"), strict=False).count() == 1
+        assert [(r.line, r.fault) for r in jsonl.line_faults(spark, str(tmp_path / "b.jsonl")).collect()] == [(3, fault)]
+    (tmp_path / "b.jsonl").write_text('{"gen": "a", "gen": "b"}\n')
+    assert [r[0] for r in jsonl.read_jsonl(spark, str(tmp_path / "b.jsonl")).select(jsonl.field(raw, "gen")).collect()] == ["b"]
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    wrong = {"a": [1, 700, 2999, 3000], "b": [1500]}
+    for name, at in wrong.items():
+        lines = [b"{" if i in at else b"" if i % 7 == 0 else b'{"n": %d}' % i for i in range(1, 3001)]
+        (tmp_path / "d" / name).write_bytes(b"\n".join(lines) + b"\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        found = jsonl.line_faults(spark, str(tmp_path / "d")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert sorted((r.file[-1], r.line) for r in found) == sorted((k, i) for k, at in wrong.items() for i in at)
 
 
 def test_interrupted_output(spark, tmp_path):
-    (tmp_path / "o.jsonl").write_text('{"a": 1}\n{"a": 2}\n{"a": ')
-    assert jsonl.read_resumable(spark, str(tmp_path / "o.jsonl")).count() == 2
-    (tmp_path / "o.jsonl").write_text('{"a": 1}\n{"a": \n{"a": 2}\n')
-    with pytest.raises(ValueError):
-        jsonl.read_resumable(spark, str(tmp_path / "o.jsonl"))
-    (tmp_path / "o.jsonl").write_text('{"a": 1}\nbroken\n')
-    with pytest.raises(ValueError, match="at the end"):
-        jsonl.read_resumable(spark, str(tmp_path / "o.jsonl"))
+    path = tmp_path / "o.jsonl"
+    path.write_text('{"a": 1}\n{"a": 2}\n{"a": ')
+    assert jsonl.read_resumable(spark, str(path)).count() == 2 and path.read_text().endswith('{"a": ')
+    for text, told in (
+        (b'{"a": 1}\n{"a": \n{"a": 2}\n', "invalid JSON in .* at line 2"), (b'{"a": 1}\nbroken\n', "invalid JSON in .* at line 2"), (b'{"a": 1}\n\n[1]', "not a JSON object in .* at line 3"),
+        (b'{"a": 1}\n{"a": "\xff"}\n{"a": ', "invalid UTF-8 in .* at line 2"), (b'{"a": "\xff"}\n', "invalid UTF-8 in .* at line 1"), (b'{"a": NaN}\n{}', "invalid JSON in .* at line 1"),
+    ):
+        path.write_bytes(text)
+        with pytest.raises(ValueError, match=told):
+            jsonl.read_resumable(spark, str(path), repair=True)
+        assert path.read_bytes() == text
+
+
+@pytest.mark.parametrize("text,left", [
+    (b'{"a": 1}\n{"a": ', b'{"a": 1}\n'), (b'{"a": 1}\n{"a": "\xe4\xb8', b'{"a": 1}\n'), (b'{"a": 1}', b'{"a": 1}\n'), (b'{"a": 1}\n', b'{"a": 1}\n'), (b'{"a', b""), (b'{"a": 1}\n  ', b'{"a": 1}\n  \n'),
+    (b'{"a": "' + b"x" * 100_000 + b'"}\n{"b": "' + b"y" * 150_000, b'{"a": "' + b"x" * 100_000 + b'"}\n'),
+])
+def test_ends_of_interrupted_files_are_put_right(spark, tmp_path, text, left):
+    (tmp_path / "o").mkdir()
+    path = tmp_path / "o" / "part 1"
+    path.write_bytes(text)
+    (tmp_path / "o" / "part-2").write_bytes(b'{"a": 9}\n')
+    assert jsonl.read_resumable(spark, str(tmp_path / "o"), repair=True).count() == (2 if b"1}" in left or b"x" in left else 1)
+    assert path.read_bytes() == left and (tmp_path / "o" / "part-2").read_bytes() == b'{"a": 9}\n'
 
 
 def test_questions_are_named_by_their_places(spark, tmp_path):
@@ -368,12 +405,7 @@ def test_questions_are_named_by_their_places(spark, tmp_path):
     assert [r.doc_id for r in found] == [f"set:{i}" for i in range(43)]
 
 
-def test_manifest_and_summary_files(spark, tmp_path):
-    q = spark.createDataFrame([("q1",), ("q2",)], "doc_id string")
-    jsonl.write_manifest(q, str(tmp_path / "m"), 2)
-    jsonl.write_manifest(q, str(tmp_path / "m"), 2)
-    with pytest.raises(ValueError):
-        jsonl.write_manifest(q, str(tmp_path / "m"), 3)
+def test_summary_files(spark, tmp_path):
     jsonl.write_summary(spark, str(tmp_path / "s.json"), {"a": 0})
     jsonl.write_summary(spark, str(tmp_path / "s.json"), {"a": 1})
     assert json.loads((tmp_path / "s.json").read_text()) == {"a": 1}
@@ -381,6 +413,69 @@ def test_manifest_and_summary_files(spark, tmp_path):
         jsonl.write_summary(spark, str(tmp_path / "s.json"), {"a": float("nan")})
 
 
+def test_manifests_hold_ids_in_order(spark, tmp_path):
+    path = str(tmp_path / "m")
+    q = spark.createDataFrame([(f"q{(7 * i) % 50}", i) for i in range(50)], "doc_id string, ordinal int").repartition(5)
+    assert committed.write_manifest(q, path, 2) and committed.write_manifest(q.repartition(2), path, 2)
+    ids, n = committed.read_manifest(spark, path)
+    assert [r.doc_id for r in ids.orderBy("place").collect()] == [f"q{(7 * i) % 50}" for i in range(50)] and n == 2
+    other = [(q, 3), (q.withColumn("ordinal", -F.col("ordinal")), 2), (q.filter("ordinal < 49"), 2), (q.withColumn("doc_id", F.concat("doc_id", F.lit("x"))), 2)]
+    for rows, depth in other:
+        with pytest.raises(ValueError, match="another run"):
+            committed.write_manifest(rows, path, depth)
+    for rows, told in ((q.withColumn("doc_id", F.lit("a")), "repeated"), (q.withColumn("doc_id", F.lit(" ")), "blank"), (q.withColumn("doc_id", F.lit(None).cast("string")), "missing")):
+        with pytest.raises(ValueError, match=told):
+            committed.write_manifest(rows, str(tmp_path / "n"), 2)
+    for depth in (0, True, 1.0):
+        with pytest.raises(ValueError, match="positive"):
+            committed.write_manifest(q, str(tmp_path / "n"), depth)
+
+
+def test_manifests_are_checked_when_read(spark, tmp_path):
+    path = str(tmp_path / "m")
+    for rows, n, told in (([(0, "a"), (2, "b")], 1, "gaps"), ([(0, "a"), (1, "a")], 1, "repeated"), ([(0, " ")], 1, "blank"), ([(0, "a")], 0, "n_samples"), ([(0, "a")], True, "n_samples")):
+        committed.commit(spark.createDataFrame(rows, "place long, doc_id string"), path, n_samples=n)
+        with pytest.raises(ValueError, match=told):
+            committed.read_manifest(spark, path)
+    with pytest.raises(FileNotFoundError):
+        committed.read_manifest(spark, str(tmp_path / "none"))
+    jsonl.write_text_atomically(spark, f"{path}/{committed.POINTER}", "[1]")
+    with pytest.raises(ValueError, match="broken"):
+        committed.read_manifest(spark, path)
+
+
+def test_outputs_without_a_manifest_go_on_without_one(spark, tmp_path):
+    q = spark.createDataFrame([("a",)], "doc_id string")
+    (tmp_path / "out").mkdir()
+    assert committed.write_manifest(q, str(tmp_path / "m1"), 1, str(tmp_path / "out"))  # nothing was written yet
+    (tmp_path / "out" / "part").write_text("{}\n")
+    assert not committed.write_manifest(q, str(tmp_path / "m2"), 1, str(tmp_path / "out")) and not (tmp_path / "m2").exists()
+
+
+def test_a_crash_leaves_the_old_or_the_new_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    rows = lambda x: spark.createDataFrame([(x,)], "x string")
+    seen = lambda: committed.read(spark, path).first().x
+    committed.commit(rows("old"), path)
+
+    def crash(*_):
+        raise RuntimeError("crash")
+
+    with pytest.raises(RuntimeError):
+        committed.commit(rows("bad"), path, check=crash)
+    assert seen() == "old"
+    monkeypatch.setattr(committed, "write_text_atomically", crash)  # after the files, before the pointer
+    with pytest.raises(RuntimeError):
+        committed.commit(rows("new"), path)
+    assert seen() == "old"
+    monkeypatch.undo()
+    held = committed.read(spark, path)
+    committed.commit(rows("new"), path)
+    assert seen() == "new" and held.first().x == "old"  # who reads the version before goes on
+    committed.commit(rows("newer"), path)
+    assert seen() == "newer" and len(list((tmp_path / "t").glob("v-*"))) == 2
+
+
 def test_generation(spark):
     class Echo:
         def generate(self, prompt, system, seed):
@@ -545,13 +640,12 @@ def test_benchmarks_are_published_once(spark, tmp_path):
     path = str(tmp_path / "b")
     good = make([("a", "x"), ("b", None)])
     assert preparation.publish(spark, path, good) and not preparation.publish(spark, path, good) and len(made) == 1
-    assert sorted(map(tuple, spark.read.json(path).select("doc_id", "prompt").collect())) == [("a", "x"), ("b", None)]
+    assert sorted(map(tuple, spark.read.json(preparation.published(spark, path)).select("doc_id", "prompt").collect())) == [("a", "x"), ("b", None)]
     for rows in ([], [("a", "x"), ("a", "y")], [(" ", "x")]):
         with pytest.raises(ValueError, match="no benchmark"):
             preparation.publish(spark, str(tmp_path / "bad"), make(rows))
-    assert not (tmp_path / "bad").exists() and not list(tmp_path.glob(".*"))
-    (tmp_path / "old").mkdir()
-    (tmp_path / "old" / "x.json").write_text('{"doc_id": "a"}\n{"doc_id": "a"}\n')
+    assert not list((tmp_path / "bad").glob("[!.]*"))
+    committed.commit(spark.createDataFrame([("a",), ("a",)], "doc_id string"), str(tmp_path / "old"), "json")
     assert preparation.publish(spark, str(tmp_path / "old"), good)
     state = preparation.publish_all(spark, {"b": good, "none": make([]), "new": good}, str(tmp_path))
     assert (state["b"], state["new"]) == ("there", "written") and state["none"].startswith("ValueError")
