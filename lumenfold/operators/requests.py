@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenfold.functions.estimators import let
+from lumenfold.functions.names import fresh
 from lumenfold.functions.predicates import is_finite
 from lumenfold.functions.text import request_seed
 from lumenfold.operators.samples import assign_sample_index
@@ -81,32 +83,67 @@ def reconcile(manifest: DataFrame, outputs: DataFrame, n_samples: int) -> DataFr
     )
 
 
-#: Bytes of demonstrations that are broadcast at a time.
-POOL_BLOCK = 16 << 20
+#: Rounds of the permutation that chooses demonstrations.
+ROUNDS = 4
 
 
-def few_shot_prefixes(questions: DataFrame, pool: DataFrame, shots: int, seed: int = 42, block: int = POOL_BLOCK) -> DataFrame:
-    """(doc_id, prefix): `shots` demonstrations for each question by a hash of seed, question and candidate; never itself.
+def _permuted(x: Column, n: Column, key: Column) -> Column:
+    """The x-th number (from 0) of a pseudo-random permutation of 0 to n - 1 that the key names.
 
-    The pool's bytes are measured first. It is broadcast in blocks of about `block` bytes, one after the other, and
-    a question carries on only its best `shots` of the blocks so far; nothing is shuffled. Every question looks at every
-    candidate, which is what the seeded choice asks for; a pool is a development set.
+    A number is a pair of digits, of a and of b values; each round adds a hash of one digit to the other. a times b is
+    n or a little more, so numbers of n or more are permuted again until one is below n, which comes soon: there
+    are fewer than a of them.
     """
-    demos = pool.select(F.col("doc_id").cast("string").alias("__id"), F.col("prompt").alias("__prompt"), F.concat("prompt", F.lit(" "), "answer").alias("__demo"))
-    size = demos.agg(F.coalesce(F.sum(F.octet_length("__prompt") + F.octet_length("__demo")), F.lit(0)).alias("bytes")).first()["bytes"]
-    blocks = size // block + 1
-    best_type = "array<struct<h: string, demo: string>>"
-    found = questions.select("doc_id", "prompt", F.lit(0).alias("__seen"), F.array().cast(best_type).alias("__best"))
-    for i in range(blocks):
-        part = demos if blocks == 1 else demos.filter(F.pmod(F.xxhash64("__id", "__demo"), F.lit(blocks)) == i)
-        packed = part.agg(F.collect_list(F.struct("*")).alias("__pool"))
-        joined = found.join(F.broadcast(packed))  # one row of about `block` bytes
-        others = F.filter("__pool", lambda d: (d["__prompt"] != F.col("prompt")) & (d["__id"] != F.col("doc_id").cast("string")))
-        ranked = F.transform("__others", lambda d: F.struct(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("prompt"), d["__id"]), 256).alias("h"), d["__demo"].alias("demo")))
-        best = F.slice(F.array_sort(F.concat("__best", ranked.cast(best_type))), 1, shots)
-        found = joined.withColumn("__others", others).select("doc_id", "prompt", (F.col("__seen") + F.size("__others")).alias("__seen"), best.alias("__best"))
-    enough = F.when(F.col("__seen") < shots, F.raise_error(F.concat(F.lit("too few demonstrations for "), F.col("doc_id").cast("string"))).cast("string"))
-    return found.select("doc_id", F.coalesce(enough, F.concat(F.array_join("__best.demo", "\n\n"), F.lit("\n\n"))).alias("prefix"))
+    a = F.ceil(F.sqrt(n.cast("double")))
+    b = F.ceil(n / a.cast("double"))
+
+    def hashed(k: int, digit: Column) -> Column:
+        return F.conv(F.substring(F.sha2(F.concat_ws(":", key, F.lit(str(k)), digit.cast("string")), 256), 1, 8), 16, 10).cast("long")
+
+    def after(k: int) -> Callable[[Column], Column]:
+        if k % 2:
+            return lambda s: F.struct(s["l"].alias("l"), ((s["r"] + hashed(k, s["l"])) % b).alias("r"))
+        return lambda s: F.struct(((s["l"] + hashed(k, s["r"])) % a).alias("l"), s["r"].alias("r"))
+
+    def shuffled(x: Column) -> Column:
+        state = F.struct((x % a).alias("l"), F.floor(x / a).cast("long").alias("r"))
+        for k in range(ROUNDS):
+            state = let(state, after(k))
+        return let(state, lambda s: s["l"] + a * s["r"])
+
+    walks = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(64), a * b - n)).cast("int"))
+    start = shuffled(x)
+    return F.aggregate(walks, start, lambda now, _: F.when(now < n, now).otherwise(shuffled(now)))
+
+
+def few_shot_prefixes(questions: DataFrame, pool: DataFrame, shots: int, seed: int = 42) -> DataFrame:
+    """(doc_id, prefix): for each question `shots` demonstrations, chosen by seed and question; never itself.
+
+    The pool is numbered by (prompt, id, answer), so that demonstrations with the question's own prompt are a range of
+    numbers, which is left out of a pseudo-random permutation of the numbers; those with its id are passed over.
+    A question is a row for each demonstration that it looks at, `shots` and as many as share its id, and these
+    rows, without texts of the question, are joined with the pool by number.
+    """
+    demos = pool.select(F.col("doc_id").cast("string").alias("id"), "prompt", F.concat("prompt", F.lit(" "), "answer").alias("demo"))
+    keyed = number_rows(demos, F.struct("prompt", "id", "demo"), "number")
+    size = keyed.count()
+    ranges = keyed.groupBy(F.col("prompt").alias("__prompt")).agg(F.min("number").alias("__from"), F.count("*").alias("__own"))
+    ids = keyed.filter("id is not null").groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("__same"))
+    asked = questions.select(F.col("doc_id"), F.col("doc_id").cast("string").alias("__of"), "prompt", F.monotonically_increasing_id().alias("__q"))
+    asked = asked.join(ranges, F.col("prompt") == F.col("__prompt"), "left").join(ids, F.col("__of") == F.col("__id"), "left")
+    own, same = F.coalesce("__own", F.lit(0)), F.coalesce("__same", F.lit(0))
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("__of"), F.col("prompt"))
+    drawn = asked.select("doc_id", "__of", "__q", F.sha2(key, 256).alias("__key"), F.coalesce("__from", F.lit(0)).alias("__from"), own.alias("__own"), (F.lit(size) - own).alias("__n"), (F.lit(shots) + same).alias("__want"))
+    places = F.sequence(F.lit(0), (F.least("__want", "__n") - 1).cast("int"))
+    # A question without enough of them keeps a row, with no number, and fails below.
+    looked = drawn.withColumn("__place", F.explode_outer(F.when(F.col("__n") > 0, places)))
+    at = _permuted(F.col("__place").cast("long"), F.col("__n"), F.col("__key"))
+    looked = looked.select("doc_id", "__of", "__q", "__place", F.when(F.col("__place").isNotNull(), let(at, lambda y: F.when(y < F.col("__from"), y).otherwise(y + F.col("__own")))).alias("__at"))
+    found = looked.join(keyed.select(F.col("number").alias("__at"), F.col("id").alias("__id"), "demo"), "__at", "left")
+    fits = F.col("demo").isNotNull() & ~F.coalesce(F.col("__id") == F.col("__of"), F.lit(False))
+    held = found.groupBy("__q", "doc_id").agg(F.slice(F.array_sort(F.collect_list(F.when(fits, F.struct("__place", "demo")))), 1, shots).alias("best"))
+    enough = F.when(F.size("best") < shots, F.raise_error(F.concat(F.lit("too few demonstrations for "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).cast("string"))
+    return held.select("doc_id", F.coalesce(enough, F.concat(F.array_join("best.demo", "\n\n"), F.lit("\n\n"))).alias("prefix"))
 
 
 def with_seeds(requests: DataFrame, seed: int, prompt: str = "prompt") -> DataFrame:
@@ -131,42 +168,47 @@ def scratch(spark: SparkSession, what: str) -> str:
 def number_rows(rows: DataFrame, order: Column, into: str = "number", group: str | None = None) -> DataFrame:
     """rows with their place (from 0) in `order`, by range partitions and their sizes: no task sorts all rows.
 
-    The ranges come from a sample, so they are fixed by a checkpoint before they are counted and used.
-    With group, places are counted in each of its values; a value's rows may stand in many ranges.
+    rows are worked out once, into a checkpoint; the ranges come from a sample of it, so they are fixed by a second
+    one before they are counted and used. Rows with texts are better joined with their numbered keys. With group,
+    places are counted in each of its values; a value's rows may stand in many ranges.
     """
     _checkpoints(rows.sparkSession)
+    key, part, within, before = fresh([*rows.columns, into], "__key", "__part", "__in", "__before")
+    kept = rows.withColumn(key, order).checkpoint()
+    by = [F.col(group), F.col(key)] if group else [F.col(key)]
+    spread = kept.repartitionByRange(*by).withColumn(part, F.spark_partition_id()).checkpoint()
+    inside = [part, group] if group else [part]
+    ranked = spread.withColumn(within, F.row_number().over(Window.partitionBy(*inside).orderBy(key)) - 1)
+    earlier = Window.partitionBy(group) if group else Window
+    sums = F.coalesce(F.sum("count").over(earlier.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = spread.groupBy(*inside).count().select(*inside, sums.alias(before))  # ranges and groups together, at most
     if group:
-        return _number_in_groups(rows, order, into, group)
-    spread = rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id()).checkpoint()
-    ranked = spread.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1)
-    before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = spread.groupBy("__part").count().select("__part", before.alias("__before"))  # a row for each partition
-    return ranked.join(F.broadcast(starts), "__part").withColumn(into, F.col("__before") + F.col("__in")).drop("__part", "__in", "__before")
-
-
-def _number_in_groups(rows: DataFrame, order: Column, into: str, group: str) -> DataFrame:
-    spread = rows.repartitionByRange(F.col(group), order).withColumn("__part", F.spark_partition_id()).checkpoint()
-    ranked = spread.withColumn("__in", F.row_number().over(Window.partitionBy("__part", group).orderBy(order)) - 1)
-    before = F.coalesce(F.sum("count").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = spread.groupBy("__part", group).count().select(F.col("__part").alias("__p"), F.col(group).alias("__g"), before.alias("__before"))  # ranges and groups together, at most
-    joined = ranked.join(starts, (F.col("__part") == F.col("__p")) & F.col(group).eqNullSafe(F.col("__g")))
-    return joined.withColumn(into, F.col("__before") + F.col("__in")).drop("__part", "__p", "__g", "__in", "__before")
+        mine, theirs = fresh([*ranked.columns, before], "__p", "__g")
+        starts = starts.select(F.col(part).alias(mine), F.col(group).alias(theirs), before)
+        joined = ranked.join(starts, (F.col(part) == F.col(mine)) & F.col(group).eqNullSafe(F.col(theirs))).drop(mine, theirs)
+    else:
+        joined = ranked.join(F.broadcast(starts), part)  # a row for each range
+    names = [c for c in rows.columns if c.lower() != into.lower()]
+    return joined.withColumn(into, F.col(before) + F.col(within)).select(*[F.col(f"`{c}`") for c in names], into)
 
 
 def equal_shards(rows: DataFrame, shards: int, order: Column) -> DataFrame:
     """rows with shard (from 0): contiguous by `order`, the first ones larger by a row where they cannot be equal."""
     total = rows.count()
     base, extra = divmod(total, shards)
-    at, wide = F.col("__at"), extra * (base + 1)
+    (name,) = fresh(rows.columns, "__at")
+    at, wide = F.col(name), extra * (base + 1)
     shard = F.when(at < wide, F.floor(at / (base + 1))).otherwise(extra + F.floor((at - wide) / max(base, 1)))
-    return number_rows(rows, order, "__at").withColumn("shard", shard.cast("int")).drop("__at")
+    return number_rows(rows, order, name).withColumn("shard", shard.cast("int")).drop(name)
 
 
 def round_robin(rows: DataFrame, workers: int, order: Column) -> DataFrame:
     """rows with worker: their places in `order` dealt out in turn."""
-    return number_rows(rows, order, "__at").withColumn("worker", (F.col("__at") % workers).cast("int")).drop("__at")
+    (name,) = fresh(rows.columns, "__at")
+    return number_rows(rows, order, name).withColumn("worker", (F.col(name) % workers).cast("int")).drop(name)
 
 
 def batches(rows: DataFrame, size: int, order: Column) -> DataFrame:
     """rows with batch: runs of `size` in `order`."""
-    return number_rows(rows, order, "__at").withColumn("batch", F.floor(F.col("__at") / size).cast("int")).drop("__at")
+    (name,) = fresh(rows.columns, "__at")
+    return number_rows(rows, order, name).withColumn("batch", F.floor(F.col(name) / size).cast("int")).drop(name)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenfold.functions.names import fresh
 from lumenfold.functions.text import strip
 
 
@@ -23,11 +24,12 @@ def problem_identity(doc_id: Column, ordinal: Column) -> Column:
 def assign_sample_index(rows: DataFrame, problem: str = "problem", ordinal: str = "ordinal", index: str = "sample_index") -> DataFrame:
     """Rows without an index get the lowest unused ones of their problem, in the order of ordinal."""
     by = Window.partitionBy(problem)
+    used_, nth_, n_ = fresh(rows.columns, "__used", "__nth", "__n")
     used = F.collect_set(index).over(by)
     nth = F.row_number().over(Window.partitionBy(problem, F.col(index).isNull()).orderBy(ordinal))
-    numbered = rows.withColumns({"__used": used, "__nth": nth, "__n": F.count("*").over(by)})
-    free = F.array_except(F.sequence(F.lit(0), (F.col("__n") + F.coalesce(F.array_max("__used"), F.lit(-1)) + 1).cast("int")), F.col("__used").cast("array<int>"))
-    return numbered.withColumn(index, F.coalesce(F.col(index).cast("int"), F.element_at(free, F.col("__nth")))).drop("__used", "__nth", "__n")
+    numbered = rows.withColumns({used_: used, nth_: nth, n_: F.count("*").over(by)})
+    free = F.array_except(F.sequence(F.lit(0), (F.col(n_) + F.coalesce(F.array_max(used_), F.lit(-1)) + 1).cast("int")), F.col(used_).cast("array<int>"))
+    return numbered.withColumn(index, F.coalesce(F.col(index).cast("int"), F.element_at(free, F.col(nth_)))).drop(used_, nth_, n_)
 
 
 def sample_faults(rows: DataFrame, problem: str = "problem", index: str = "sample_index", n_samples: str = "n_samples") -> DataFrame:
@@ -66,7 +68,8 @@ def in_sample_order(rows: DataFrame, problem: str = "problem", ordinal: str = "o
     nth_index = F.row_number().over(Window.partitionBy(problem).orderBy(index))
     by = Window.partitionBy(problem)
     slots = F.array_sort(F.collect_list(ordinal).over(by))
-    return rows.withColumns({"__slots": slots, "__nth": nth_index}).withColumn(ordinal, F.element_at("__slots", F.col("__nth"))).drop("__slots", "__nth")
+    slots_, nth_ = fresh(rows.columns, "__slots", "__nth")
+    return rows.withColumns({slots_: slots, nth_: nth_index}).withColumn(ordinal, F.element_at(slots_, F.col(nth_))).drop(slots_, nth_)
 
 
 def normalize_samples(rows: DataFrame, fields: Sequence[str], problem: str = "problem", ordinal: str = "ordinal", index: str = "sample_index", n_samples: str = "n_samples") -> DataFrame:

@@ -184,15 +184,22 @@ _GENERATED = f"""WITH d AS (SELECT source, doc_id, CASE WHEN doc_id % 2 = 0 THEN
 v AS (SELECT source, i, {_LETTER} AS vote, chr((65 + length(source) % 4)::INTEGER) AS gold FROM d)"""
 
 
-def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Letters of the documents as samples of their source: texts end at the scan, and samples are numbered by ranges."""
+def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters of the documents as samples of their source; texts end at the scan."""
     docs = _read(spark, sf_dir, "documents")
     marked = F.concat("text", F.lit("\nAnswer: "), F.chr((F.lit(65) + F.col("doc_id") % 4).cast("long")))
     rows = docs.select(
         F.col("source").alias("problem"), "doc_id", F.when(F.col("doc_id") % 2 == 0, marked).otherwise(F.col("text")).alias("gen"),
         F.lit(None).cast("string").alias("error"), F.lit(True).alias("complete"), F.chr((F.lit(65) + F.length("source") % 4).cast("long")).alias("gold"),
     )
-    return requests.number_rows(multiple_choice.with_letters(rows), F.col("doc_id"), "sample_index", "problem")
+    return multiple_choice.with_letters(rows)
+
+
+def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """_letters() with the samples' places: keys alone are numbered, by ranges, and letters joined with them by id."""
+    keys = _read(spark, sf_dir, "documents").select(F.col("source").alias("problem"), "doc_id")
+    places = requests.number_rows(keys, F.col("doc_id"), "sample_index", "problem")
+    return _letters(spark, sf_dir).join(places.select("doc_id", "sample_index"), "doc_id")
 
 
 def _judged(spark: SparkSession, sf_dir: str, aggregation: str) -> DataFrame:
@@ -218,7 +225,7 @@ def mc_generate_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_GENERATED + " SELECT round(avg((vote = gold)::INTEGER), 9) AS acc, count(*) AS sample_count, count(*) AS effective_count, 0::BIGINT AS failed_count, 0::BIGINT AS excluded_count FROM v")
 def mc_generate_per_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multiple_choice.accuracy_summary(multiple_choice.score_letters(_generated(spark, sf_dir), "per_sample")).withColumn("acc", F.round("acc", 9))
+    return multiple_choice.accuracy_summary(multiple_choice.score_letters(_letters(spark, sf_dir), "per_sample")).withColumn("acc", F.round("acc", 9))
 
 
 @query("""
@@ -375,11 +382,24 @@ def manifest_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.reconcile(_read(spark, sf_dir, "documents"), outputs.withColumn("n_samples", F.lit(2)), 2)
 
 
-@query("""
-WITH p AS (SELECT item_id::VARCHAR AS id, text AS prompt, 'A' || item_id AS answer FROM benchmark),
-c AS (SELECT d.doc_id, p.prompt || ' ' || p.answer AS demo, row_number() OVER (PARTITION BY d.doc_id ORDER BY sha256(concat_ws(':', '9', d.doc_id, d.lang, p.id)), p.prompt) AS r
-  FROM documents d JOIN p ON p.prompt <> d.lang AND p.id <> d.doc_id::VARCHAR)
-SELECT doc_id, string_agg(demo, chr(10) || chr(10) ORDER BY r) || chr(10) || chr(10) AS prefix FROM c WHERE r <= 3 GROUP BY 1""")
+def _permuted_sql(x: str) -> str:
+    """A walk of requests._permuted() in DuckDB, from the number x with the columns a, b and key."""
+    l, r = f"({x} % a)", f"({x} // a)"
+    for k in range(requests.ROUNDS):
+        hashed = f"('0x' || substr(sha256(concat_ws(':', key, '{k}', {l if k % 2 else r})), 1, 8))::BIGINT"
+        l, r = (l, f"(({r} + {hashed}) % b)") if k % 2 else (f"(({l} + {hashed}) % a)", r)
+    return f"({l} + a * {r})"
+
+
+@query(f"""
+WITH RECURSIVE p AS (SELECT id, prompt, demo, row_number() OVER (ORDER BY prompt, id, demo) - 1 AS number
+  FROM (SELECT item_id::VARCHAR AS id, text AS prompt, text || ' ' || 'A' || item_id AS demo FROM benchmark)),
+q AS (SELECT doc_id, sha256('9:' || doc_id || ':' || lang) AS key, (SELECT count(*) FROM p) AS n, 3 + (SELECT count(*) FROM p WHERE id = doc_id::VARCHAR) AS want FROM documents),
+c AS (SELECT *, ceil(sqrt(n::DOUBLE))::BIGINT AS a, ceil(n / ceil(sqrt(n::DOUBLE)))::BIGINT AS b FROM q),
+w AS (SELECT doc_id, key, n, a, b, place, {_permuted_sql("place")} AS y FROM (SELECT *, unnest(range(want)) AS place FROM c)
+  UNION ALL SELECT doc_id, key, n, a, b, place, {_permuted_sql("y")} FROM w WHERE y >= n),
+f AS (SELECT doc_id, demo, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS r FROM w JOIN p ON p.number = w.y WHERE y < n AND p.id <> doc_id::VARCHAR)
+SELECT doc_id, string_agg(demo, chr(10) || chr(10) ORDER BY r) || chr(10) || chr(10) AS prefix FROM f WHERE r <= 3 GROUP BY 1""")
 def few_shot_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("prompt"), F.concat(F.lit("A"), F.col("item_id").cast("string")).alias("answer"))
     return requests.few_shot_prefixes(_read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("prompt")), pool, 3, 9)

@@ -1,5 +1,7 @@
+import hashlib
 import itertools
 import json
+import math
 import random
 import time
 
@@ -620,11 +622,63 @@ def test_usable_logprobs(spark):
     assert [r.doc_id for r in requests.usable_logprobs(df).collect()] == ["a"]
 
 
-def test_few_shot_blocks_change_nothing(spark):
-    pool = spark.createDataFrame([(str(i), f"q{i}", f"a{i}") for i in range(40)], "doc_id string, prompt string, answer string")
-    q = spark.createDataFrame([(str(i), f"q{i}") for i in range(6)], "doc_id string, prompt string")
-    whole, parts = (sorted(map(tuple, requests.few_shot_prefixes(q, pool, 3, 9, block=b).collect())) for b in (1 << 20, 64))
-    assert whole == parts and len(whole) == 6
+def permuted(x, n, key):
+    """requests._permuted() for one number."""
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+    while True:
+        left, right = x % a, x // a
+        for k in range(requests.ROUNDS):
+            h = lambda d: int(hashlib.sha256(f"{key}:{k}:{d}".encode()).hexdigest()[:8], 16)  # noqa: E731, B023
+            left, right = (left, (right + h(left)) % b) if k % 2 else ((left + h(right)) % a, right)
+        x = left + a * right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 50, 97])
+def test_permutations(spark, n):
+    found = spark.range(n).select(requests._permuted(F.col("id"), F.lit(n), F.lit("k")).alias("y")).collect()
+    assert [r.y for r in found] == [permuted(x, n, "k") for x in range(n)] and sorted(r.y for r in found) == list(range(n))
+
+
+def test_few_shot_looks_at_few_of_the_pool(spark):
+    pool = [(f"i{k % 37}" if k % 5 else None, f"P{k % 11}", f"A{k}") for k in range(80)]
+    asked = [(f"i{k}", f"P{k % 13}") for k in range(40)] * 2 + [(None, "P1")]
+    p = spark.createDataFrame(pool, "doc_id string, prompt string, answer string")
+    q = spark.createDataFrame(asked, "doc_id string, prompt string").repartition(3)
+    ordered = sorted(((prompt, i, f"{prompt} {answer}") for i, prompt, answer in pool), key=lambda x: (x[0], x[1] is not None, x[1] or "", x[2]))
+
+    def prefix(i, prompt):
+        own = [k for k, x in enumerate(ordered) if x[0] == prompt]
+        n, key = len(ordered) - len(own), hashlib.sha256(":".join(["7", *([i] if i else []), prompt]).encode()).hexdigest()
+        at = [permuted(x, n, key) for x in range(n)]
+        rest = [k for k in range(len(ordered)) if k not in own]
+        return "".join(d + "\n\n" for d in [ordered[rest[y]][2] for y in at if i is None or ordered[rest[y]][1] != i][:3])
+
+    found = requests.few_shot_prefixes(q, p, 3, 7)
+    assert sorted((r.doc_id or "", r.prefix) for r in found.collect()) == sorted((i or "", prefix(i, prompt)) for i, prompt in asked)
+
+
+def test_numbering_works_rows_out_once_and_keeps_names(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = spark.range(1000).select(counted(F.col("id").cast("int")).alias("x"), F.lit("p").alias("__part"), F.lit("k").alias("__key"), F.lit("b").alias("__before"))
+    found = requests.number_rows(rows, -F.col("x"), "at")
+    assert sorted((r.at, r.x) for r in found.collect()) == [(i, 999 - i) for i in range(1000)] and seen.value == 1000
+    assert found.columns == ["x", "__part", "__key", "__before", "at"] and found.select("__part", "__key", "__before").distinct().collect() == [("p", "k", "b")]
+
+
+def test_samples_keep_columns_of_any_name(spark):
+    rows = spark.createDataFrame([("a", 0, None, "u", "v", "w", "s")], "problem string, ordinal int, sample_index int, __used string, __nth string, __n string, __slots string")
+    found = samples.in_sample_order(samples.assign_sample_index(rows)).first()
+    assert (found["__used"], found["__nth"], found["__n"], found["__slots"], found.sample_index) == ("u", "v", "w", "s", 0)
+
 
 
 def test_benchmarks_are_published_once(spark, tmp_path):
