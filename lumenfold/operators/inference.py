@@ -29,6 +29,10 @@ class FatalRequest(Exception):
     """A request that no retry can save."""
 
 
+class Overloaded(Exception):
+    """A request that failed and may do better later: a cut connection, a rate limit, a fault of the server."""
+
+
 class ContextOverflow(Exception):
     """A prompt too long for the model; its answer is null."""
 
@@ -43,13 +47,18 @@ def retryable(status: int | None) -> bool:
     return status is None or not 400 <= status < 500 or status in (408, 429)
 
 
+#: Mistakes of a program, which no retry mends.
+MISTAKES = (TypeError, KeyError, AttributeError, NameError, AssertionError)
+
+
 def with_retry(call: Callable[[], str | None], attempts: int, sleep: Callable[[float], None] = time.sleep) -> str | None:
+    """call()'s answer, or null for a prompt that is too long; final errors and mistakes of the program are raised at once."""
     for attempt in range(attempts):
         try:
             return call()
         except ContextOverflow:
             return None
-        except FatalRequest:
+        except (FatalRequest, *MISTAKES):
             raise
         except Exception:
             if attempt == attempts - 1:
@@ -58,7 +67,7 @@ def with_retry(call: Callable[[], str | None], attempts: int, sleep: Callable[[f
     raise ValueError("attempts must be 1 at least")
 
 
-def generate(requests: DataFrame, factory: Callable[[], Client], attempts: int = 3, in_flight: int = 8, system: str | None = None) -> DataFrame:
+def generate(requests: DataFrame, factory: Callable[[], Client], attempts: int = 3, in_flight: int = 8, system: str | None = None, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """requests (prompt, seed, ...) with gen and error. A task keeps `in_flight` requests open; a failed request has an
     error and no generation, so a later run makes it again."""
     names = requests.columns
@@ -69,7 +78,7 @@ def generate(requests: DataFrame, factory: Callable[[], Client], attempts: int =
 
         def one(prompt: str, seed: int) -> tuple[str | None, str | None]:
             try:
-                return with_retry(lambda: client.generate(prompt, system, seed), attempts), None
+                return with_retry(lambda: client.generate(prompt, system, seed), attempts, sleep), None
             except Exception as e:
                 return None, f"{type(e).__name__}: {e}"
 
@@ -87,7 +96,7 @@ def generate(requests: DataFrame, factory: Callable[[], Client], attempts: int =
 _SAID = {"first_token": "map<string,double>", "continuation": "array<struct<offsets: array<bigint>, tokens: array<string>, logprobs: array<double>>>"}
 
 
-def score_choices(requests: DataFrame, factory: Callable[[], Client], mode: str, attempts: int = 3, in_flight: int = 8) -> DataFrame:
+def score_choices(requests: DataFrame, factory: Callable[[], Client], mode: str, attempts: int = 3, in_flight: int = 8, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """requests (prompt, choices, gold, ...) with choice_tokens, logprobs (null: not among the alternatives), scoring_mode and error.
 
     first_token: client.alternatives(prompt) gives the log-probabilities of next tokens. continuation: client.echo(text)
@@ -110,9 +119,12 @@ def score_choices(requests: DataFrame, factory: Callable[[], Client], mode: str,
         def one(prompt: str, tokens) -> tuple[object, str | None]:
             try:
                 if mode == "first_token":
-                    return with_retry(lambda: client.alternatives(prompt), attempts), None
+                    return with_retry(lambda: client.alternatives(prompt), attempts, sleep), None
                 texts = [prompt + t for t in (tokens if tokens is not None else ())]
-                return [dict(zip(("offsets", "tokens", "logprobs"), with_retry(lambda t=t: client.echo(t), attempts))) for t in texts], None
+                said = [with_retry(lambda t=t: client.echo(t), attempts, sleep) for t in texts]
+                if None in said:
+                    return None, "ContextOverflow: a prompt with a choice is too long"
+                return [dict(zip(("offsets", "tokens", "logprobs"), x)) for x in said], None
             except Exception as e:
                 return None, f"{type(e).__name__}: {e}"
 

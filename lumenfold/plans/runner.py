@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.functions.text import has_chat_template, strip
 from lumenfold.operators import inference, requests
 from lumenfold.plans.settings import whole
 from lumenfold.sources import committed, jsonl
@@ -71,6 +72,10 @@ def left_of(questions: DataFrame, run: Run) -> DataFrame:
     spark = questions.sparkSession
     if not requests.valid_ids(questions).first()["valid"]:
         raise ValueError("every question needs an id of its own that is not blank")
+    unfit = F.when(F.coalesce(strip(F.col("prompt")), F.lit("")) == "", "is blank").when(has_chat_template(F.col("prompt")), "already carries a chat template, which the server adds")
+    told = questions.select("doc_id", unfit.alias("fault")).filter("fault is not null").head(1)
+    if told:
+        raise ValueError(f"the prompt of {told[0]['doc_id']} {told[0]['fault']}")
     questions = questions.withColumn("doc_id", F.col("doc_id").cast("string"))
     committed.write_manifest(questions, run.manifest, run.n_samples, run.output)
     usable = requests.usable_outputs if run.mode == "generate" else requests.usable_logprobs
