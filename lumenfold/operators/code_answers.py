@@ -1,15 +1,16 @@
 """Code scoring: candidate programs run in child processes, and unbiased pass@k.
 
-Running model-written code is dangerous and no sandbox; it must be allowed by the caller. Each program
-runs in a fresh interpreter with resource limits, an empty folder and a time limit, never in the worker.
+Running model-written code is dangerous and no sandbox; it must be allowed by the caller. A task keeps one fresh
+interpreter that forks a child for each program (child_server.py), with resource limits, an empty folder, a time
+limit, and without the functions and modules that programs are not to use; nothing runs in the worker.
 """
 
 from __future__ import annotations
 
 import ast
-import os
-import resource
-import signal
+import json
+import pkgutil
+import select
 import subprocess
 import sys
 import tempfile
@@ -23,7 +24,7 @@ from lumenfold.functions.estimators import pass_at_k
 from lumenfold.functions.text import check_programs, code_block, needs_prefix, strip_reasoning
 
 PREFIX_LINES = 500
-MEMORY_MB, FILE_BYTES, PROCESSES, OPEN_FILES = 2048, 1 << 20, 32, 64
+MEMORY_MB = 2048
 
 
 def longest_valid_prefix(code: str) -> str:
@@ -58,38 +59,58 @@ def extract_code(rows: DataFrame, text: str = "gen", into: str = "code") -> Data
     return rows.withColumn(into, F.coalesce(valid_prefix(F.when(cut, block)), block, F.lit("")))
 
 
-def _limits(seconds: float, memory_mb: int) -> None:
-    cpu = int(seconds) + 1
-    for what, most in ((resource.RLIMIT_CPU, cpu), (resource.RLIMIT_FSIZE, FILE_BYTES), (resource.RLIMIT_CORE, 0), (resource.RLIMIT_NOFILE, OPEN_FILES), (resource.RLIMIT_NPROC, PROCESSES), (resource.RLIMIT_AS, memory_mb << 20)):
-        hard = resource.getrlimit(what)[1]
-        bound = most if hard == resource.RLIM_INFINITY else min(most, hard)
-        resource.setrlimit(what, (bound, bound))
-    os.setsid()
+class Children:
+    """The interpreter of a task that forks children; one that is lost is started again for the next program."""
 
+    def __init__(self, seconds: float = 3.0, memory_mb: int = MEMORY_MB):
+        self.seconds, self.memory_mb = seconds, memory_mb
+        self.source = pkgutil.get_data(__package__, "child_server.py").decode("utf-8")
+        self.server: subprocess.Popen | None = None
 
-def run_program(program: str, seconds: float = 3.0, memory_mb: int = MEMORY_MB) -> tuple[str, str]:
-    """(status, result) of a program in a child: completed with passed, failed: ..., timed out or died of a signal;
-    failed where no child could be started."""
-    with tempfile.TemporaryDirectory() as folder:
-        env = {"PATH": "", "HOME": folder, "OMP_NUM_THREADS": "1", "PYTHONDONTWRITEBYTECODE": "1"}
+    def _start(self) -> subprocess.Popen:
+        if self.server is None or self.server.poll() is not None:
+            env = {"PATH": "", "OMP_NUM_THREADS": "1", "PYTHONDONTWRITEBYTECODE": "1", "TMPDIR": tempfile.gettempdir()}
+            self.server = subprocess.Popen([sys.executable, "-I", "-c", self.source], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, env=env)
+        return self.server
+
+    def run(self, program: str) -> tuple[str, str]:
+        """(status, result) of a program: completed with passed, failed: ..., timed out or died of a signal; failed where
+        no child could be started."""
+        raw = program.encode("utf-8", "surrogateescape")
         try:
-            child = subprocess.Popen([sys.executable, "-I", "-"], stdin=subprocess.PIPE, stdout=subprocess.DEVNULL, stderr=subprocess.PIPE, cwd=folder, env=env, preexec_fn=lambda: _limits(seconds, memory_mb))
+            server = self._start()
+            asked = json.dumps({"bytes": len(raw), "seconds": self.seconds, "memory_mb": self.memory_mb})
+            server.stdin.write(asked.encode() + b"\n" + raw)
+            server.stdin.flush()
+            # The server itself ends a child in time; one that has stopped answering is given up.
+            ready = select.select([server.stdout], [], [], self.seconds + 10)[0]
+            line = server.stdout.readline() if ready else b""
+            if not line:
+                self.close()
+                return "failed", "could not start: the server of children was lost"
+            result = json.loads(line)["result"]
         except OSError as e:
+            self.close()
             return "failed", f"could not start: {e}"
-        try:
-            _, errors = child.communicate(program.encode("utf-8", "surrogateescape"), timeout=seconds)
-        except subprocess.TimeoutExpired:
-            try:
-                os.killpg(child.pid, signal.SIGKILL)
-            except ProcessLookupError:
-                pass
-            child.communicate()
-            return "completed", "timed out"
-        if child.returncode == 0:
-            return "completed", "passed"
-        if child.returncode < 0:
-            return "completed", f"died of signal {-child.returncode}"
-        return "completed", "failed: " + (errors.decode(errors="replace").strip().splitlines() or [""])[-1][:200]
+        return ("failed" if result.startswith("could not start") else "completed"), result
+
+    def close(self) -> None:
+        if self.server is not None:
+            self.server.kill()
+            self.server.communicate()
+            self.server = None
+
+    def __enter__(self) -> Children:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+
+def run_program(program: str, seconds: float = 3.0, memory_mb: int = MEMORY_MB) -> tuple[str, str]:
+    """Children.run() of a single program."""
+    with Children(seconds, memory_mb) as children:
+        return children.run(program)
 
 
 def score_code(rows: DataFrame, allow_code_execution: bool = False, seconds: float = 3.0, text: str = "gen", test: str = "answer") -> DataFrame:
@@ -110,6 +131,10 @@ def score_code(rows: DataFrame, allow_code_execution: bool = False, seconds: flo
     coded = coded.withColumn("__failed", failed)
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with Children(seconds) as children:
+            yield from judged(frames, children)
+
+    def judged(frames: Iterable[pd.DataFrame], children: Children) -> Iterator[pd.DataFrame]:
         for frame in frames:
             outcomes = []
             for programs, go, broken in zip(frame["__programs"], frame["__run"], frame["__failed"]):
@@ -118,7 +143,7 @@ def score_code(rows: DataFrame, allow_code_execution: bool = False, seconds: flo
                     continue
                 tried = []
                 for p in programs:
-                    tried.append(run_program(p["program"], seconds))
+                    tried.append(children.run(p["program"]))
                     if tried[-1] == ("completed", "passed"):
                         break
                 status, result = min(tried, key=lambda t: (t[1] != "passed", t[0] != "completed"))

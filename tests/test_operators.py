@@ -243,13 +243,36 @@ def test_keys_take_bounded_time(text):
 
 
 
-
-@pytest.mark.parametrize("program,result", [("assert 1", "passed"), ("assert 0", "failed"), ("while True: pass", "timed out"), ("import os; os.kill(os.getpid(), 11)", "died of signal 11"), ("x = bytearray(1 << 33)", "failed: MemoryError"), ("open('f', 'wb').write(b'0' * (1 << 21))", "")])
+@pytest.mark.parametrize("program,result", [("assert 1", "passed"), ("assert 0", "failed"), ("while True: pass", "timed out"), ("import signal; signal.raise_signal(11)", "died of signal 11"), ("x = bytearray(1 << 33)", "failed: MemoryError"), ("open('f', 'wb').write(b'0' * (1 << 21))", "")])
 def test_programs_in_children(program, result):
     status, found = code_answers.run_program(program, seconds=2)
     assert status == "completed" and (found.startswith(result) if result else found != "passed")
 
 
+@pytest.mark.parametrize("program", [
+    "import os; os._exit(0)", "import posix; posix._exit(0)", "import sys; sys.exit(0)", "exit()", "raise SystemExit", "import os; os.kill(os.getppid(), 9)", "import os; os.fork()", "import os; os.system('true')",
+    "import subprocess", "import ctypes", "import socket", "import urllib.request", "from multiprocessing import Pool", "import shutil; shutil.rmtree('.')", "open('/etc/passwd')", "import io; io.open('x', 'w')",
+    "import os; os.remove('x')", "import os; os.execv('/bin/true', ['true'])", "import os; os.posix_spawn('/bin/true', ['true'], {})", "input()", "import os; os.listdir('/')", "import resource",
+])
+def test_ways_out_are_refused(program):
+    with code_answers.Children(2) as children:
+        assert children.run("x = 1") == ("completed", "passed")
+        status, result = children.run(program)
+        assert status == "completed" and result.startswith("failed")
+        assert children.run("assert [i for i in range(3)] == [0, 1, 2]") == ("completed", "passed")
+
+
+def test_children_are_kept_apart_and_quick():
+    with code_answers.Children(2) as children:
+        assert children.run("import builtins, sys; builtins.x = 1; sys.modules['json'] = None") == ("completed", "passed")
+        assert children.run("import json; x")[1].startswith("failed: NameError") and children.run("import json") == ("completed", "passed")
+        began = time.time()
+        assert all(children.run(f"assert {i} + 1 == {i + 1}")[1] == "passed" for i in range(100))
+        assert time.time() - began < 5
+        children.server.kill()
+        assert children.run("x = 1")[1] in ("passed", "could not start: the server of children was lost") and children.run("x = 1") == ("completed", "passed")
+
+
 def test_code_result(spark):
     rows = [("t", 0, 2, "\nassert f() == 1", "def f():\n    return 0"), ("t", 1, 2, "\nassert f() == 1", "def f():\n    return 1")]
     df = spark.createDataFrame(rows, "task_id string, sample_index int, n_samples int, answer string, gen string").withColumn("prompt_mode", F.lit("mbpp"))
