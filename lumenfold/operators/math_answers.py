@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from lumenfold.functions import expressions
 from lumenfold.functions.text import ground_truth, once, strip_reasoning, with_math_forms
@@ -22,6 +23,13 @@ def verdict(verify: Verifier, gold: str | None, answer: str | None) -> bool | No
         return None
 
 
+def one_label(rows: DataFrame, label: str, dataset: str) -> Column:
+    """The label as a text: the first of a list of them, which only olympiadbench has; null for an empty or another list."""
+    if not isinstance(rows.schema[label].dataType, ArrayType):
+        return F.col(label)
+    return F.try_element_at(label, F.lit(1)).cast("string") if dataset.lower() == "olympiadbench" else F.lit(None).cast("string")
+
+
 def score_answers(rows: DataFrame, dataset: str = "", label: str = "answer", text: str = "gen", error: str | None = None, verify: Verifier | None = None) -> DataFrame:
     """rows with gold, prediction (compared forms), prediction_key, accuracy (0 or 1), status.
 
@@ -29,7 +37,7 @@ def score_answers(rows: DataFrame, dataset: str = "", label: str = "answer", tex
     completed and wrong. Equal forms are right, and so are forms of equal keys (see functions/expressions.py); what
     is left goes to `verify`, a function of two forms, where one is given.
     """
-    rows = once(rows, {"__label": ground_truth(F.col(label), dataset), "__answer": strip_reasoning(F.col(text))})
+    rows = once(rows.drop(*[c for c in ("gold", "prediction") if c != label]), {"__label": ground_truth(one_label(rows, label, dataset), dataset), "__answer": strip_reasoning(F.col(text))})
     found = with_math_forms(rows, {"gold": F.col("__label"), "prediction": F.col("__answer")})
     found = once(found.drop("prediction_key"), {"__gold_key": expressions.key(F.col("gold")), "prediction_key": expressions.key(F.col("prediction"))})
     failed = (F.coalesce(F.col("__label"), F.lit("")) == "") | F.col(text).isNull()

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.functions.names import fresh
 from lumenfold.functions.text import choice_label, choice_prompt, strip, strip_end, word_count
 from lumenfold.operators.requests import number_rows, valid_ids
 
@@ -18,9 +19,17 @@ CODE_TEMPLATE = ("You are an expert Python programmer.  Write a function that sa
 
 
 def math_rows(rows: DataFrame, name: str, question: str = "question", answer: str = "answer", source_id: str = "id") -> DataFrame:
-    """(doc_id, prompt, answer) with the instruction to reason."""
+    """(doc_id, prompt, answer) with the instruction to reason. A row without an id is named by its task_id, or else by
+    its place (from 0) in the order of a column `ordinal`, or as the rows are read."""
+    names = [c for c in (source_id, "task_id") if c in rows.columns]
+    given = F.coalesce(*[F.col(c).cast("string") for c in names], F.lit(None).cast("string"))
+    if not names or not rows.filter(given.isNull()).isEmpty():
+        order = F.col("ordinal") if "ordinal" in rows.columns else F.monotonically_increasing_id()
+        (place,) = fresh(rows.columns, "__place")
+        rows = number_rows(rows, order, place)
+        given = F.coalesce(given, F.col(place).cast("string"))
     prompt = F.concat(strip(F.col(question)), F.lit("\n" + MATH_INSTRUCTION))
-    return rows.select(F.concat(F.lit(f"{name}:"), F.col(source_id).cast("string")).alias("doc_id"), prompt.alias("prompt"), strip(F.col(answer).cast("string")).alias("answer"))
+    return rows.select(F.concat(F.lit(f"{name}:"), given).alias("doc_id"), prompt.alias("prompt"), strip(F.col(answer).cast("string")).alias("answer"))
 
 
 def choice_rows(rows: DataFrame, name: str, question: str = "question", choices: str = "choices", gold: str = "gold", source_id: str = "id") -> DataFrame:

@@ -14,7 +14,7 @@ from lumenfold.functions import predicates as P
 from lumenfold.functions import text as T
 from lumenfold.functions.estimators import NORMAL_BOTTOM, NORMAL_TOP, SMALL_MEAN, SMALL_TERMS, majority, pass_at_k
 from lumenfold.operators import code_answers, inference, math_answers, metrics, multiple_choice, preparation, requests, samples
-from lumenfold.plans import runner
+from lumenfold.plans import registry, runner
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -609,6 +609,21 @@ def math_symbolic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return math_answers.score_answers(rows).select("p_partkey", "accuracy")
 
 
+@query(f"""
+WITH {_SAMPLES}, o AS (SELECT problem, i, n, row_number() OVER (ORDER BY qty, problem, i) AS ordinal, line % 7 = 0 AS lost FROM s WHERE (problem + i) % 9 <> 0),
+p AS (SELECT problem, min(ordinal) AS place, count(*) < max(n) OR bool_or(lost) AS open_ FROM o GROUP BY problem)
+SELECT problem, row_number() OVER (ORDER BY place) AS nth FROM p WHERE open_""")
+def incomplete_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All problems with lost or missing samples, numbered in the order in which a file of samples by quantity has them."""
+    rows = order_samples(spark, sf_dir).filter((F.col("problem") + F.col("sample_index")) % 9 != 0)
+    rows = rows.withColumns({
+        "complete": F.count("*").over(Window.partitionBy("problem")) == F.col("n_samples"), "status": F.when(F.col("line") % 7 == 0, "failed").otherwise("completed"), "prediction": F.col("flag"), "accuracy": F.lit(0.0),
+        "ordinal": F.struct("qty", "problem", "sample_index"),
+    })
+    table = registry.problem_table(math_answers.problem_rollup(rows), rows).filter("not complete").select("problem", "place")
+    return requests.number_rows(table, F.col("place"), "nth").select("problem", (F.col("nth") + 1).alias("nth"))
+
+
 @query("SELECT n_nationkey::VARCHAR AS task_id, n_nationkey % 3 = 0 AS passed, 'completed' AS status FROM nation")
 def code_exec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty-five generated functions, run against their tests in child processes."""

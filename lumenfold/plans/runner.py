@@ -86,6 +86,15 @@ def left_of(questions: DataFrame, run: Run) -> DataFrame:
     return requests.with_seeds(requests.remaining(questions, done, run.n_samples), run.seed)
 
 
+def with_demonstrations(questions: DataFrame, pool: DataFrame, shots: int, seed: int = 42) -> DataFrame:
+    """questions whose prompts follow `shots` demonstrations of the pool; ids must be different."""
+    if shots < 1:
+        return questions
+    prefixes = requests.few_shot_prefixes(questions, pool, shots, seed)
+    joined = questions.join(prefixes.withColumnRenamed("prefix", "__prefix"), "doc_id")
+    return joined.withColumn("prompt", F.concat("__prefix", "prompt")).select(*questions.columns)
+
+
 def execute(questions: DataFrame, run: Run, factory: Callable[[], object]) -> dict:
     """Makes the requests a run lacks and appends their rows. Returns requested, failed and an example of a failure.
 

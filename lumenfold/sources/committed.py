@@ -44,17 +44,23 @@ def commit(rows: DataFrame, path: str, kind: str = "parquet", check: Callable[[s
     check gets the folder before the pointer names it; what it raises ends the commit, and the version goes.
     """
     spark, base = rows.sparkSession, path.rstrip("/")
-    before = current(spark, path)
     version = f"v-{uuid.uuid4().hex}"
     rows.write.format(kind).option("ignoreNullFields", "false").save(f"{base}/{version}")
-    fs, place = _hadoop(spark, base)
     if check:
         try:
             check(f"{base}/{version}")
         except Exception:
-            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(place, version), True)
+            fs, place = _hadoop(spark, f"{base}/{version}")
+            fs.delete(place, True)
             raise
-    write_text_atomically(spark, f"{base}/{POINTER}", json.dumps({"version": version, "format": kind, **facts}, allow_nan=False) + "\n")
+    return _hold(spark, path, version, kind, facts)
+
+
+def _hold(spark: SparkSession, path: str, version: str, kind: str, facts: dict) -> str:
+    """Lets the pointer name a version that is whole, and removes those before the last one."""
+    base, before = path.rstrip("/"), current(spark, path)
+    write_text_atomically(spark, f"{base}/{POINTER}", json.dumps({"version": version, "format": kind, **facts}, ensure_ascii=False, allow_nan=False) + "\n")
+    fs, place = _hadoop(spark, base)
     # Readers that still hold the version before keep their files until the next commit.
     keep = {version, before["version"] if before else version}
     for status in fs.listStatus(place):
@@ -64,18 +70,27 @@ def commit(rows: DataFrame, path: str, kind: str = "parquet", check: Callable[[s
     return f"{base}/{version}"
 
 
-def folder(spark: SparkSession, path: str) -> str:
-    """The folder of the version that holds."""
+def commit_tables(tables: dict[str, DataFrame], path: str, **facts: object) -> str:
+    """Writes several tables, and facts beside them, as one version: all of them hold from the same moment on."""
+    first = next(iter(tables.values()))
+    version = f"v-{uuid.uuid4().hex}"
+    for name, rows in tables.items():
+        rows.write.parquet(f"{path.rstrip('/')}/{version}/{name}")
+    return _hold(first.sparkSession, path, version, "parquet", facts)
+
+
+def folder(spark: SparkSession, path: str, table: str | None = None) -> str:
+    """The folder of the version that holds, or of one of its tables."""
     found = current(spark, path)
     if found is None:
         raise FileNotFoundError(f"nothing is committed in {path}")
-    return f"{path.rstrip('/')}/{found['version']}"
+    return f"{path.rstrip('/')}/{found['version']}" + (f"/{table}" if table else "")
 
 
-def read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str, schema: str | None = None, table: str | None = None) -> DataFrame:
     found = current(spark, path)
     reader = spark.read.format((found or {}).get("format", "parquet"))
-    return (reader.schema(schema) if schema else reader).load(folder(spark, path))
+    return (reader.schema(schema) if schema else reader).load(folder(spark, path, table))
 
 
 def _fault(ids: DataFrame) -> str | None:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenfold.functions.text import has_chat_template, strip
 from lumenfold.operators.requests import number_rows
 
 
@@ -219,9 +220,25 @@ def list_files(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select("path", "length", "modificationTime")
 
 
-def load_questions(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """(doc_id, prompt, answer, ordinal) of question files; rows without an id are named by `name` and their place (from 0,
-    by file name and line)."""
-    rows = in_file_order(read_jsonl(spark, path)).select(field(F.col("raw"), "doc_id").alias("doc_id"), field(F.col("raw"), "prompt").alias("prompt"), F.try_variant_get("raw", "$.answer", "string").alias("answer"), "ordinal")
-    numbered = rows.withColumn("doc_id", F.coalesce("doc_id", F.concat(F.lit(f"{name}:"), F.col("ordinal").cast("string"))))
-    return numbered
+def load_questions(spark: SparkSession, path: str, name: str, choices: bool = False) -> DataFrame:
+    """(doc_id, prompt, answer, ordinal) of question files, with choices also (choices, choice_tokens, gold); rows without an
+    id are named by `name` and their place (from 0, by file name and line)."""
+    raw = F.col("raw")
+    more = [F.try_variant_get(raw, f"$.{c}", "array<string>").alias(c) for c in ("choices", "choice_tokens")] + [field(raw, "gold", "int").alias("gold")] if choices else []
+    rows = in_file_order(read_jsonl(spark, path)).select(field(raw, "doc_id").alias("doc_id"), field(raw, "prompt").alias("prompt"), F.try_variant_get(raw, "$.answer", "string").alias("answer"), *more, "ordinal")
+    return rows.withColumn("doc_id", F.coalesce("doc_id", F.concat(F.lit(f"{name}:"), F.col("ordinal").cast("string"))))
+
+
+def load_pool(spark: SparkSession, path: str, shots: int) -> DataFrame:
+    """(doc_id, prompt, answer) of a file of demonstrations; fails where there are fewer than `shots`, or one has a blank
+    prompt or answer or a prompt with a chat template."""
+    raw = F.col("raw")
+    pool = read_jsonl(spark, path).select(*[field(raw, c).alias(c) for c in ("doc_id", "prompt", "answer")])
+    blank = lambda c: F.coalesce(strip(F.col(c)), F.lit("")) == ""
+    seen = pool.agg(F.count("*").alias("n"), F.count_if(blank("prompt")).alias("prompts"), F.count_if(blank("answer")).alias("answers"), F.count_if(has_chat_template(F.col("prompt"))).alias("templates")).first()
+    if seen["n"] < shots:
+        raise ValueError(f"{path} has {seen['n']} demonstrations, fewer than {shots}")
+    for fault in ("prompts", "answers", "templates"):
+        if seen[fault]:
+            raise ValueError(f"{path}: {seen[fault]} demonstrations with {'a chat template' if fault == 'templates' else 'blank ' + fault}")
+    return pool

@@ -9,9 +9,11 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.operators import inference
+from lumenfold import cli
+from lumenfold.operators import inference, preparation
 from lumenfold.operators.inference import ContextOverflow, FatalRequest, Overloaded
-from lumenfold.plans import runner
+from lumenfold.plans import registry, runner
+from lumenfold.sources import committed
 from lumenfold.sources.model_server import MalformedAnswer, ModelServer
 
 RIGHT = {"choices": [{"message": {"content": "fine"}}]}
@@ -152,3 +154,71 @@ def test_runs_go_on_where_they_stopped(spark, server, tmp_path):
     for prompt, fault in (("<|im_start|>user", "chat template"), (" ", "blank")):
         with pytest.raises(ValueError, match=fault):
             runner.execute(questions.withColumn("prompt", F.lit(prompt)), runner.Run(str(tmp_path / "other")), ModelServer(server.url, "m"))
+
+
+def test_command_lines_from_questions_to_a_result(spark, server, tmp_path, capsys):
+    (tmp_path / "source.jsonl").write_text("".join(json.dumps({"question": f" what is {i}? ", "answer": "fine" if i % 2 else "bad"}) + "\n" for i in range(6)))
+    prepare = ["prepare", "bench", str(tmp_path / "source.jsonl"), "--output", str(tmp_path / "b"), "--kind", "math"]
+    assert cli.main(prepare) == cli.main(prepare) == 0
+    folder = preparation.published(spark, str(tmp_path / "b" / "bench"))
+    assert sorted(r.doc_id for r in spark.read.json(folder).collect()) == [f"bench:{i}" for i in range(6)]
+    pool = tmp_path / "pool.jsonl"
+    pool.write_text("".join(json.dumps({"doc_id": f"d{i}", "prompt": f"demo {i}", "answer": "yes"}) + "\n" for i in range(4)))
+    infer = ["infer", folder, "--output", str(tmp_path / "out"), "--url", server.url, "--model", "m", "--n-samples", "2", "--tasks", "2", "--shots", "2", "--pool", str(pool), "--seed", "3"]
+    assert cli.main(infer) == 0 and len(server.seen) == 12
+    assert all(asked["messages"][0]["content"].count("demo") == 2 and "what is" in asked["messages"][0]["content"] for _, _, asked in server.seen)
+    assert cli.main(infer) == 0 and len(server.seen) == 12
+    done = ["evaluate", str(tmp_path / "out"), "--task", "math_opensource/bench", "--output", str(tmp_path / "r.json"), "--artifacts", str(tmp_path / "a"), "--resamples", "20"]
+    assert cli.main(done) == 0
+    result = json.loads((tmp_path / "r.json").read_text())
+    assert result["metrics"]["accuracy"]["value"] == 0.5 and result["details"]["complete_problem_count"] == 6
+    assert committed.current(spark, str(tmp_path / "a"))["result"] == result
+    rows, problems = (committed.read(spark, str(tmp_path / "a"), table=t) for t in ("rows", "problems"))
+    assert rows.count() == 12 and problems.filter("complete and k = 2").count() == 6 and rows.first().filter_trace.pipeline == "response" and {r.task for r in rows.collect()} == {"math_opensource/bench"}
+    assert "math_opensource/bench: 0.500000" in capsys.readouterr().out
+    (tmp_path / "few.jsonl").write_text(json.dumps({"prompt": "p", "answer": "a"}) + "\n")
+    with pytest.raises(ValueError, match="fewer than 2"):
+        cli.main([*infer[:-4], "--pool", str(tmp_path / "few.jsonl")])
+
+
+def test_command_line_of_choices(spark, server, tmp_path):
+    (tmp_path / "q.jsonl").write_text(json.dumps({"doc_id": "1", "prompt": "p", "choices": ["x", "y"], "gold": 0}) + "\n")
+    infer = ["infer", str(tmp_path / "q.jsonl"), "--output", str(tmp_path / "out"), "--url", server.url, "--model", "m", "--tasks", "1"]
+    assert cli.main([*infer, "--mode", "first_token"]) == 0
+    assert cli.main(["evaluate", str(tmp_path / "out"), "--task", "mc/x", "--output", str(tmp_path / "r.json")]) == 0
+    assert json.loads((tmp_path / "r.json").read_text())["metrics"]["acc"]["value"] == 0.0  # B is likelier than A
+    for more in (["--shots", "1"], ["--mode", "continuation", "--system", "s"]):
+        with pytest.raises(SystemExit):
+            cli.main([*infer, *more])
+
+
+def test_labels_are_keys_of_every_row(spark, tmp_path):
+    path = tmp_path / "o.jsonl"
+    path.write_text('{"doc_id": "a", "answer": ["$7$", "8"], "gen": "7"}\n{"doc_id": "b", "answer": [], "gen": "7"}\n{"doc_id": "c", "answer": null, "gen": "7"}\n')
+    result = registry.evaluate(cli.load(spark, str(path)).drop("logprobs"), "math_opensource/o", registry.Options("olympiadbench", resamples=0))
+    assert (result["metrics"]["accuracy"]["value"], result["failed_count"]) == (1.0, 2)
+    path.write_text('{"doc_id": "a", "answer": "1", "gen": "7"}\n{"doc_id": "b", "gen": "7"}\n')
+    with pytest.raises(Exception, match="no answer"):
+        registry.evaluate(cli.load(spark, str(path)).drop("logprobs"), "math_opensource/o")
+    with pytest.raises(ValueError, match="'answer'"):
+        registry.evaluate(spark.createDataFrame([("a", "1")], "doc_id string, gen string"), "math_opensource/o")
+
+
+def test_scorers_give_the_metrics_they_declare(spark):
+    rows = spark.createDataFrame([("a", "1", "1")], "doc_id string, answer string, gen string")
+    for metrics, observed, told in (({}, "accuracy", "left out"), ({"accuracy": 0.0}, "other", "no metrics")):
+        scorer = lambda r, o, m=metrics, x=observed: registry.Scored(m, r.select(F.lit(x).alias("metric"), F.lit(1.0).alias("value"), "ordinal"), registry.score_math(r, o).counts)
+        registry.register("mine", scorer, ["accuracy"])
+        with pytest.raises(ValueError, match=told):
+            registry.evaluate(rows, "mine/x", registry.Options(resamples=0))
+    del registry.FAMILIES["mine"], registry.DECLARED["mine"]
+
+
+def test_all_incomplete_problems_are_in_the_table(spark, tmp_path):
+    rows = [(f"p{(37 * i) % 150}", i, "1", "1", 2 if i % 3 else 1) for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id string, ordinal long, answer string, gen string, n_samples int").repartition(4)
+    result = registry.evaluate(frame, "math_opensource/x", registry.Options(resamples=0), str(tmp_path / "a"))
+    want = [r[0] for r in rows if r[4] == 2]
+    assert result["details"]["incomplete_problem_count"] == 100 and result["details"]["incomplete_problem_ids"] == want[:100]
+    table = committed.read(spark, str(tmp_path / "a"), table="problems").filter("not complete").orderBy("place").collect()
+    assert [r.problem for r in table] == [f"doc:{x}" for x in want]
