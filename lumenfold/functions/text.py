@@ -97,7 +97,9 @@ def final_answer(text: Column) -> Column:
 
 
 def _balanced(tail: Column) -> Column:
-    """The head of a text up to the brace that closes its first one; null if none does."""
+    """The head of a text up to the brace that closes its first one; null if none does. Only a text with a brace inside
+    is walked through."""
+    flat = F.regexp_extract(tail, r"^[^{}]*\{[^{}]*\}", 0)
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
 
     def step(state: Column, c: Column) -> Column:
@@ -106,7 +108,7 @@ def _balanced(tail: Column) -> Column:
         return F.struct(depth.alias("depth"), (state["at"] + 1).alias("at"), F.when(closed, state["at"] + 1).otherwise(state["end"]).alias("end"))
 
     end = F.aggregate(F.split(tail, ""), start, step)["end"]
-    return F.when(end > 0, F.substring(tail, F.lit(1), end))
+    return F.when(flat != "", flat).when(end > 0, F.substring(tail, F.lit(1), end))
 
 
 def boxed_part(text: Column) -> Column:
@@ -133,7 +135,7 @@ def clean_answer(text: Column) -> Column:
 
 
 def without_units(text: Column) -> Column:
-    """clean_answer() but for thousands separators and white space at the ends."""
+    """clean_answer() but for thousands separators and white space at the ends. A plain decimal stays as it is."""
     out = last(F.split(text, "="))
     for before, after in SUBSTITUTIONS:
         out = F.replace(out, F.lit(before), F.lit(after))
@@ -144,7 +146,7 @@ def without_units(text: Column) -> Column:
         out = F.regexp_replace(out, rf"(?d)\\{wrapper}\{{({inner})\}}", "$1")
     out = F.regexp_replace(out, r"(?d)(frac)([^{])(.)", "frac{$2}{$3}")
     out = F.regexp_replace(out, r"(sqrt)([^{])", "sqrt{$2}")
-    return F.replace(out, F.lit("$"), F.lit(""))
+    return F.when(text.rlike(r"^-?[0-9]+(?:\.[0-9]+)?$"), text).otherwise(F.replace(out, F.lit("$"), F.lit("")))
 
 
 def plain_number(text: Column) -> Column:
