@@ -198,58 +198,53 @@ def _logs(x: np.ndarray, step: float) -> np.ndarray:
 
 
 class Automaton:
-    """States: 0 without a history, 1 + word for a history of one word, then those of two words, and so on."""
+    """States are known histories, the n-grams before a place; arcs are known n-grams, and failures lead to the history
+    without its first word. All n-grams of the batch have numbers, so the arcs and failures that a text can meet lie in
+    the order of its words: at a place a state is the length of its history."""
 
     def __init__(self, batch: Batch, counts: list[np.ndarray], stats: np.ndarray):
-        order, n = len(counts), batch.n_words
-        self.n_words = n
+        order = len(counts)
         tokens, vocabulary = stats[0, 0], stats[0, 1]
         begun = counts[0][END]  # as many texts begin as end
-        of_history = [np.concatenate([[begun], counts[0][1:]]), *counts[1:]]
-        first_state = np.cumsum([1, *(len(c) for c in counts)])
+        histories = [np.concatenate([[begun], counts[0][1:]]), *counts[1:]]
         p = np.where(counts[0] > 0, counts[0], vocabulary + 1) / (tokens + vocabulary + 1)
-        target = np.where((counts[0] > 0) & (batch.word[0] != END) & (order > 1), 1 + np.arange(n), 0)
-        keys, weights, targets = [np.arange(n)], [_logs(p, WEIGHT)], [target]
-        size = int(first_state[order - 1])
-        back, fail = np.zeros(size), np.zeros(size, np.int64)
-        state_of = target  # the state that remembers an n-gram, or what is known of its end
+        #: By length of the history, at each place: the weight of the arc by the word there (NaN: none), and of the failure
+        #: of the history that ends there.
+        self.arcs, self.back = [_logs(p, WEIGHT)[batch.words].tolist()], [[]]
+        #: The state after an arc of a single word, and after one of more.
+        self.known = ((counts[0] > 0) & (order > 1)).astype(int)[batch.words].tolist()
+        self.longest = order - 1
         for k in range(2, order + 1):
-            c, h = counts[k - 1], of_history[k - 2]
+            c, h = counts[k - 1], histories[k - 2]
             sums = stats[k - 2, 2] + (float(begun) ** GROWTH if k == 2 else 0.0)
             strength = math.floor(stats[k - 1, 1] / sums / WEIGHT + 0.5) * WEIGHT if sums else 1.0
             seen = strength * h.astype(float) ** GROWTH
-            known = np.flatnonzero(h > 0)
-            start = int(first_state[k - 2])
-            back[start + known] = _logs(seen[known] / (h[known] + seen[known]), WEIGHT)
-            if k > 2:
-                fail[start : start + len(h)] = before
-            arcs = np.flatnonzero(c > 0)
             was = batch.prefix[k - 1]
-            own = (c + seen[was] * p[batch.suffix[k - 1]]) / np.maximum(h[was] + seen[was], 1e-300)
-            p = np.where(c > 0, own, 0.0)
-            before = state_of[batch.suffix[k - 1]]
-            state_of = np.where((c > 0) & (batch.word[k - 1] != END) & (k < order), int(first_state[k - 1]) + np.arange(len(c)), before)
-            keys.append((start + was[arcs]) * n + batch.word[k - 1][arcs])
-            weights.append(_logs(p[arcs], WEIGHT))
-            targets.append(state_of[arcs])
-        self.arcs = dict(zip(np.concatenate(keys).tolist(), range(sum(map(len, keys)))))
-        self.weights, self.targets = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
-        self.back, self.fail = back.tolist(), fail.tolist()
-        self.begin = 1 + BEGIN if order > 1 and begun else 0
-
-    def score(self, words: list[int]) -> float:
-        """log10 probability of a text's words and its end."""
-        arcs, weights, targets, back, fail, n = self.arcs, self.weights, self.targets, self.back, self.fail, self.n_words
+            p = np.where(c > 0, (c + seen[was] * p[batch.suffix[k - 1]]) / np.maximum(h[was] + seen[was], 1e-300), 0.0)
+            weights, failures = np.full(len(c), np.nan), np.zeros(len(h))
+            weights[c > 0], failures[h > 0] = _logs(p[c > 0], WEIGHT), _logs(seen[h > 0] / (h[h > 0] + seen[h > 0]), WEIGHT)
+            arcs, back = np.full(len(batch.words), np.nan), np.zeros(len(batch.words))
+            arcs[batch.at[k - 1]] = weights[batch.gram[k - 1]]
+            if k == 2:
+                back[:] = failures[batch.words]
+            else:
+                back[batch.at[k - 2]] = failures[batch.gram[k - 2]]
+            self.arcs.append(arcs.tolist())
+            self.back.append(back.tolist())
+        self.begin = 1 if order > 1 and begun else 0
+
+    def score(self, start: int, end: int) -> float:
+        """log10 probability of the words and the end that follow the begin at `start`, up to `end`."""
+        arcs, back, known, longest = self.arcs, self.back, self.known, self.longest
         total, state = 0.0, self.begin
-        for word in words:
-            key = state * n + word
-            while key not in arcs:
-                total += back[state]
-                state = fail[state]
-                key = state * n + word
-            arc = arcs[key]
-            total += weights[arc]
-            state = targets[arc]
+        for place in range(start + 1, end):
+            weight = arcs[state][place]
+            while weight != weight:
+                total += back[state][place - 1]
+                state -= 1
+                weight = arcs[state][place]
+            total += weight
+            state = min(state + 1, longest) if state else known[place]
         return total
 
 
@@ -277,7 +272,7 @@ def _score(order: int, shards: int, names: list[str]):
         found: list[list] = [[] for _ in SCORES]
         for start, size in zip(batch.starts.tolist(), batch.sizes.tolist()):
             own = batch.words[start + 1 : start + size]
-            row = (size - 1, int((counts[0][own] > 0).sum()), int(tokens), float(base[own].sum()), model.score(own.tolist()))
+            row = (size - 1, int((counts[0][own] > 0).sum()), int(tokens), float(base[own].sum()), model.score(start, start + size))
             for column, value in zip(found, row):
                 column.append(value)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
