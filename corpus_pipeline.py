@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenfold.llm import decontaminate, linededup, packing, simhash, toxicity
-from lumenfold.llm.common import stored
+from lumenfold.llm.common import discard, stored
 from lumenfold.llm.queries import tokenizer_file
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression distance does not reject; it learns from the labelled ones among docs."""
+    """Documents that the compression distance does not reject; it learns from the labelled ones among docs. Null texts
+    hold no evidence and stay."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -20,17 +21,18 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component of near-duplicates."""
+    """The document with the least id of each component of near-duplicates. Null texts and those without words are copies
+    of one another; rows without an id stay."""
     return simhash.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word of a benchmark window."""
+    """Documents without a word of a benchmark window; null texts have no words and stay."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed."""
+    """The pieces of all documents, packed; a null text is an empty one."""
     return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 
@@ -44,12 +46,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; each stage's rows are a table before the next one reads them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the table documents; each stage's rows are a table before the next one reads them, and that of the
+    stage before goes then. Null and empty texts, repeated ids and further columns go through as the stages say; an
+    empty table gives an empty one."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs, name)
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
 
 
