@@ -16,15 +16,17 @@ texts are therefore cut down to the words, or beginnings of words, that toxic te
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import crc_fold, fresh, kept_in_worker, map_texts
+from lumenfold.llm.common import crc_fold, fresh, kept_in_worker, map_texts, release_worker
 from lumenfold.llm.samples import labelled_texts
 
 #: Letters in lower case, bytes of non-ASCII letters as they are, all else a space.
@@ -161,6 +163,34 @@ class Gains:
             return np.fromiter((known[w] if w in known else int(self.of([w])[0]) for w in words), np.int64, len(words))
 
 
+def _trained_fold(texts: list[tuple[str, int]], fold: int) -> object:
+    """The counts of gains of a fold's texts by dictionaries that have not seen them; for the fold FOLDS, which has no
+    texts, the dictionaries themselves."""
+    words = [windows(t) for t, _ in texts]
+    sides = [[words[i] for i, (_, mark) in enumerate(texts) if mark == side and (i % FOLDS != fold or fold == FOLDS)] for side in (1, 0)]
+    dictionaries = train_dictionaries(*sides)
+    if fold == FOLDS:
+        return dictionaries
+    gains = Gains(*dictionaries)
+    return np.array([gains.counts(w) for w in words[fold::FOLDS]]).reshape(-1, len(GAINS))
+
+
+def _trained_folds(texts: list[tuple[str, int]], spark: SparkSession | None) -> list:
+    if spark is None:
+        return [_trained_fold(texts, k) for k in range(FOLDS + 1)]
+    shared = spark.sparkContext.broadcast(texts)  # a bounded sample
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
+        for batch in batches:
+            for fold in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([fold]), pa.array([pickle.dumps(_trained_fold(shared.value, fold))], pa.binary())], names=["fold", "found"])
+
+    found = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(run, "fold long, found binary").collect()
+    shared.destroy()
+    return [pickle.loads(r["found"]) for r in sorted(found, key=lambda r: r["fold"])]
+
+
 class ToxicityModel:
     """Dictionaries, the weight of each gain, and the sum that stands for a score of THRESHOLD."""
 
@@ -168,16 +198,14 @@ class ToxicityModel:
         self.ordinary, self.toxic, self.weights, self.threshold = ordinary, toxic, weights, threshold
 
     @classmethod
-    def fit(cls, texts: list[tuple[str, int]]) -> ToxicityModel:
-        """Weights and threshold come from texts that the dictionaries used for them did not see."""
+    def fit(cls, texts: list[tuple[str, int]], spark: SparkSession | None = None) -> ToxicityModel:
+        """Weights and threshold come from texts that the dictionaries used for them did not see. The folds, and the
+        dictionaries of all texts, are a task each of a session, or are trained one after the other without one."""
         marks = [label for _, label in texts]
-        words = [windows(t) for t, _ in texts]
         counts = np.zeros((len(texts), len(GAINS)))
-        for fold in range(FOLDS):
-            seen = [i for i in range(len(texts)) if i % FOLDS != fold]
-            gains = Gains(*train_dictionaries([words[i] for i in seen if marks[i] == 1], [words[i] for i in seen if marks[i] == 0]))
-            for i in range(fold, len(texts), FOLDS):
-                counts[i] = gains.counts(words[i])
+        *folds, (ordinary, toxic_part) = _trained_folds(texts, spark)
+        for fold, found in enumerate(folds):
+            counts[fold::FOLDS] = found
         toxic = np.array(marks) == 1
         rates = [counts[side].sum(axis=0) + 0.5 for side in (toxic, ~toxic)] if len(texts) else [np.ones(len(GAINS))] * 2
         weights = np.log(rates[0] / rates[0].sum()) - np.log(rates[1] / rates[1].sum())
@@ -191,7 +219,6 @@ class ToxicityModel:
             threshold = float(cuts[best[len(best) // 2]])
         elif toxic.any():
             threshold = -np.inf
-        ordinary, toxic_part = train_dictionaries([w for w, m in zip(words, marks) if m == 1], [w for w, m in zip(words, marks) if m == 0])
         return cls(ordinary, toxic_part, weights, threshold)
 
     def score(self, gains: Gains, text: str | None) -> float:
@@ -226,7 +253,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str], text_
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_label: int = PER_LABEL, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    return ToxicityModel.fit(labelled_texts(docs, labels, label_col, train, per_label, id_col, text_col))
+    return ToxicityModel.fit(labelled_texts(docs, labels, label_col, train, per_label, id_col, text_col), docs.sparkSession)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -141,3 +141,12 @@ def test_samples_are_bounded_by_label_and_bytes(spark):
     for text, lang in few:
         by[lang] += len(text)
     assert len(by) == 12 and max(by.values()) <= 100
+
+
+def test_toxicity_folds_are_trained_alike_in_tasks_and_alone(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    texts = samples.labelled_texts(docs, labels, "toxic", F.lit(True), 1500)
+    alone, tasks = toxicity.ToxicityModel.fit(texts), toxicity.ToxicityModel.fit(texts, spark)
+    assert (alone.weights == tasks.weights).all() and alone.threshold == tasks.threshold and (alone.ordinary, alone.toxic) == (tasks.ordinary, tasks.toxic)
+    few = [("good words here", 0), ("bad words there", 1)]
+    assert (toxicity.ToxicityModel.fit(few).weights == toxicity.ToxicityModel.fit(few, spark).weights).all()
