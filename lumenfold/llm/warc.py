@@ -3,9 +3,9 @@
 Writing: the payload digest decides which records are responses and which revisit one. Each task writes
 its archives, a gzip member for each record, under names of its partition, first as temporary files, so
 a repeated attempt replaces them; and with each archive a run: its captures sorted by URL key and
-timestamp. Payloads are not shuffled unless the digests with several pages are too many to broadcast. Merging: the runs are cut at bounds that Spark samples, and each range is merged from its
-slices of the runs by a loser tree, which gives a globally ordered index and each capture's place in the
-history of its URL.
+timestamp. Payloads are not shuffled unless the digests with several pages are too many to broadcast. Merging:
+the runs are read in their order and cut at keys of a sample, and each range is merged from its pieces of the runs by
+a loser tree, which gives a globally ordered index and each capture's place in the history of its URL.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import base64
 import gzip
 import hashlib
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime, timedelta
 from itertools import chain, count
@@ -223,33 +224,64 @@ class LoserTree:
             self._play(winner)
 
 
-def merge_runs(runs: DataFrame, rows_per_task: int = MERGE_ROWS) -> DataFrame:
-    """The runs as one index ordered by (url_key, timestamp, record_id), with part (of the order) and seq (in the part).
+ORDER = ("url_key", "timestamp", "record_id")
 
-    Ranges are cut by the whole key, so a URL with very many captures spans several. Rows of a run come to
-    a task in their order or are put in it; only a task's range is in memory.
-    """
-    parts = max(1, -(-runs.count() // rows_per_task))
-    ranged = runs.repartitionByRange(parts, "url_key", "timestamp", "record_id")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def cut_points(runs: DataFrame, parts: int, per_part: int = 32, most: int = 1_000_000) -> list[tuple]:
+    """Keys that cut the captures into `parts` ranges of about equal size, from a sample by hash of bounded size."""
+    if parts < 2:
+        return []
+    grain = max(1, runs.count() // min(per_part * parts, most))
+    keys = sorted(tuple(r) for r in runs.filter(F.pmod(F.xxhash64("record_id"), F.lit(grain)) == 0).select(*ORDER).collect())
+    return sorted({keys[len(keys) * k // parts] for k in range(1, parts)}) if keys else []
+
+
+def _cut_runs(cuts: list[tuple]):
+    """For mapInArrow over stored runs: a row (part, piece) for each part of each run, its captures in the run's order."""
 
-        slices: dict[str, list[tuple]] = {}
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, offset, length, key, when, record_id in zip(*(c.to_pylist() for c in batch.columns)):
-                slices.setdefault(name, []).append((key, when, record_id, name, offset, length))
-        for s in slices.values():
-            s.sort()  # linear where the rows are in order
-        merged = list(LoserTree([slices[n] for n in sorted(slices)]))
-        part = TaskContext.get().partitionId()
-        for at in range(0, len(merged), 50_000):
-            key, when, record_id, name, offset, length = (list(c) for c in zip(*merged[at : at + 50_000]))
-            n = len(key)
-            arrays = [pa.array(name), pa.array(offset, pa.int64()), pa.array(length, pa.int64()), pa.array(key), pa.array(when), pa.array(record_id), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n, dtype=np.int64))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["run", "offset", "length", "url_key", "timestamp", "record_id", "part", "seq"])
-
-    return ranged.mapInArrow(run, f"{RUN}, part int, seq long")
+            names = batch.column(batch.schema.get_field_index("run")).to_pylist()
+            keys = list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ORDER)))
+            begins = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1] or keys[i] < keys[i - 1]]
+            parts, pieces = [], []
+            for start, end in zip(begins, [*begins[1:], len(names)]):
+                while start < end:
+                    part = bisect_right(cuts, keys[start])
+                    stop = bisect_left(keys, cuts[part], start, end) if part < len(cuts) else end
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, batch.schema) as out:
+                        out.write_batch(batch.slice(start, stop - start))
+                    parts.append(part)
+                    pieces.append(sink.getvalue().to_pybytes())
+                    start = stop
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(pieces, pa.binary())], names=["part", "piece"])
+
+    return run
+
+
+def merge_runs(runs: DataFrame, rows_per_task: int = MERGE_ROWS) -> DataFrame:
+    """The runs as one index ordered by (url_key, timestamp, record_id), with part (of the order) and seq (in the part).
+
+    Runs are read as they were written, in order, and each is cut at the same keys; the pieces of a part, whose
+    captures keep their order, meet in one task, which merges them without sorting. Parts are cut by the whole key, so
+    a URL with very many captures spans several; only a part is in memory.
+    """
+    cuts = cut_points(runs, max(1, -(-runs.count() // rows_per_task)))
+    pieces = runs.mapInArrow(_cut_runs(cuts), "part int, piece binary")
+
+    def merge(table: pa.Table) -> pa.Table:
+        slices = []
+        for piece in table.column("piece").to_pylist():
+            held = pa.ipc.open_stream(piece).read_all().to_pydict()
+            slices.append(list(zip(*(held[c] for c in (*ORDER, "run", "offset", "length")))))
+        merged = list(LoserTree(sorted(slices, key=lambda x: (x[0][3], x[0]))))
+        key, when, record_id, name, offset, length = (list(c) for c in zip(*merged))
+        n = len(key)
+        arrays = [pa.array(name), pa.array(offset, pa.int64()), pa.array(length, pa.int64()), pa.array(key), pa.array(when), pa.array(record_id), pa.array(np.full(n, table.column("part")[0].as_py(), np.int32)), pa.array(np.arange(n, dtype=np.int64))]
+        return pa.Table.from_arrays(arrays, names=["run", "offset", "length", "url_key", "timestamp", "record_id", "part", "seq"])
+
+    return pieces.groupBy("part").applyInArrow(merge, f"{RUN}, part int, seq long")
 
 
 def histories(index: DataFrame) -> DataFrame:

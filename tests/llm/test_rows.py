@@ -163,6 +163,24 @@ def test_loser_tree():
         assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)
 
 
+@pytest.mark.parametrize("rows_per_task", [40, 100_000])
+def test_runs_are_merged_in_the_order_they_were_written(spark, tmp_path, rows_per_task, monkeypatch):
+    source = random.Random(8)
+    rows = []
+    for name in "abcde":
+        captures = sorted((f"k{source.randint(0, 9) if source.random() < 0.5 else 3}", f"{source.randint(0, 20):014d}", f"{name}{i}") for i in range(source.randint(1, 90)))
+        rows += [(name, i, 7, *c) for i, c in enumerate(captures)]
+    kind = "run string, offset long, length long, url_key string, timestamp string, record_id string"
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / "runs"))
+    runs = spark.read.parquet(str(tmp_path / "runs"))
+    found = warc.merge_runs(runs, rows_per_task)
+    got = [(r.url_key, r.timestamp, r.record_id, r.run, r.offset) for r in sorted(found.collect(), key=lambda r: (r.part, r.seq))]
+    assert got == sorted((k, t, i, n, o) for n, o, _, k, t, i in rows)
+    assert found.select("part").distinct().count() == (1 if rows_per_task > 1000 else len(warc.cut_points(runs, -(-len(rows) // rows_per_task))) + 1)
+    assert warc.merge_runs(runs.filter("false")).count() == 0
+
+
+
 def test_url_keys():
     assert warc.url_key("http://www.A.Example.com:80/P?q=1") == "com,example,a)/p?q=1"
     assert warc.url_key("https://b.org:8080") == "org,b:8080)/"
