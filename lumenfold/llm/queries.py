@@ -88,6 +88,7 @@ SQL: dict[str, str] = {
     "op4_quality_rules": rules.SQL,
     "op5_line_dedup": linededup.SQL,
     "op7_warc": warc.SQL,
+    "op9_simhash_near_dedup": simhash.SQL,
     "op10_benchmark_decontamination": decontaminate.SQL,
     "op11_importance_resampling": resampling.SQL,
     "op12_lm_scoring": ngram_lm.SQL,

@@ -251,3 +251,59 @@ def drop_near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, bro
     if size[1]:
         out = out.unionByName(docs.join(other.filter("__stays").select(id_col), id_col, "left_semi").dropDuplicates([id_col]))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+# The primes of XXH64.
+_PRIMES = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+
+
+def _xxh64_sql(names: str, source: str, text: str, seed: int) -> str:
+    """CTEs that give the table `names` of (text, h): XXH64 of each different text of `source`, in 128-bit whole numbers."""
+    word = "18446744073709551616::UHUGEINT"
+    one, two, three, four, five = (f"{p}::UHUGEINT" for p in _PRIMES)
+    low = lambda x: f"(({x}) % {word})"
+    let = lambda x, body: f"list_transform([{x}], lambda y: {body})[1]"
+    turned = lambda x, r: let(x, f"{low(f'y * {1 << r}::UHUGEINT')} + y // {1 << (64 - r)}::UHUGEINT")
+    mixed = lambda state, lane: low(f"{turned(low(f'{state} + {low(f'{lane} * {two}')}'), 31)} * {one}")
+    lane = lambda at, n: " + ".join(f"b[{at} + {j + 1}] * {256**j}::UHUGEINT" for j in range(n))
+    start = ", ".join(f"{x % (1 << 64)}::UHUGEINT" for x in (seed + _PRIMES[0] + _PRIMES[1], seed + _PRIMES[1], seed, seed - _PRIMES[0]))
+    stripes = f"list_transform(range(n // 32), lambda k: [{', '.join(lane(f'(32 * k + {8 * j})', 8) for j in range(4))}])"
+    striped = f"list_reduce({stripes}, lambda s, e: [{', '.join(mixed(f's[{j}]', f'e[{j}]') for j in range(1, 5))}], [{start}])"
+    joined = " + ".join(turned(f"v[{j}]", r) for j, r in zip(range(1, 5), (1, 7, 12, 18)))
+    merged = f"list_reduce(v, lambda h, x: {low(f'xor(h, {mixed("0::UHUGEINT", "x")}) * {one} + {four}')}, {low(joined)})"
+    eights = f"list_transform(range(n % 32 // 8), lambda k: {lane('(n - n % 32 + 8 * k)', 8)})"
+    by_eight = f"list_reduce({eights}, lambda h, x: {low(f'{turned(f"xor(h, {mixed("0::UHUGEINT", "x")})", 27)} * {one} + {four}')}, h)"
+    by_four = f"CASE WHEN n % 8 >= 4 THEN {low(f'{turned(f"xor(h, {low(f"({lane("(n - n % 8)", 4)}) * {one}")})", 23)} * {two} + {three}')} ELSE h END"
+    ends = "list_transform(range(n % 4), lambda k: b[n - n % 4 + k + 1])"
+    by_one = f"list_reduce({ends}, lambda h, x: {low(f'{turned(f"xor(h, {low(f"x * {five}")})", 11)} * {one}')}, h)"
+    last = "h"
+    for shift, prime in ((33, two), (29, three), (32, None)):
+        last = let(last, f"xor(y, y // {1 << shift}::UHUGEINT)")
+        last = low(f"{last} * {prime}") if prime else last
+    return f"""{names}_b AS (SELECT t, length(x) // 2 AS n, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::UHUGEINT) AS b
+  FROM (SELECT t, hex(encode(t)) AS x FROM (SELECT DISTINCT {text} AS t FROM {source}))),
+{names}_v AS (SELECT t, n, b, CASE WHEN n >= 32 THEN {striped} END AS v FROM {names}_b),
+{names}_h AS (SELECT t, n, b, {low(f"CASE WHEN n >= 32 THEN {merged} ELSE {seed}::UHUGEINT + {five} END + n::UHUGEINT")} AS h FROM {names}_v),
+{names}_8 AS (SELECT t, n, b, {by_eight} AS h FROM {names}_h), {names}_4 AS (SELECT t, n, b, {by_four} AS h FROM {names}_8), {names}_1 AS (SELECT t, {by_one} AS h FROM {names}_4),
+{names} AS (SELECT t, ({last})::UBIGINT AS h FROM {names}_1)"""
+
+
+def _sql(words: int = 4, distance: int = 4, seed: int = 42) -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bits = " + ".join(f"(2 * sum((h >> {b}) & 1) > count(*))::INTEGER::UHUGEINT * {1 << b}::UHUGEINT" for b in range(64))
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({lower}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT k, array_to_string(list_slice(ws, i, i + {words - 1}), ' ') AS shingle FROM (SELECT k, ws, unnest(range(1, greatest(len(ws) - {words - 1}, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+{_xxh64_sql("x", "s", "shingle", seed)},
+f AS (SELECT k, {bits} AS fp FROM s JOIN x ON x.t = s.shingle GROUP BY k),
+p AS (SELECT k, doc_id, coalesce(fp, 0::UHUGEINT) AS fp FROM d LEFT JOIN f USING (k)),
+u AS (SELECT fp, min(doc_id) AS least FROM p GROUP BY fp),
+e AS (SELECT a.fp AS a, b.fp AS b FROM u a JOIN u b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)::HUGEINT) <= {distance}),
+r AS (SELECT fp, fp AS other FROM u UNION SELECT r.fp, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT r.fp, min(least) AS component_id FROM r JOIN u ON u.fp = r.other GROUP BY r.fp)
+SELECT doc_id, lower(lpad(hex(fp::UBIGINT), 16, '0')) AS fingerprint, component_id FROM p JOIN c USING (fp)
+"""
+
+
+#: The same in DuckDB over the table documents, comparing all pairs of different fingerprints.
+SQL = _sql()

@@ -1,3 +1,4 @@
+import pathlib
 import zlib
 from collections import Counter, defaultdict
 
@@ -72,3 +73,36 @@ def test_rows_are_those_of_a_plain_chain(spark, sf_dir):
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == sorted(want)
     total = sum(r.length for r in found)
     assert len({r.sequence_id for r in found}) <= -(-total // 4096) + 1
+
+
+def test_odd_tables(spark, tmp_path):
+    """Null and empty texts, null and repeated ids, names that operators use, and no documents at all."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score double, words string, fp string, __id string, hits string, root string"
+    rows = [(i, t, "en", None if i % 3 else "s", 1, 0.5, "w", "f", "x", "h", "r") for i, t in enumerate(["", None, "one two three four five", " \n", "another text of some words", None])]
+    rows += [(None, "without an id", None, None, None, None, None, None, None, None, None), (2, "one two three four five six", "en", "s", 1, 0.5, "w", "f", "x", "h", "r")]
+    for name, documents in (("some", rows), ("none", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(documents, kind).coalesce(1).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(4, 1, 0), (2, 1, 1)] if documents else [], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(folder / "labels.parquet"))
+        spark.createDataFrame([("a", "another text")] if documents else [], "item_id string, text string").coalesce(1).write.parquet(str(folder / "benchmark.parquet"))
+        docs = spark.read.parquet(str(folder / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(folder))
+            assert docs.columns == [c.split(" ")[0] for c in kind.split(", ")]
+        found = corpus_pipeline.run(spark, str(folder)).collect()
+        assert len(found) == docs.count() and all(r.piece == 0 for r in found)
+        if documents:
+            kept = {r.doc_id for r in found}
+            assert 4 not in kept and {0, None} <= kept and len(found) <= 5  # contaminated, of the empty ones the first, without an id
+        else:
+            assert found == []
+
+
+def test_tables_of_earlier_stages_go(spark, sf_dir):
+    from lumenfold.llm.common import shared_dir
+
+    path = pathlib.Path(shared_dir(spark).removeprefix("file://")) / "lumenfold"
+    before = set(path.glob("*"))
+    corpus_pipeline.run(spark, sf_dir).count()
+    left = {p.name.rsplit("-", 1)[0] for p in set(path.glob("*")) - before if any(p.glob("*.parquet"))}
+    assert not left & {"toxicity", "line_dedup", "simhash_near_dedup"} and "benchmark_decontamination" in left
