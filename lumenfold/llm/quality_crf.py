@@ -59,13 +59,17 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.hstack([np.ones((len(lines), 1)), own, beside]), np.fromiter((len(x) + 1 for x in lines), np.int64, len(lines))
 
 
+#: Steps of so many texts and fewer, the ends of very long ones, are walked line by line.
+FEW = 3
+
+
 class Chains:
     """Texts' lines side by side: step t holds the t-th lines of the texts that have one, longest texts first."""
 
     def __init__(self, sizes: np.ndarray):
         self.order = np.argsort(-sizes, kind="stable")
         ends = np.cumsum(sizes)
-        self.first = (ends - sizes)[self.order]
+        self.first, self.sizes = (ends - sizes)[self.order], sizes[self.order]
         longest = int(sizes.max()) if len(sizes) else 0
         self.active = np.searchsorted(-sizes[self.order], -np.arange(longest), side="left")
 
@@ -75,14 +79,18 @@ class Chains:
         scores = np.clip(scores, -40, 40)
         emit = np.stack([np.exp(-np.maximum(scores, 0)), np.exp(np.minimum(scores, 0))], axis=1)
         ahead = np.zeros_like(emit)
-        for t, n in enumerate(self.active):
+        few = np.flatnonzero(self.active <= FEW)
+        cut = int(few[0]) if len(few) else len(self.active)
+        for t, n in enumerate(self.active[:cut]):
             at = self.first[:n] + t
             now = emit[at] if t == 0 else (ahead[at - 1] @ step) * emit[at]
             ahead[at] = now / now.sum(axis=1, keepdims=True)
         bad = np.zeros(len(scores))
         expected = np.zeros((2, 2))
         back = np.ones((len(self.first), 2))
-        for t in range(len(self.active) - 1, -1, -1):
+        for j in range(int(self.active[cut]) if cut < len(self.active) else 0):
+            back[j] = self._alone(j, cut, emit, ahead, step, bad, expected)
+        for t in range(cut - 1, -1, -1):
             n = self.active[t]
             at = self.first[:n] + t
             both = ahead[at] * back[:n]
@@ -96,6 +104,37 @@ class Chains:
         return bad, expected
 
 
+    def _alone(self, j: int, cut: int, emit: np.ndarray, ahead: np.ndarray, step: np.ndarray, bad: np.ndarray, expected: np.ndarray) -> tuple[float, float]:
+        """marginals() of the lines of text j from step `cut` on, one by one; what it passes back to the line before."""
+        (s00, s01), (s10, s11) = step.tolist()
+        begin, end = int(self.first[j]) + cut, int(self.first[j] + self.sizes[j])
+        emits = emit[begin:end].tolist()
+        a, b = ahead[begin - 1].tolist() if cut else (1.0, 1.0)
+        before, states = (a, b), []
+        for k, (x, y) in enumerate(emits):
+            a, b = (x, y) if not cut and not k else ((a * s00 + b * s10) * x, (a * s01 + b * s11) * y)
+            total = a + b
+            a, b = a / total, b / total
+            states.append((a, b))
+        marks, counts = [0.0] * len(states), [0.0, 0.0, 0.0, 0.0]
+        u, v = 1.0, 1.0
+        for k in range(len(states) - 1, -1, -1):
+            a, b = states[k]
+            marks[k] = b * v / (a * u + b * v)
+            if k or cut:
+                a, b = states[k - 1] if k else before
+                x, y = emits[k][0] * u, emits[k][1] * v
+                pairs = a * s00 * x, a * s01 * y, b * s10 * x, b * s11 * y
+                total = sum(pairs)
+                counts = [c + p / total for c, p in zip(counts, pairs)]
+                u, v = x * s00 + y * s01, x * s10 + y * s11
+                total = u + v
+                u, v = u / total, v / total
+        bad[begin:end] = marks
+        expected += np.array(counts).reshape(2, 2)
+        return u, v
+
+
 class LineField:
     """Weights of the scaled features for bad lines, transitions, and the curve from bad share to score."""
 

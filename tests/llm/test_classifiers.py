@@ -1,5 +1,6 @@
 """Language, quality and toxicity: held-out accuracy, and rows that have nothing to say."""
 
+import time
 import zlib
 from collections import Counter
 
@@ -150,3 +151,21 @@ def test_toxicity_folds_are_trained_alike_in_tasks_and_alone(spark):
     assert (alone.weights == tasks.weights).all() and alone.threshold == tasks.threshold and (alone.ordinary, alone.toxic) == (tasks.ordinary, tasks.toxic)
     few = [("good words here", 0), ("bad words there", 1)]
     assert (toxicity.ToxicityModel.fit(few).weights == toxicity.ToxicityModel.fit(few, spark).weights).all()
+
+
+def test_steps_of_few_texts_are_as_those_of_many(monkeypatch):
+    source = np.random.default_rng(5)
+    for sizes in ([1], [7], [3, 1, 9], [40, 2, 2, 2, 2, 30, 1], [5] * 6, [1, 1, 1, 1], [60, 60, 60, 60, 1]):
+        scores, transitions = source.normal(0, 3, sum(sizes)), source.normal(0, 1, (2, 2))
+        found = []
+        for few in (0, 3, 100):
+            monkeypatch.setattr(quality_crf, "FEW", few)
+            found.append(quality_crf.Chains(np.array(sizes)).marginals(scores, transitions))
+        for bad, expected in found[1:]:
+            assert np.allclose(bad, found[0][0], atol=1e-12) and np.allclose(expected, found[0][1], atol=1e-9)
+
+
+def test_a_text_of_very_many_lines_takes_bounded_time():
+    began = time.time()
+    bad, expected = quality_crf.Chains(np.array([200_000, 3])).marginals(np.random.default_rng(1).normal(0, 2, 200_003), np.zeros((2, 2)))
+    assert time.time() - began < 5 and ((bad >= 0) & (bad <= 1)).all() and abs(expected.sum() - 200_001) < 1e-3
