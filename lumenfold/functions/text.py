@@ -31,12 +31,13 @@ PREFIX_MODES = ["human_eval", "humaneval", "human_eval_plus", "humaneval_plus",
 INSTRUCTION_MODES = ["mbpp", "mbpp_plus", "instruction"]
 TOP_LEVEL = r"^(?:def |from |import |class |@)"
 
-SPACE_ENDS = r"(?U)^\s+|\s+$"
+#: White space of all of Unicode, as (?U)\s has it.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
     """Without white space (of all of Unicode) at both ends."""
-    return F.regexp_replace(text, SPACE_ENDS, "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def strip_end(text: Column) -> Column:
@@ -50,8 +51,9 @@ def last(items: Column) -> Column:
 def strip_reasoning(text: Column) -> Column:
     """The last <answer> that is not blank, else what follows the last </think> if that is not blank, else the text."""
     tagged = F.transform(F.regexp_extract_all(text, F.lit(r"(?is)<answer>(.*?)</answer>"), F.lit(1)), strip)
-    after = F.when(text.rlike(r"(?iU)</think\s*>"), strip(last(F.split(text, r"(?iU)</think\s*>"))))
-    return F.coalesce(last(F.filter(tagged, lambda x: x != "")), F.nullif(after, F.lit("")), text)
+    kept = F.when(text.rlike(r"(?i)</answer>"), last(F.filter(tagged, lambda x: x != "")))
+    after = last(F.filter(F.array(strip(F.regexp_extract(text, r"(?isU)^.*</think\s*>(.*)$", 1))), lambda x: x != ""))
+    return F.when(F.contains(text, F.lit("</")), F.coalesce(kept, after, text)).otherwise(text)
 
 
 def filter_pipeline(text: Column, name: str, steps: Sequence[tuple[str, Callable[[Column], Column]]]) -> tuple[Column, Column]:
@@ -96,10 +98,15 @@ def final_answer(text: Column) -> Column:
     return F.when(text.rlike(pattern), strip(F.regexp_extract(text, pattern, 1)))
 
 
+def _nested(depth: int) -> str:
+    """A pattern of braces that hold braces, to that depth; it never goes back."""
+    return r"\{[^{}]*+\}" if depth == 1 else r"\{[^{}]*+(?:" + _nested(depth - 1) + r"[^{}]*+)*+\}"
+
+
 def _balanced(tail: Column) -> Column:
-    """The head of a text up to the brace that closes its first one; null if none does. Only a text with a brace inside
-    is walked through."""
-    flat = F.regexp_extract(tail, r"^[^{}]*\{[^{}]*\}", 0)
+    """The head of a text up to the brace that closes its first one; null if none does. Only a text whose braces are
+    nested deeper than five is walked through."""
+    flat = F.regexp_extract(tail, "^[^{}]*+" + _nested(5), 0)
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
 
     def step(state: Column, c: Column) -> Column:
@@ -113,9 +120,8 @@ def _balanced(tail: Column) -> Column:
 
 def boxed_part(text: Column) -> Column:
     r"""From the last \boxed, or else \fbox, to the brace that closes its first one; else null."""
-    place = lambda mark: F.length(text) - F.length(F.substring_index(text, mark, -1)) - len(mark) + 1
-    at = F.when(F.contains(text, F.lit("\\boxed")), place("\\boxed")).when(F.contains(text, F.lit("\\fbox")), place("\\fbox"))
-    return _balanced(F.substring(text, at, F.length(text)))
+    since = lambda mark: F.concat(F.lit(mark), F.substring_index(text, mark, -1))
+    return _balanced(F.when(F.contains(text, F.lit("\\boxed")), since("\\boxed")).when(F.contains(text, F.lit("\\fbox")), since("\\fbox")))
 
 
 def boxed(text: Column, part: Column | None = None) -> Column:
@@ -125,13 +131,20 @@ def boxed(text: Column, part: Column | None = None) -> Column:
     """
     found = boxed_part(text) if part is None else part
     spaced = F.split_part(last(F.split(text, r"\\boxed ")), F.lit("$"), F.lit(1))
-    inside = F.regexp_extract(found, r"(?s)^\\(?:boxed|fbox)\{(.*)\}$", 1)
-    return F.when(F.contains(text, F.lit("\\boxed ")), spaced).when(found.rlike(r"^\\(?:boxed|fbox)\{"), inside)
+    out = F.when(F.contains(text, F.lit("\\boxed ")), spaced)
+    for mark in ("\\boxed{", "\\fbox{"):
+        out = out.when(F.startswith(found, F.lit(mark)), F.substring(found, F.lit(len(mark) + 1), F.length(found) - len(mark) - 1))
+    return out
+
+
+#: Answers that clean_answer() leaves as they are, as no step finds anything there: digits, signs, braced fractions and
+#: roots, single letters. The steps look for '=', ',', '$', '"', white space, letters side by side and other commands.
+SETTLED = r"^(?:[0-9.+\-*/()|!^{}\[\]]++|\\(?:frac|sqrt)\{|[A-Za-z](?![A-Za-z])){1,60}+\z"
 
 
 def clean_answer(text: Column) -> Column:
     """A final math answer in its compared form: after the last '=', without units and wrappers, fractions and roots braced."""
-    return plain_number(without_units(text))
+    return F.when(text.rlike(SETTLED), text).otherwise(plain_number(without_units(text)))
 
 
 def without_units(text: Column) -> Column:
@@ -162,15 +175,23 @@ def once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def with_math_forms(rows: DataFrame, texts: dict[str, Column]) -> DataFrame:
-    """rows with math_form() of each text, stage by stage."""
-    c = {name: [f"__{name}_{k}" for k in range(4)] for name in texts}
-    rows = once(rows, {c[n][0]: strip(F.coalesce(t.cast("string"), F.lit(""))) for n, t in texts.items()})
-    rows = once(rows, {c[n][1]: boxed_part(F.col(c[n][0])) for n in texts})
-    chosen = {c[n][2]: F.coalesce(final_answer(F.col(c[n][0])), boxed(F.col(c[n][0]), F.col(c[n][1])), F.col(c[n][0])) for n in texts}
-    rows = once(rows, chosen)
-    rows = once(rows, {c[n][3]: without_units(F.col(c[n][2])) for n in texts})
-    rows = once(rows, {n: F.nullif(plain_number(F.col(c[n][3])), F.lit("[invalidanswer]")) for n in texts})
-    return rows.withColumns({n: F.coalesce(n, F.lit("")) for n in texts}).drop(*[x for names in c.values() for x in names])
+    """rows with math_form() of each text, text by text and stage by stage.
+
+    A stage names what later ones use several times, which keeps the optimizer from writing it out; a walk through
+    braces stands between the stages of two texts, whose code is small enough to be compiled for that.
+    """
+    done = {}
+    for n, t in texts.items():
+        raw, easy, all_, part, said, settled, bare = (f"__{n}_{k}" for k in range(7))
+        rows = rows.withColumn(raw, F.coalesce(t.cast("string"), F.lit("")))
+        rows = rows.withColumn(easy, F.col(raw).rlike(SETTLED))
+        rows = rows.withColumn(all_, F.when(F.col(easy), F.col(raw)).otherwise(strip(F.col(raw)))).drop(raw)
+        rows = rows.withColumn(part, F.when(~F.col(easy), boxed_part(F.col(all_))))
+        rows = rows.withColumn(said, F.when(F.col(easy), F.col(all_)).otherwise(F.coalesce(final_answer(F.col(all_)), boxed(F.col(all_), F.col(part)), F.col(all_)))).drop(easy, all_, part)
+        rows = rows.withColumn(settled, F.col(said).rlike(SETTLED))
+        rows = rows.withColumn(bare, F.when(F.col(settled), F.col(said)).otherwise(without_units(F.col(said)))).drop(said)
+        done[n] = F.when(F.col(settled), F.col(bare)).otherwise(F.coalesce(F.nullif(plain_number(F.col(bare)), F.lit("[invalidanswer]")), F.lit("")))
+    return once(rows, done).drop(*[f"__{n}_{k}" for n in texts for k in range(7)])
 
 
 def math_form(text: Column) -> Column:

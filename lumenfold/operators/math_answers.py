@@ -37,12 +37,15 @@ def score_answers(rows: DataFrame, dataset: str = "", label: str = "answer", tex
     completed and wrong. Equal forms are right, and so are forms of equal keys (see functions/expressions.py); what
     is left goes to `verify`, a function of two forms, where one is given.
     """
-    rows = once(rows.drop(*[c for c in ("gold", "prediction") if c != label]), {"__label": ground_truth(one_label(rows, label, dataset), dataset), "__answer": strip_reasoning(F.col(text))})
-    found = with_math_forms(rows, {"gold": F.col("__label"), "prediction": F.col("__answer")})
-    found = once(found.drop("prediction_key"), {"__gold_key": expressions.key(F.col("gold")), "prediction_key": expressions.key(F.col("prediction"))})
-    failed = (F.coalesce(F.col("__label"), F.lit("")) == "") | F.col(text).isNull()
+    rows = rows.drop(*[c for c in ("gold", "prediction") if c != label]).withColumn("__label", ground_truth(one_label(rows, label, dataset), dataset))
+    lost = F.col("__label").isNull() | F.col(text).isNull()
     if error:
-        failed = failed | (F.coalesce(F.col(error), F.lit("")) != "")
+        lost = lost | (F.coalesce(F.col(error), F.lit("")) != "")
+    # Whether a row failed is told here, so that texts that nobody asks for later are not carried along.
+    rows = rows.withColumn("__lost", lost)
+    found = with_math_forms(rows, {"gold": F.col("__label"), "prediction": strip_reasoning(F.col(text))})
+    found = expressions.with_keys(found.drop("prediction_key"), {"__gold_key": "gold", "prediction_key": "prediction"})
+    failed = F.col("__lost")
     right = (F.col("__gold_key") == F.col("prediction_key")) & (F.col("gold") != "")
     if verify:
 
@@ -56,7 +59,7 @@ def score_answers(rows: DataFrame, dataset: str = "", label: str = "answer", tex
         failed = failed | (F.col("__asked") & F.col("__same").isNull())
         right = right | F.coalesce("__same", F.lit(False))
     out = found.withColumn("status", F.when(failed, "failed").otherwise("completed")).withColumn("accuracy", F.when(~failed & right, 1.0).otherwise(0.0))
-    return out.drop("__label", "__answer", "__gold_key", "__asked", "__same")
+    return out.drop("__label", "__lost", "__gold_key", "__asked", "__same")
 
 
 def accuracy_counts(scored: DataFrame) -> DataFrame:

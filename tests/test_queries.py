@@ -67,3 +67,18 @@ def test_generated_choices_group_no_texts(spark, sf_dir, name):
 def test_math_forms_are_computed_once(spark, sf_dir):
     plan = QUERIES["math_score"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 60_000 and plan.count("lambdafunction") < 20
+
+
+@pytest.mark.parametrize("name", ["math_score", "math_evaluate_majority", "math_symbolic"])
+def test_math_code_is_small_enough_to_be_compiled(spark, sf_dir, name):
+    """Java interprets methods of over 8,000 bytes for good; texts stay behind before the keys are asked for."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan()
+        stages = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package").codegenStringSeq(plan)
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+        asked = next(line for line in plan.toString().split("ArrowEvalPython [")[1].splitlines() if "Generate" in line)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8_000
+    assert "gen#" not in asked

@@ -101,3 +101,22 @@ def test_strip_reasoning_keeps_untagged_text(spark, texts):
     plain = [t for t in texts if "</think" not in t and "<answer" not in t]
     df = spark.createDataFrame([(t,) for t in plain], "s string")
     assert [r.x for r in df.select(T.strip_reasoning(F.col("s")).alias("x")).collect()] == plain
+
+
+@pytest.mark.parametrize("depth", [1, 2, 5, 6, 9])
+def test_boxed_braces_of_any_depth(spark, depth):
+    inside = "a{b}" * depth + "{" * depth + "x" + "}" * depth
+    assert one(spark, T.boxed(F.col("s")), s="{ \\boxed{" + inside + "} }") == inside
+    assert one(spark, T.boxed(F.col("s")), s="\\boxed{" + inside) is None
+
+
+@pytest.mark.parametrize("text", ["-12.50", "\\frac{1}{x}", "(a+b)^{2}", "\\sqrt{2}!", "[3]", "x*y/|z|"])
+def test_settled_answers_need_no_cleaning(spark, text):
+    df = spark.createDataFrame([(text,)], "s string")
+    whole = T.plain_number(T.without_units(F.col("s")))
+    assert df.select(F.col("s").rlike(T.SETTLED), whole, T.clean_answer(F.col("s"))).first() == (True, text, text)
+
+
+@pytest.mark.parametrize("text", ["ab", "1,000", "x=1", "$1$", "1 2", "\\pi", "\\frac12", "\\sqrt2", "1\n", "", "5\\%"])
+def test_other_answers_are_cleaned(spark, text):
+    assert not one(spark, F.col("s").rlike(T.SETTLED), s=text)
