@@ -31,13 +31,13 @@ PREFIX_MODES = ["human_eval", "humaneval", "human_eval_plus", "humaneval_plus",
 INSTRUCTION_MODES = ["mbpp", "mbpp_plus", "instruction"]
 TOP_LEVEL = r"^(?:def |from |import |class |@)"
 
-#: White space of all of Unicode, as (?U)\s has it.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: What lies between white space (of all of Unicode) at both ends.
+INNER = r"(?sU)^\s*+(.*\S)"
 
 
 def strip(text: Column) -> Column:
     """Without white space (of all of Unicode) at both ends."""
-    return F.btrim(text, F.lit(WHITE))
+    return F.regexp_extract(text, INNER, 1)
 
 
 def strip_end(text: Column) -> Column:
@@ -52,7 +52,7 @@ def strip_reasoning(text: Column) -> Column:
     """The last <answer> that is not blank, else what follows the last </think> if that is not blank, else the text."""
     tagged = F.transform(F.regexp_extract_all(text, F.lit(r"(?is)<answer>(.*?)</answer>"), F.lit(1)), strip)
     kept = F.when(text.rlike(r"(?i)</answer>"), last(F.filter(tagged, lambda x: x != "")))
-    after = last(F.filter(F.array(strip(F.regexp_extract(text, r"(?isU)^.*</think\s*>(.*)$", 1))), lambda x: x != ""))
+    after = last(F.regexp_extract_all(text, F.lit(r"(?isU)^(?>.*</think\s*>)\s*+(.*\S)"), F.lit(1)))
     return F.when(F.contains(text, F.lit("</")), F.coalesce(kept, after, text)).otherwise(text)
 
 

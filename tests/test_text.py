@@ -120,3 +120,12 @@ def test_settled_answers_need_no_cleaning(spark, text):
 @pytest.mark.parametrize("text", ["ab", "1,000", "x=1", "$1$", "1 2", "\\pi", "\\frac12", "\\sqrt2", "1\n", "", "5\\%"])
 def test_other_answers_are_cleaned(spark, text):
     assert not one(spark, F.col("s").rlike(T.SETTLED), s=text)
+
+
+def test_long_texts_are_stripped_and_searched(spark):
+    inside = "{a}" * 100_000
+    long = "<think>" + " {x" * 200_000 + "</think>\u3000\n \\boxed{" + inside + "} \x85\n"
+    df = spark.createDataFrame([(long,)], "s string").select(T.strip_reasoning(F.col("s")).alias("s"))
+    kept, box = df.select("s", T.boxed(F.col("s"))).first()
+    assert kept == "\\boxed{" + inside + "}" and box == inside
+    assert one(spark, T.strip(F.col("s")), s="\u2003\r\n") == "" and one(spark, T.strip(F.col("s")), s=None) is None
